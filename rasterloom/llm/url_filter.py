@@ -36,7 +36,8 @@ def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     """``(u, v)``: a page's host+path and that of its canonical link or refresh target.
 
     Absolute, scheme-relative, root-relative and directory-relative targets are
-    resolved; a page without url or html, or whose target is itself, gives no edge.
+    resolved.  Ends can be empty or equal; ``judge_urls`` drops such rows after writing
+    them, so that no filter on them is evaluated inside the extraction.
     """
     tags = F.concat(
         F.regexp_extract_all(F.col(html), F.lit(r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"), F.lit(0)),
@@ -46,18 +47,18 @@ def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     tagged = (
         pages.where(F.col(html).rlike("(?i)canonical|refresh"))
         .select(F.col(url).alias("from"), F.explode(tags).alias("tag"))
-        .select("from", target.alias("to")).where("`to` <> ''"))
+        .select("from", target.alias("to")))
     host, path, to = url_host(F.col("from")), url_path(F.col("from")), F.col("to")
     base = F.concat(F.lit("x://"), host)
     full = (
-        F.when(to.contains("://"), to)
+        F.when(to == "", to)
+        .when(to.contains("://"), to)
         .when(to.startswith("//"), F.concat(F.lit("x:"), to))
         .when(to.startswith("/"), F.concat(base, to))
         .otherwise(F.concat(base, F.regexp_replace(path, "[^/]*$", ""), to)))
-    return (
-        tagged.where(host != "")
-        .select(F.concat(host, path).alias("u"), F.concat(url_host(full), url_path(full)).alias("v"))
-        .where("u <> v and v <> ''").distinct())
+    return tagged.select(
+        F.concat(host, path).alias("u"), full.alias("to")).select(
+        "u", F.concat(url_host(F.col("to")), url_path(F.col("to"))).alias("v"))
 
 
 def match_rules(urls: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFrame) -> DataFrame:
@@ -116,11 +117,11 @@ def judge_urls(
     sources = [link_edges(pages, url, html)] if html else []
     if redirects is not None:
         end = lambda c: F.concat(url_host(F.col(c)), url_path(F.col(c)))
-        sources.append(redirects.select(end("from_url").alias("u"), end("to_url").alias("v")).where("u <> '' and v <> ''"))
+        sources.append(redirects.select(end("from_url").alias("u"), end("to_url").alias("v")))
     judged = match_rules(base, rules).withColumn("key", F.concat("host", "path"))
     members = None
     if sources:
-        edges = scratch.table(reduce(DataFrame.unionByName, sources).distinct(), "links")
+        edges = scratch.table(reduce(DataFrame.unionByName, sources), "links").where("u <> '' and v <> '' and u <> v")
         if not edges.isEmpty():
             members = scratch.table(connected_components(edges, scratch), "members")
     if members is None:
