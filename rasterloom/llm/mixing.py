@@ -106,7 +106,7 @@ def mix_sources(
 
     n_docs = sum(r["docs"] for r in sources)
     tagged = base.join(F.broadcast(plan_df), base["_src"].eqNullSafe(plan_df["_src"])).drop(plan_df["_src"])
-    placed = cumulative(tagged, "k", ["_h", "_id", "_t", "_row"], "size", "start", max(2, n_docs // 20_000))
+    placed = cumulative(tagged, "k", ["_h", "_id", "_t", "_row"], "size", "start", max(2, n_docs // 2_000))
     placed = scratch.table(placed.drop("_h", "_t", "_src", "lo"), "placed")
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
     pieces = placed.where("size > 0").select("_row", "k", "start", "size", F.explode(F.sequence(first, last)).alias("block"))

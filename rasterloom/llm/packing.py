@@ -222,7 +222,7 @@ def pack(
     rounds = Rounds([r["n"] for r in totals], quantum)
     total = int(rounds.totals.sum())
     placed = lengths.join(F.broadcast(index), lengths["source"].eqNullSafe(index["source"])).drop(index["source"])
-    placed = cumulative(placed, "k", ["h", "row"], "n_tokens", "queue", max(2, sum(r["docs"] for r in totals) // 20_000))
+    placed = cumulative(placed, "k", ["h", "row"], "n_tokens", "queue", max(2, sum(r["docs"] for r in totals) // 2_000))
     placed = scratch.table(placed.select("row", "k", "queue"), "queue")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

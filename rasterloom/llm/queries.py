@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, packing, quality, url_filter
+from . import media, mixing, neardup, packing, quality, url_filter
 
 #: Fixed values of the URL query: (verdict, host, path).
 URL_RULES = [
@@ -52,12 +52,17 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round("score", 4).alias("score"))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_media_columns": op1_media_columns,
     "op2_packing": op2_packing,
     "op3_mix_sources": op3_mix_sources,
     "op5_url_filter": op5_url_filter,
     "op8_quality_rules": op8_quality_rules,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 
 ORACLE: dict[str, str] = {}
