@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, neardup, packing, quality, url_filter
+from . import media, mixing, neardup, packing, quality, substrings, url_filter
 
 #: Fixed values of the URL query: (verdict, host, path).
 URL_RULES = [
@@ -45,6 +45,11 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.deduplicate_substrings(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select(
@@ -61,6 +66,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_mix_sources": op3_mix_sources,
     "op5_url_filter": op5_url_filter,
+    "op6_substring_dedup": op6_substring_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op10_near_duplicates": op10_near_duplicates,
 }
