@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, neardup, packing, quality, substrings, url_filter
+from . import media, mixing, neardup, packing, quality, substrings, suffixes, url_filter
 
 #: Fixed values of the URL query: (verdict, host, path).
 URL_RULES = [
@@ -57,6 +57,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round("score", 4).alias("score"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixes.deduplicate_bytes(table(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc_id", "n_bytes", "n_removed", F.size("removed_spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -68,6 +74,7 @@ QUERIES = {
     "op5_url_filter": op5_url_filter,
     "op6_substring_dedup": op6_substring_dedup,
     "op8_quality_rules": op8_quality_rules,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_near_duplicates": op10_near_duplicates,
 }
 

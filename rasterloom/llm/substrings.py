@@ -92,6 +92,7 @@ class FingerprintIndex:
         table = f"rl_{name}_{uuid.uuid4().hex}"
         (df.repartition(self.buckets, key).sortWithinPartitions(key).write.option("path", self.scratch.path(name))
          .option("compression", "zstd").bucketBy(self.buckets, key).sortBy(key).saveAsTable(table))
+        self.scratch.release()
         return self.spark.table(table)
 
     def ingest(self, batch: DataFrame) -> DataFrame:

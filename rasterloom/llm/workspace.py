@@ -6,6 +6,7 @@ The folder comes from ``spark.checkpoint.dir``.  Only when the session has none
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -55,6 +56,15 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def release(self) -> None:
+        """Lets Spark's cleaner delete shuffle files of steps whose results are written.
+
+        The cleaner acts when the driver's collectors find a plan unreachable, which can be
+        long after a table that replaces it is on disk.
+        """
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         for table in tables:
             delete(self.spark, table._scratch_path)
