@@ -121,6 +121,21 @@ def mix_sources(
         F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "blocks")
 
 
+def mixed_documents(mixed: DataFrame, text_col: str = "text", max_passes: int = 2) -> DataFrame:
+    """The mix itself: a row for every pass over a document, from ``mix_sources`` with its text among ``keep``.
+
+    Blocks are used in the order of the stream, so what a pass takes of a document is a
+    prefix of its words; a whole document keeps its text as it is, a part is joined by
+    spaces.  Documents that no slot reads, and those without words, give no row.
+    """
+    passes = mixed.where(F.size("blocks") > 0).withColumn("pass", F.explode(F.sequence(F.lit(1), F.least(F.lit(max_passes), F.array_max(F.transform("blocks", lambda b: b["times"]))).cast("int"))))
+    used = F.aggregate(F.filter("blocks", lambda b: b["times"] >= F.col("pass")), F.lit(0).cast("long"), lambda acc, b: acc + b["words"])
+    words = F.filter(F.split(text_col, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    cut = passes.withColumn("_used", used)
+    return cut.withColumn(text_col, F.when(F.col("_used") >= F.col("size"), F.col(text_col)).otherwise(
+        F.array_join(F.slice(words, F.lit(1), F.col("_used").cast("int")), " "))).drop("_used")
+
+
 def schedule(plan: DataFrame, starts: Sequence[int], n_slots: int, cap: float, chunk: int = 1 << 16) -> DataFrame:
     """Slots ``(slot, k, rank, block)``: golden-ratio points mapped through cumulative weights, ranked per source.
 
