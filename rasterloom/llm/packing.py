@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import struct
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -12,88 +14,98 @@ from pyspark.sql import functions as F
 from .mixing import cumulative
 from .workspace import Scratch
 
-#: Words whose ids a worker keeps; beyond it the table starts anew.
-MAX_CACHED_WORDS = 400_000
+#: Words whose ids a worker keeps in each of two generations.  Ids must fit 16 bits.
+MAX_CACHED_WORDS = 200_000
 
 #: Sources known to the driver; more raise instead of growing every task's closure.
 MAX_SOURCES = 10_000
 
 #: Bytes of text handled at once within an Arrow batch.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
+
+
+class _Known(dict):
+    """Ids of words as packed 16-bit integers; a missing word is asked of ``ask`` and kept."""
+
+    def __init__(self, ask):
+        super().__init__()
+        self.ask = ask
+
+    def __missing__(self, word: bytes) -> bytes:
+        self[word] = found = self.ask(word)
+        return found
 
 
 class WordTokenizer:
-    """Ids of texts, word by word, for a tokenizer whose pieces never cross ASCII white space.
+    """Ids of texts, word by word, for a BPE whose pre-tokenizer never crosses ASCII white space.
 
-    Each distinct word is encoded once a worker (until ``MAX_CACHED_WORDS`` are known);
-    texts are then gathered from the table of known ids without a Python loop per id.
+    A word's ids are kept as bytes, so a text's are one join.  When ``MAX_CACHED_WORDS`` are
+    known the table becomes the older generation; words still in use move to the new one.
+    Words of Latin letters, perhaps with a final stop or comma, are one or two pieces
+    whatever stands around them, and go to the tokenizer's model directly; all others take
+    its whole path.
     """
 
+    PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,]?)")
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.ids = np.zeros(1 << 16, dtype=np.uint32)
-        self.used = 0
-        self.starts: list[int] = [0]
-
-    def _learn(self, words: list[bytes]) -> None:
-        for enc, word in zip(self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False), words, strict=True):
-            n = len(enc.ids)
-            if self.used + n > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) + n, dtype=np.uint32)])
-            self.ids[self.used:self.used + n] = enc.ids
-            self.known[word] = len(self.starts) - 1
-            self.used += n
-            self.starts.append(self.used)
+        self.tokenize = self.tokenizer.model.tokenize
+        self.marks = {b"": b"", b".": self._whole("."), b",": self._whole(",")}
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        spare = iter(range(256, 512))
+        self.table = "".join(chr(b) if b in shown else chr(next(spare)) for b in range(256))
+        self.words, self.old_words = _Known(self._word), {}
+        self.stems, self.old_stems = _Known(self._stem), {}
+
+    def _whole(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u2").tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        found = self.old_words.get(word)
+        if found is None:
+            m = self.PLAIN.fullmatch(word)
+            found = self.stems[m[1].decode().lower()] + self.marks[m[2]] if m else self._whole(word.decode())
+        return found
+
+    def _stem(self, stem: str) -> bytes:
+        found = self.old_stems.get(stem)
+        if found is None:
+            piece = stem if stem.isascii() else stem.encode().decode("latin-1").translate(self.table)
+            ids = [t.id for t in self.tokenize(piece)]
+            found = struct.pack(f"<{len(ids)}H", *ids)
+        return found
 
     def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Concatenated ids, ``end_id`` after each text, and the number of ids of each text."""
-        split = [t.split() for t in texts]
-        fresh = {w for words in split for w in words if w not in self.known}
-        if fresh:
-            if len(self.known) + len(fresh) > MAX_CACHED_WORDS:
-                self._clear()
-                fresh = {w for words in split for w in words}
-            self._learn(sorted(fresh))
-        known = self.known
-        index = np.fromiter((known[w] for words in split for w in words), dtype=np.int64)
-        starts = np.asarray(self.starts, dtype=np.int64)
-        lengths = starts[index + 1] - starts[index]
-        per_text = np.fromiter((len(words) for words in split), dtype=np.int64, count=len(split))
-        ends = np.cumsum(per_text)
-        total = np.concatenate([[0], np.cumsum(lengths)])
-        counts = total[ends] - total[ends - per_text] + 1
-        out = np.full(int(counts.sum()), end_id, dtype=np.uint32)
-        at = np.arange(int(total[-1])) - np.repeat(total[:-1], lengths) + np.repeat(starts[index], lengths)
-        gathered = self.ids[at]
-        row = np.repeat(np.arange(len(split)), total[ends] - total[ends - per_text])
-        out[np.arange(len(gathered)) + row] = gathered
-        return out, counts
+        if len(self.words) > MAX_CACHED_WORDS:
+            self.old_words, self.words = self.words, _Known(self._word)
+        if len(self.stems) > MAX_CACHED_WORDS:
+            self.old_stems, self.stems = self.stems, _Known(self._stem)
+        end, get = struct.pack("<H", end_id), self.words.__getitem__
+        packed = [b"".join(map(get, t.split())) + end for t in texts]
+        counts = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // 2
+        return np.frombuffer(b"".join(packed), dtype="<u2").astype(np.uint32), counts
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """``(id, source, row, n_tokens, ids)`` of whole texts; ids as little-endian unsigned 32-bit binary."""
+    """``(id, source, row, n_tokens, ids)`` of whole texts; ids as little-endian unsigned 16-bit binary."""
     schema = f"id {dict(docs.dtypes)[id_col]}, source string, row long, n_tokens long, ids binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = WordTokenizer(path)
         for batch in batches:
-            raw = batch.column(3).cast(pa.large_binary())
+            raw = batch.column(3).cast(pa.binary())
             for lo, hi in blocks(raw):
                 texts = [x.as_py() or b"" for x in raw.slice(lo, hi - lo)]
                 ids, counts = coder.encode(texts, end_id)
-                cut = np.concatenate([[0], np.cumsum(counts)])
-                data = ids.astype("<u4").view(np.uint8)
-                packed = pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(cut * 4), pa.py_buffer(data)])
+                cut = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                packed = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(cut * 2), pa.py_buffer(ids.astype("<u2").view(np.uint8))])
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), part.column(2), pa.array(counts), packed.cast(pa.binary())],
-                    names=["id", "source", "row", "n_tokens", "ids"])
+                    [part.column(0), part.column(1), part.column(2), pa.array(counts), packed], names=["id", "source", "row", "n_tokens", "ids"])
 
     rows = docs.select(
         F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"),
@@ -230,9 +242,9 @@ def pack(
             cols = {k: [] for k in ("i", "start", "length", "sequence_id", "offset", "ids")}
             ids = batch.column("ids")
             for i, (k, queue, n) in enumerate(zip(batch.column("k").to_pylist(), batch.column("queue").to_pylist(), batch.column("n_tokens").to_pylist(), strict=True)):
-                data = memoryview(ids[i].as_buffer())
+                data = np.frombuffer(ids[i].as_buffer(), dtype="<u2").astype("<u4")
                 for start, length, seq, off in cut_document(queue, n, k, rounds, window, total):
-                    for name, value in zip(cols, (i, start, length, seq, off, bytes(data[4 * start:4 * (start + length)])), strict=True):
+                    for name, value in zip(cols, (i, start, length, seq, off, data[start:start + length].tobytes()), strict=True):
                         cols[name].append(value)
             at = pa.array(cols["i"], pa.int64())
             yield pa.RecordBatch.from_arrays(
