@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import struct
 from collections.abc import Iterator, Sequence
 
@@ -24,68 +23,94 @@ MAX_SOURCES = 10_000
 BLOCK_BYTES = 1 << 20
 
 
-class _Known(dict):
-    """Ids of words as packed 16-bit integers; a missing word is asked of ``ask`` and kept."""
-
-    def __init__(self, ask):
-        super().__init__()
-        self.ask = ask
-
-    def __missing__(self, word: bytes) -> bytes:
-        self[word] = found = self.ask(word)
-        return found
-
-
 class WordTokenizer:
     """Ids of texts, word by word, for a BPE whose pre-tokenizer never crosses ASCII white space.
 
     A word's ids are kept as bytes, so a text's are one join.  When ``MAX_CACHED_WORDS`` are
     known the table becomes the older generation; words still in use move to the new one.
     Words of Latin letters, perhaps with a final stop or comma, are one or two pieces
-    whatever stands around them, and go to the tokenizer's model directly; all others take
-    its whole path.
+    whatever stands around them: their stems are lower-cased together and go to the
+    tokenizer's model through a plain split at spaces, whose ids are parted again at those
+    that end a word.  All other words take the tokenizer's whole path.
     """
 
-    PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,]?)")
-
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenize = self.tokenizer.model.tokenize
-        self.marks = {b"": b"", b".": self._whole("."), b",": self._whole(",")}
+        self.stems = Tokenizer(self.tokenizer.model)
+        self.stems.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(1 << 16, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.marks = {m: self._whole([m.decode()])[0] for m in (b".", b",")}
+        # visible stand-ins of bytes, as byte-level vocabularies have them; line feeds part stems
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         spare = iter(range(256, 512))
-        self.table = "".join(chr(b) if b in shown else chr(next(spare)) for b in range(256))
-        self.words, self.old_words = _Known(self._word), {}
-        self.stems, self.old_stems = _Known(self._stem), {}
-
-    def _whole(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u2").tobytes()
-
-    def _word(self, word: bytes) -> bytes:
-        found = self.old_words.get(word)
-        if found is None:
-            m = self.PLAIN.fullmatch(word)
-            found = self.stems[m[1].decode().lower()] + self.marks[m[2]] if m else self._whole(word.decode())
-        return found
-
-    def _stem(self, stem: str) -> bytes:
-        found = self.old_stems.get(stem)
-        if found is None:
-            piece = stem if stem.isascii() else stem.encode().decode("latin-1").translate(self.table)
-            ids = [t.id for t in self.tokenize(piece)]
-            found = struct.pack(f"<{len(ids)}H", *ids)
-        return found
+        stand_in = {b: chr(b) if b in shown else chr(next(spare)) for b in range(256)}
+        self.table = "".join(stand_in[b] if b != 10 else " " for b in range(256))
+        self.words: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        return [
+            np.array(e.ids, dtype="<u2").tobytes()
+            for i in range(0, len(words), 512) for e in self.tokenizer.encode_batch_fast(words[i:i + 512], add_special_tokens=False)]
+
+    def _stem_ids(self, lines: str) -> list[bytes] | None:
+        """Ids of each of the lines; None if their number can't be told from the ids."""
+        rows = lines.split(" ")
+        found = self.stems.encode_batch_fast([" ".join(rows[i:i + 512]) for i in range(0, len(rows), 512)], add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, dtype="<u2") for e in found])
+        stop = np.flatnonzero(self.ends[ids]) + 1
+        if len(stop) != len(rows):
+            return None
+        data, at = ids.tobytes(), [0, *(2 * stop).tolist()]
+        return [data[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+
+    def _learn(self, words: list[bytes]) -> None:
+        data = np.frombuffer(b"\n".join(words) + b"\n", dtype=np.uint8)
+        stop = np.flatnonzero(data == 10)
+        start = np.concatenate([[0], stop[:-1] + 1])
+        letter = ((data | 32) >= 97) & ((data | 32) <= 122)
+        lead = data == 0xC3
+        tail = np.concatenate([[False], lead[:-1]]) & (data >= 0x80) & (data <= 0xBF) & (data != 0x97) & (data != 0xB7)
+        lead &= np.concatenate([tail[1:], [False]])
+        mark = ((data == 46) | (data == 44)) & np.concatenate([data[1:] == 10, [False]])
+        good = letter | lead | tail | mark | (data == 10)
+        marked = mark[stop - 1] & (stop > start)
+        plain = np.logical_and.reduceat(good, start) & (stop - start - marked > 0)
+        low = data.copy()
+        low[letter] |= 32
+        low[tail & (data <= 0x9E)] += 32
+        pick = np.repeat(plain, stop - start + 1) & ~mark
+        simple = np.flatnonzero(plain).tolist()
+        if simple:
+            lines = low[pick].tobytes()[:-1].decode("latin-1").translate(self.table)
+            distinct = list(dict.fromkeys(lines.split(" ")))
+            found = self._stem_ids(" ".join(distinct))
+            if found is None:
+                plain[:] = False
+            else:
+                ids, marks, last, has = dict(zip(distinct, found, strict=True)), self.marks, data[stop - 1].tolist(), marked.tolist()
+                for i, stem in zip(simple, lines.split(" "), strict=True):
+                    self.words[words[i]] = ids[stem] + marks[b"." if last[i] == 46 else b","] if has[i] else ids[stem]
+        rest = [words[i] for i in np.flatnonzero(~plain).tolist()]
+        self.words.update(zip(rest, self._whole([w.decode() for w in rest]), strict=True))
 
     def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Concatenated ids, ``end_id`` after each text, and the number of ids of each text."""
         if len(self.words) > MAX_CACHED_WORDS:
-            self.old_words, self.words = self.words, _Known(self._word)
-        if len(self.stems) > MAX_CACHED_WORDS:
-            self.old_stems, self.stems = self.stems, _Known(self._stem)
+            self.old, self.words = self.words, {}
+        split = [t.split() for t in texts]
+        fresh = set().union(*split).difference(self.words)
+        again = fresh.intersection(self.old)
+        self.words.update(zip(again, map(self.old.__getitem__, again), strict=True))
+        fresh -= again
+        if fresh:
+            self._learn(list(fresh))
         end, get = struct.pack("<H", end_id), self.words.__getitem__
-        packed = [b"".join(map(get, t.split())) + end for t in texts]
+        packed = [b"".join(map(get, words)) + end for words in split]
         counts = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // 2
         return np.frombuffer(b"".join(packed), dtype="<u2").astype(np.uint32), counts
 
