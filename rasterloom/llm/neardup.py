@@ -21,6 +21,8 @@ BUCKETS, MANTISSA_BITS = 256, 10
 BAND_ROWS = 5
 #: Standard deviations by which an estimate may fall short before a pair is dropped unverified.
 SLACK = 5.0
+#: Pairs with a center are measured exactly if their distance may be below this; bounds serve for the others.
+MEASURED = 0.6
 #: Other buckets that an empty one asks in turn for their register.
 DONORS = 96
 
@@ -88,7 +90,7 @@ def band_keys(regs: np.ndarray) -> np.ndarray:
     return key
 
 
-def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Jaccard similarity from agreeing registers, less the share that would agree by chance.
 
     Unequal minima agree in both parts of a register with a chance of about
@@ -136,12 +138,10 @@ def banded(reps: DataFrame) -> DataFrame:
     return reps.select("id", "regs").mapInArrow(run, f"key long, id {kind}")
 
 
-def likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` whose sizes allow the similarity and whose estimate does not rule it out."""
+def estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """``(a, b, lo, hi)``: bounds on the Jaccard distance of pairs from their sizes and registers."""
     kind = dict(pairs.dtypes)["a"]
     side = lambda c: reps.select(F.col("id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("regs").alias(f"r_{c}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").where(
-        (F.least("n_a", "n_b") * 100 >= PERCENT * F.greatest("n_a", "n_b")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,27 +149,34 @@ def likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
                 continue
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(-1, BUCKETS) for c in ("r_a", "r_b"))
             n_a, n_b = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
-            p = PERCENT / 100
-            least = p - SLACK * np.sqrt(p * (1 - p) / np.minimum(BUCKETS, np.maximum(n_a, n_b)))
-            yield batch.select(["a", "b"]).filter(pa.array(estimate(a, b, n_a, n_b) >= least))
+            j = estimate(a, b)
+            slack = SLACK * np.sqrt(0.25 / np.minimum(BUCKETS, np.maximum(n_a, n_b)))
+            most = np.minimum(np.minimum(n_a, n_b) / np.maximum(n_a, n_b), j + slack)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a"), batch.column("b"), pa.array(1 - most), pa.array(np.minimum(1.0, 1 - j + slack))], names=["a", "b", "lo", "hi"])
 
-    return joined.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, f"a {kind}, b {kind}")
+    joined = pairs.join(side("a"), "a").join(side("b"), "b")
+    return joined.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, f"a {kind}, b {kind}, lo double, hi double")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs linked on their full sets: 100 * intersection >= PERCENT * union."""
+def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(a, b, d, linked)``: Jaccard distance on full sets, and 100 * intersection >= PERCENT * union."""
     kind = dict(pairs.dtypes)["a"]
     side = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"t_{c}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            d, linked = [], []
             for x, y in zip(shingle_sets(batch.column("t_a")), shingle_sets(batch.column("t_b")), strict=True):
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= PERCENT * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                union = len(x) + len(y) - both
+                d.append(1 - both / max(1, union))
+                linked.append(both > 0 and 100 * both >= PERCENT * union)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a"), batch.column("b"), pa.array(d, pa.float64()), pa.array(linked, pa.bool_())], names=["a", "b", "d", "linked"])
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "t_a", "t_b").mapInArrow(run, f"a {kind}, b {kind}")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "t_a", "t_b").mapInArrow(
+        run, f"a {kind}, b {kind}, d double, linked boolean")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
@@ -177,10 +184,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Documents with equal shingle sets form classes; the smallest id stands for each.
     Representatives that share a band key are candidates.  First each key's smallest
-    member is compared with the others; the links found join most members of a group, and
-    then only members of a key that are still in different components are paired, so a
-    group of near copies costs work in proportion to its size and no candidate is lost.
-    Candidates pass a size test, the register estimate, then the exact test.
+    member, its center, is compared with the others; the links found join most members of a
+    group.  Then members of a key that are still in different components are paired, but
+    only where their distances from the center allow a link: Jaccard distance is a metric,
+    so two members whose distances from a third differ by more than 0.25 cannot be linked.
+    Candidates pass a size test and the register estimate before the exact test.
 
     Null and empty texts have no shingles, link with nothing and are kept.  Rows with the
     same id are one document: all get its component.  Rows with a null id are returned with
@@ -201,31 +209,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = banded(reps)
     centers = scratch.table(keys.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "a"), "centers")
     shared = scratch.table(keys.join(centers, "key").select("key", F.col("id").alias("b"), "a"), "shared")
-    stars = shared.where("a <> b").select("a", "b").distinct()
-    tried = scratch.table(stars, "stars")
-    hopeful = scratch.table(likely(tried, reps), "likely")
-    needed = hopeful.select(F.col("a").alias("id")).unionByName(hopeful.select(F.col("b").alias("id"))).distinct()
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    texts = scratch.table(source.join(needed, "id").dropDuplicates(["id"]), "texts")
-    links = scratch.table(confirmed(hopeful, texts).select(F.col("a").alias("v"), F.col("b").alias("u")), "links")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        texts = scratch.table(source.join(needed, "id").dropDuplicates(["id"]), "texts")
+        out = scratch.table(compared(pairs.select("a", "b"), texts), "compared")
+        scratch.drop(texts)
+        scratch.release()
+        return out
+
+    stars = scratch.table(estimated(shared.where("a <> b").select("a", "b").distinct(), reps), "stars")
+    exact = verified(stars.where(F.col("lo") <= MEASURED))
+    links = exact.where("linked").select(F.col("a").alias("v"), F.col("b").alias("u")).unionByName(same)
     found = scratch.table(connected_components(links, scratch), "components")
+    bounds = stars.join(exact.select("a", "b", "d"), ["a", "b"], "left").select(
+        "a", "b", F.coalesce("d", "lo").alias("lo"), F.coalesce("d", "hi").alias("hi"))
     # members of a key that the stars left apart
-    at = shared.select("key", F.col("b").alias("id")).join(found.select(F.col("node").alias("id"), "component"), "id", "left").select(
-        "key", "id", F.coalesce("component", "id").alias("c"))
-    apart = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    loose = scratch.table(at.join(apart, "key"), "loose")
-    other = loose.select("key", F.col("id").alias("b"), F.col("c").alias("d"))
-    rest = loose.withColumnRenamed("id", "a").join(other, "key").where("c <> d and a < b").select("a", "b").distinct()
-    rest = scratch.table(rest.join(tried, ["a", "b"], "left_anti"), "rest")
+    at = shared.join(found.select(F.col("node").alias("b"), "component"), "b", "left").select("key", "a", "b", F.coalesce("component", "b").alias("c"))
+    apart = at.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
+    loose = at.join(apart, "key").join(bounds, ["a", "b"], "left").select(
+        "key", "b", "c", F.coalesce("lo", F.lit(0.0)).alias("lo"), F.coalesce("hi", F.lit(0.0)).alias("hi"))
+    loose = scratch.table(loose, "loose")
+    left, right = (loose.select("key", *[F.col(x).alias(f"{x}{i}") for x in ("b", "c", "lo", "hi")]) for i in (1, 2))
+    near = 1 - PERCENT / 100 + 1e-9
+    rest = left.join(right, "key").where(
+        (F.col("c1") != F.col("c2")) & (F.col("b1") < F.col("b2")) & (F.col("lo1") - F.col("hi2") <= near) & (F.col("lo2") - F.col("hi1") <= near))
+    rest = rest.select(F.col("b1").alias("a"), F.col("b2").alias("b")).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")
+    rest = scratch.table(estimated(rest, reps).where(F.col("lo") <= near), "rest")
     if not rest.isEmpty():
-        hopeful = scratch.table(likely(rest, reps), "likely")
-        needed = hopeful.select(F.col("a").alias("id")).unionByName(hopeful.select(F.col("b").alias("id"))).distinct()
-        texts = scratch.table(source.join(needed, "id").dropDuplicates(["id"]), "texts")
-        more = scratch.table(confirmed(hopeful, texts).select(F.col("a").alias("v"), F.col("b").alias("u")), "links")
-        links = links.unionByName(more)
-        found = scratch.table(connected_components(links.unionByName(same), scratch), "components")
-    elif not same.isEmpty():
-        found = scratch.table(connected_components(links.unionByName(same), scratch), "components")
+        more = verified(rest).where("linked").select(F.col("a").alias("v"), F.col("b").alias("u"))
+        found = scratch.table(connected_components(links.unionByName(more), scratch), "components")
     of = member.groupBy("id").agg(F.min("rep").alias("rep")).join(
         found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
     return (
