@@ -12,7 +12,7 @@ from ..functions import color as C
 from ..functions import matrix as M
 from ..functions import points as P
 from ..functions import polygon as G
-from ..operators import joins, nms, raster, runlength
+from ..operators import detections, draw, heatmap, joins, nms, raster, runlength
 from . import fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -493,3 +493,63 @@ def color_hex(spark, sf_dir):
     part = [((F.col(c) % 256) + 0.25) / 255.0 for c in ("l_partkey", "l_suppkey", "l_orderkey")]
     return l.select(*KEY, C.to_hex(*part).alias("h"))
 
+
+
+# detections, heatmaps, drawing -------------------------------------------------------
+
+
+@query("det_labels", f"with {BOXES} select det_id, 'class' || class_idx || ' @ ' || printf('%.4f', score) as label from boxes_v")
+def det_labels(spark, sf_dir):
+    b = fixtures.boxes(spark, sf_dir)
+    return b.select("det_id", detections.labels(F.concat(F.lit("class"), F.col("class_idx")), F.col("score")).alias("label"))
+
+
+@query("coco_roundtrip", f"with {BOXES} select det_id, image_id, class_idx, 'c' || class_idx as class, x1, y1, x2, y2 from boxes_v")
+def coco_roundtrip(spark, sf_dir):
+    b = fixtures.boxes(spark, sf_dir).withColumns({
+        "class": F.concat(F.lit("c"), F.col("class_idx")), "weight": F.lit(1.0), "segmentation": F.lit(None).cast("string"),
+        "keypoints": F.lit(None).cast("array<struct<x:double,y:double,class_idx:int,visible:int>>")})
+    categories = spark.createDataFrame([(i, 10 + i, f"c{i}") for i in range(3)], "class_idx int, category_id long, name string")
+    text = detections.to_annotations(b, categories).select(F.col("json").alias("value"))
+    back = detections.from_annotations(detections.parse_annotations(text), categories)
+    return back.select("det_id", "image_id", "class_idx", "class", "box.*")
+
+
+@query("heatmap_combine", f"with {PIXELS}, a as (select vec_id % 20 as grp, y, x, abs(v) as p from pixels_v) select grp, cast(y as bigint) as y, cast(x as bigint) as x, {q6('case when min(p)=0 then 0 else exp(avg(ln(nullif(p,0)))) end', 'p')} from a group by 1,2,3")
+def heatmap_combine(spark, sf_dir):
+    p = fixtures.pixels(spark, sf_dir).select((F.col("vec_id") % 20).alias("grp"), "y", "x", F.abs("v").alias("p"))
+    return heatmap.combine(p, ["grp"], "p").select("grp", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), r6("p", "p"))
+
+
+@query("heatmap_detect", f"with {PIXELS}, r as (select *, sum(case when v>0.2 then 1 else 0 end) over w as n, row_number() over (partition by vec_id order by v desc, y, x) as k from pixels_v window w as (partition by vec_id)) select vec_id, x-0.5 as x1, y-0.5 as y1, x+0.5 as x2, y+0.5 as y2, {q6('v', 'score')} from r where v>0.2 or (n<5 and k<=5)")
+def heatmap_detect(spark, sf_dir):
+    d = heatmap.detect(fixtures.pixels(spark, sf_dir), ["vec_id"], "v", 0.2, 5)
+    return d.select("vec_id", "box.*", r6("score", "score"))
+
+
+SMALL = f"with {BOXES}, d as (select image_id, det_id, class_idx, score, x1/16 as x1, y1/16 as y1, x2/16 as x2, y2/16 as y2 from boxes_v where image_id < 40)"
+GRID = "g as (select i.image_id, k//36 as y, k%36 as x from (select distinct image_id from d) i, unnest(range(1296)) r(k))"
+
+
+@query("heatmap_rasterize", SMALL + f", {GRID}, c as (select g.image_id, g.y, g.x, first(class_idx order by (x2-x1)*(y2-y1), score desc, det_id) as class_idx from g join d on d.image_id=g.image_id and g.x between x1 and x2 and g.y between y1 and y2 group by 1,2,3) select g.image_id, cast(g.y as bigint) as y, cast(g.x as bigint) as x, cast(coalesce(c.class_idx, 9) as int) as class_idx from g left join c using (image_id, y, x)")
+def heatmap_rasterize(spark, sf_dir):
+    d = fixtures.boxes(spark, sf_dir).where("image_id < 40").withColumn("box", B.scale(F.col("box"), 1 / 16))
+    r = heatmap.rasterize(d, ["image_id"], 36, 36, 9, "box")
+    return r.select("image_id", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col("class_idx").cast("int").alias("class_idx"))
+
+
+@query("draw_boxes", SMALL + ", t as (select image_id, det_id, cast(trunc(x1) as int) as x1, cast(trunc(y1) as int) as y1, cast(trunc(x2) as int) as x2, cast(trunc(y2) as int) as y2 from d), c as (select distinct image_id, y, x from t, lateral (select unnest(range(y1, y2+1)) as y) a, lateral (select unnest(range(x1, x2+1)) as x) b where y=y1 or y=y2 or x=x1 or x=x2) select image_id, count(*) as n, cast(sum(y) as bigint) as sy, cast(sum(x) as bigint) as sx from c group by 1")
+def draw_boxes(spark, sf_dir):
+    d = fixtures.boxes(spark, sf_dir).where("image_id < 40").withColumn("box", B.scale(F.col("box"), 1 / 16))
+    return draw.box_outline(d, ["image_id"]).groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), F.sum("y").cast("long").alias("sy"), F.sum("x").cast("long").alias("sx"))
+
+
+@query("polygon_fill", SMALL + f", {GRID} select d.det_id, count(*) as n from g join d on d.image_id=g.image_id and g.x >= x1 and g.x <= x2 and g.y >= y1 and g.y < y2 group by 1")
+def polygon_fill(spark, sf_dir):
+    d = fixtures.boxes(spark, sf_dir).where("image_id < 40").withColumn("poly", B.to_polygon(B.scale(F.col("box"), 1 / 16)))
+    return draw.fill_polygons(d, ["det_id"], 36, 36).groupBy("det_id").agg(F.sum(F.col("stop") - F.col("start")).alias("n"))
+
+
+@query("checkerboard", "select cast(i//24 as bigint) as y, cast(i%24 as bigint) as x, cast((i//24//4 + i%24//4) % 2 as double) as v from unnest(range(384)) r(i)")
+def checkerboard(spark, sf_dir):
+    return raster.checkerboard(spark, 24, 16, 4).select(F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), "v")
