@@ -15,8 +15,8 @@ import pyarrow.compute as pc
 
 #: Odd multipliers of independent 64-bit hashes.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-#: Bytes of text hashed at once; one text at least, however long.
-BLOCK_BYTES = 2 << 20
+#: Bytes of text hashed at once, few enough for arrays to stay in cache; one text at least, however long.
+BLOCK_BYTES = 256 << 10
 
 U = np.uint64
 _SPACE = np.zeros(256, dtype=bool)
