@@ -76,41 +76,52 @@ def sort_suffixes(data: np.ndarray, at: np.ndarray, length: int = LENGTH, shallo
     """Order of the suffixes of ``data`` at ``at`` by their first ``length`` bytes, and the class of each in that order.
 
     Equal classes mean equal prefixes.  A multikey sort partitions groups of equal prefixes
-    by their next 8-byte symbol, down to ``shallow`` bytes.  Groups still together there
+    by their next symbol of up to 8 bytes, down to ``shallow`` bytes.  Groups still together there
     have long common prefixes: those that agree to the end are one leaf, the others are
     ordered by blind tries on the bytes that are left.
     """
     n = len(at)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     order, group = np.arange(n), np.zeros(n, dtype=np.int64)
-    shallow = min(shallow, length) // 8 * 8
-    for depth in range(0, shallow, 8):
-        size = np.bincount(group, minlength=n) if n else np.zeros(0, np.int64)
+    symbols = np.ndarray((len(data) - 7,), dtype=">u8", buffer=data, strides=(1,))  # 8 bytes from every position
+    depth = 0
+    while depth + 8 <= min(shallow, length):
+        size = np.bincount(group, minlength=n)
         open_ = np.flatnonzero(size[group] > 1)
         if not len(open_):
             break
-        symbol = data[at[order[open_]][:, None] + np.arange(depth, depth + 8)].view(">u8").ravel().astype(U)
-        rank = np.lexsort((symbol, group[open_]))
+        # a group's number and its next symbol share one 64-bit key
+        number = np.cumsum(np.concatenate([[True], group[open_][1:] != group[open_][:-1]])) - 1
+        bits = int(number[-1]).bit_length()
+        width = 8 - -(-bits // 8)
+        key = symbols[at[order[open_]] + depth].astype(U)
+        if width < 8:
+            key = (key >> U(64 - 8 * width)) | (number.astype(U) << U(8 * width))
+        rank = np.argsort(key)
         order[open_] = order[open_][rank]
-        symbol, own = symbol[rank], group[open_]
-        new = np.concatenate([[False], (symbol[1:] != symbol[:-1]) & (own[1:] == own[:-1])])
+        key = key[rank]
         step = np.zeros(n, dtype=np.int64)
-        step[open_] = new
-        first = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1]) if n else np.zeros(0, np.int64)
-        step[first] = 1
-        group = np.cumsum(step) - 1
+        step[1:] = group[1:] != group[:-1]
+        step[open_[1:]] |= key[1:] != key[:-1]
+        group = np.cumsum(step)
+        depth += width
+    shallow = depth
     size = np.bincount(group, minlength=n) if n else np.zeros(0, np.int64)
     open_ = np.flatnonzero(size[group] > 1)
     if len(open_) and shallow < length:
-        tails = data[at[order[open_]][:, None] + np.arange(shallow, length)]
-        own = group[open_]
+        begin, own = at[order[open_]], group[open_]
         head = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
         stop = np.append(head[1:], len(own))
-        differs = (tails != tails[np.repeat(head, stop - head)]).any(axis=1)
+        differs = np.zeros(len(own), dtype=bool)
+        for depth in [*range(shallow, length - 8, 8), length - 8]:
+            part = symbols[begin + depth]
+            differs |= part != np.repeat(part[head], stop - head)
         mixed = np.flatnonzero(np.add.reduceat(differs, head) > 0)
         step = np.zeros(n, dtype=np.int64)
         for g in mixed.tolist():
             lo, hi = int(head[g]), int(stop[g])
-            leaves = blind_trie([row.tobytes() for row in tails[lo:hi]])
+            leaves = blind_trie([data[i + shallow:i + length].tobytes() for i in begin[lo:hi].tolist()])
             order[open_[lo:hi]] = order[open_[lo:hi]][[i for leaf in leaves for i in leaf]]
             k = lo
             for leaf in leaves[:-1]:
@@ -232,6 +243,26 @@ def deduplicate_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             if at:
                 yield _keyed(batch, at, {"h": h})
 
+    def met_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come ordered by (h, id), distinct; those whose fingerprint another document has too go on.
+
+        A row is decided by its two neighbours, so nothing but the last row is held, however
+        many documents a fingerprint has.
+        """
+        kept_h, kept_id, pending = None, None, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h, ids = batch.column("h").to_numpy(), batch.column("id").to_numpy()
+            if kept_h is not None:
+                h, ids = np.concatenate([[kept_h], h]), np.concatenate([[kept_id], ids])
+            same = (h[1:] == h[:-1]) & (ids[1:] != ids[:-1])
+            hit = np.concatenate([[pending], same]) | np.concatenate([same, [False]])
+            kept_h, kept_id, pending = h[-1], ids[-1], bool(hit[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(h[:-1][hit[:-1]]), pa.array(ids[:-1][hit[:-1]])], names=["h", "id"])
+        if pending:
+            yield pa.RecordBatch.from_arrays([pa.array([kept_h]), pa.array([kept_id])], names=["h", "id"])
+
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, h, c = [], [], []
@@ -321,9 +352,9 @@ def deduplicate_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     texts = bucketed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "texts")
     known = texts.where("id is not null")
-    run = bucketed(known.select("id", "text").mapInArrow(fingerprints, f"h long, id {kind}"), "h", "run")
-    shared = run.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h")
-    hits = scratch.table(run.join(shared, "h").groupBy("id").agg(F.collect_list("h").alias("hs")), "hits")
+    marks = known.select("id", "text").mapInArrow(fingerprints, f"h long, id {kind}").repartition(buckets, "h").sortWithinPartitions("h", "id")
+    hits = scratch.table(marks.mapInArrow(met_again, f"h long, id {kind}").groupBy("id").agg(F.collect_list("h").alias("hs")), "hits")
+    scratch.release()
     involved = known.join(hits, "id")
     rows = scratch.table(involved.select("id", "text", "hs").mapInArrow(stretches, f"h long, c long, id {kind}"), "stretches")
     whole = earlier(rows, "stretches").groupBy("id").agg(F.collect_list("h").alias("whole"))
