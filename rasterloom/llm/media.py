@@ -61,9 +61,11 @@ def decode_png(data: bytes) -> tuple[bytes, int, int]:
         raise ValueError("not a PNG image")
     at, body, height, width, n_bytes = 8, [], 0, 0, -1
     while at < len(data):
+        if len(data) < at + 12:
+            raise ValueError("truncated PNG image")
         size, kind = struct.unpack(">I4s", data[at:at + 8])
         part = data[at + 8:at + 8 + size]
-        if zlib.crc32(kind + part) != struct.unpack(">I", data[at + 8 + size:at + 12 + size])[0]:
+        if struct.pack(">I", zlib.crc32(kind + part)) != data[at + 8 + size:at + 12 + size]:
             raise ValueError("damaged PNG chunk")
         if kind == b"IHDR":
             width, height = struct.unpack(">II", part[:8])
