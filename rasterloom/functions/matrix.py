@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,26 +27,43 @@ def entries(m: Column) -> list[Column]:
     return [m[n] for n in NAMES]
 
 
+def bound(m: Column, body):
+    """``body(m)`` with anything but a plain column evaluated once, so compositions stay linear in size."""
+    if re.fullmatch(r"Column<'[\w.`]+'>", str(m)):
+        return body(m)
+    return F.transform(F.array(m), body)[0]
+
+
 def or_eye(m: Column) -> Column:
     return F.coalesce(m, eye())
 
 
 def matmul(a: Column, b: Column) -> Column:
     """``a`` after ``b``."""
-    x, y = entries(or_eye(a)), entries(or_eye(b))
-    return make(*[x[3 * i] * y[j] + x[3 * i + 1] * y[3 + j] + x[3 * i + 2] * y[6 + j] for i in range(3) for j in range(3)])
+    def product(p, q):
+        x, y = entries(p), entries(q)
+        return make(*[x[3 * i] * y[j] + x[3 * i + 1] * y[3 + j] + x[3 * i + 2] * y[6 + j] for i in range(3) for j in range(3)])
+
+    return bound(or_eye(a), lambda p: bound(or_eye(b), lambda q: product(p, q)))
 
 
 def det(m: Column) -> Column:
-    a, b, c, d, e, f, g, h, i = entries(or_eye(m))
-    return a * (e * i - f * h) - b * (d * i - f * g) + c * (d * h - e * g)
+    def of(p):
+        a, b, c, d, e, f, g, h, i = entries(p)
+        return a * (e * i - f * h) - b * (d * i - f * g) + c * (d * h - e * g)
+
+    return bound(or_eye(m), of)
 
 
 def inv(m: Column) -> Column:
     """Adjugate over determinant; null entries if singular; null stays null (identity)."""
-    a, b, c, d, e, f, g, h, i = entries(m)
-    adjugate = (e * i - f * h, c * h - b * i, b * f - c * e, f * g - d * i, a * i - c * g, c * d - a * f, d * h - e * g, b * g - a * h, a * e - b * d)
-    return F.when(m.isNotNull(), make(*[F.try_divide(v, det(m)) for v in adjugate]))
+    def of(p):
+        a, b, c, d, e, f, g, h, i = entries(p)
+        size = a * (e * i - f * h) - b * (d * i - f * g) + c * (d * h - e * g)
+        adjugate = (e * i - f * h, c * h - b * i, b * f - c * e, f * g - d * i, a * i - c * g, c * d - a * f, d * h - e * g, b * g - a * h, a * e - b * d)
+        return F.when(p.isNotNull(), make(*[F.try_divide(v, size) for v in adjugate]))
+
+    return bound(m, of)
 
 
 def transpose(m: Column) -> Column:
@@ -54,10 +72,13 @@ def transpose(m: Column) -> Column:
 
 
 def isclose_identity(m: Column, rtol: float = 1e-5, atol: float = 1e-8) -> Column:
-    close = F.lit(True)
-    for v, one in zip(entries(or_eye(m)), (1, 0, 0, 0, 1, 0, 0, 0, 1), strict=True):
-        close = close & (F.abs(v - one) <= atol + rtol * one)
-    return close
+    def of(p):
+        close = F.lit(True)
+        for v, one in zip(entries(p), (1, 0, 0, 0, 1, 0, 0, 0, 1), strict=True):
+            close = close & (F.abs(v - one) <= atol + rtol * one)
+        return close
+
+    return bound(or_eye(m), of)
 
 
 def is_affine(m: Column) -> Column:
@@ -104,7 +125,10 @@ def projective(scale_=(1, 1), offset=(0, 0), theta=0, shearx=0, uv=(0, 0), about
 
 def decompose(m: Column) -> Column:
     """``struct<tx,ty,sx,sy,shearx,theta>`` of an affine transform; the larger of sine and cosine is divided by."""
-    e = or_eye(m)
+    return bound(or_eye(m), _decomposed)
+
+
+def _decomposed(e: Column) -> Column:
     theta = F.atan2(e["a21"], e["a11"])
     s, c = F.sin(theta), F.cos(theta)
     slant = e["a12"] * c + e["a22"] * s
@@ -120,14 +144,16 @@ def decompose_projective(m: Column) -> Column:
     With bottom row ``(u, v, 1)`` of ``affine @ bend``, the affine part's entries are those
     of the product less ``u`` or ``v`` times its offset.
     """
-    e = or_eye(m)
+    return bound(or_eye(m), _decomposed_projective)
+
+
+def _decomposed_projective(e: Column) -> Column:
     u, v = F.try_divide(e["a31"], e["a33"]), F.try_divide(e["a32"], e["a33"])
     tx, ty = F.try_divide(e["a13"], e["a33"]), F.try_divide(e["a23"], e["a33"])
     part = make(
         F.try_divide(e["a11"], e["a33"]) - tx * u, F.try_divide(e["a12"], e["a33"]) - tx * v, tx,
         F.try_divide(e["a21"], e["a33"]) - ty * u, F.try_divide(e["a22"], e["a33"]) - ty * v, ty)
-    d = decompose(part)
-    return F.struct(*[d[n].alias(n) for n in ("tx", "ty", "sx", "sy", "shearx", "theta")], u.alias("u"), v.alias("v"))
+    return bound(decompose(part), lambda d: F.struct(*[d[n].alias(n) for n in ("tx", "ty", "sx", "sy", "shearx", "theta")], u.alias("u"), v.alias("v")))
 
 
 def eccentricity(m: Column) -> Column:
@@ -189,8 +215,11 @@ def apply(m: Column, x: Column, y: Column) -> tuple[Column, Column]:
 
 
 def warp_point(m: Column, p: Column) -> Column:
-    x, y = apply(or_eye(m), p["x"], p["y"])
-    return F.struct(x.alias("x"), y.alias("y"))
+    def of(e):
+        x, y = apply(e, p["x"], p["y"])
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    return bound(or_eye(m), of)
 
 
 def warp_points(m: Column, pts: Column) -> Column:
