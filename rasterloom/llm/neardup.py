@@ -21,8 +21,8 @@ BUCKETS, MANTISSA_BITS = 256, 10
 BAND_ROWS = 5
 #: Standard deviations by which an estimate may fall short before a pair is dropped unverified.
 SLACK = 5.0
-#: Pairs with a center are measured exactly if their distance may be below this; bounds serve for the others.
-MEASURED = 0.6
+#: Members of a key compared at once; larger keys are dealt over pairs of blocks.
+GROUP_ROWS = 2048
 #: Other buckets that an empty one asks in turn for their register.
 DONORS = 96
 
@@ -179,16 +179,70 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         run, f"a {kind}, b {kind}, d double, linked boolean")
 
 
+def across(loose: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links ``(u, v)`` between members of a key whose components differ, on full sets.
+
+    ``loose(key, id, c, deals)`` is dealt by key; a key of several blocks meets pair by pair
+    of blocks.  In a task, members outside a key's largest component look up all others
+    through postings of shingles.
+    """
+    kind = dict(loose.dtypes)["id"]
+    block = F.pmod(F.xxhash64("id"), F.col("deals")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("deals") - 1), lambda j: F.struct(F.least(F.col("block"), j).alias("i"), F.greatest(F.col("block"), j).alias("j")))
+    dealt = loose.withColumn("block", block).withColumn("meet", F.explode(pairs)).select("key", "meet.i", "meet.j", "id", "c")
+    rows = dealt.join(texts, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "id", "c", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        last = None
+        for batch in batches:
+            sets = shingle_sets(batch.column("text"))
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "id", "c")), sets, strict=True):
+                if row[:3] != last and held:
+                    yield from linked(held)
+                    held = []
+                held.append(row[3:])
+                last = row[:3]
+        if held:
+            yield from linked(held)
+
+    def linked(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        ids, comps, sets = zip(*held, strict=True)
+        numbers = {c: k for k, c in enumerate(dict.fromkeys(comps))}
+        comp = np.array([numbers[c] for c in comps])
+        main = np.bincount(comp).argmax()
+        size = np.array([len(x) for x in sets])
+        _, code = np.unique(np.concatenate(sets), return_inverse=True)
+        doc = np.repeat(np.arange(len(sets)), size)
+        order = np.argsort(code, kind="stable")
+        posting, first = doc[order], np.concatenate([[0], np.cumsum(np.bincount(code))])
+        start = np.concatenate([[0], np.cumsum(size)])
+        u, v = [], []
+        for x in np.flatnonzero(comp != main).tolist():
+            mine = code[start[x]:start[x + 1]]
+            lo, n = first[mine], first[mine + 1] - first[mine]
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
+            both = np.bincount(posting[at], minlength=len(sets))
+            hit = (100 * both >= PERCENT * (size + size[x] - both)) & (comp != comp[x])
+            for y in np.flatnonzero(hit).tolist():
+                u.append(max(ids[x], ids[y]))
+                v.append(min(ids[x], ids[y]))
+        if u:
+            kinds = pa.array(ids).type
+            yield pa.RecordBatch.from_arrays([pa.array(u, kinds), pa.array(v, kinds)], names=["u", "v"])
+
+    return rows.mapInArrow(run, f"u {kind}, v {kind}").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """``(id, n_shingles, component_id, kept)`` of every document.
 
     Documents with equal shingle sets form classes; the smallest id stands for each.
     Representatives that share a band key are candidates.  First each key's smallest
-    member, its center, is compared with the others; the links found join most members of a
-    group.  Then members of a key that are still in different components are paired, but
-    only where their distances from the center allow a link: Jaccard distance is a metric,
-    so two members whose distances from a third differ by more than 0.25 cannot be linked.
-    Candidates pass a size test and the register estimate before the exact test.
+    member is compared with the others, where the register estimate allows; the links found
+    join most members of a group.  Then the members of a key that are still in different
+    components are compared with each other on their full sets, key by key, inside the tasks:
+    only links leave them, so a group costs rows in proportion to its size.
 
     Null and empty texts have no shingles, link with nothing and are kept.  Rows with the
     same id are one document: all get its component.  Rows with a null id are returned with
@@ -211,34 +265,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = scratch.table(keys.join(centers, "key").select("key", F.col("id").alias("b"), "a"), "shared")
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        texts = scratch.table(source.join(needed, "id").dropDuplicates(["id"]), "texts")
-        out = scratch.table(compared(pairs.select("a", "b"), texts), "compared")
-        scratch.drop(texts)
-        scratch.release()
-        return out
+    def fetched(ids: DataFrame) -> DataFrame:
+        """Texts of the given documents; a merge join whatever the sizes, so that small runs foretell large ones."""
+        return scratch.table(source.join(ids.hint("merge"), "id").dropDuplicates(["id"]), "texts")
 
     stars = scratch.table(estimated(shared.where("a <> b").select("a", "b").distinct(), reps), "stars")
-    exact = verified(stars.where(F.col("lo") <= MEASURED))
+    hopeful = stars.where(F.col("lo") <= 1 - PERCENT / 100 + 1e-9).select("a", "b")
+    ids = hopeful.select(F.col("a").alias("id")).unionByName(hopeful.select(F.col("b").alias("id"))).distinct()
+    exact = scratch.table(compared(hopeful, fetched(ids)), "compared")
+    scratch.release()
     links = exact.where("linked").select(F.col("a").alias("v"), F.col("b").alias("u")).unionByName(same)
     found = scratch.table(connected_components(links, scratch), "components")
-    bounds = stars.join(exact.select("a", "b", "d"), ["a", "b"], "left").select(
-        "a", "b", F.coalesce("d", "lo").alias("lo"), F.coalesce("d", "hi").alias("hi"))
     # members of a key that the stars left apart
-    at = shared.join(found.select(F.col("node").alias("b"), "component"), "b", "left").select("key", "a", "b", F.coalesce("component", "b").alias("c"))
-    apart = at.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
-    loose = at.join(apart, "key").join(bounds, ["a", "b"], "left").select(
-        "key", "b", "c", F.coalesce("lo", F.lit(0.0)).alias("lo"), F.coalesce("hi", F.lit(0.0)).alias("hi"))
-    loose = scratch.table(loose, "loose")
-    left, right = (loose.select("key", *[F.col(x).alias(f"{x}{i}") for x in ("b", "c", "lo", "hi")]) for i in (1, 2))
-    near = 1 - PERCENT / 100 + 1e-9
-    rest = left.join(right, "key").where(
-        (F.col("c1") != F.col("c2")) & (F.col("b1") < F.col("b2")) & (F.col("lo1") - F.col("hi2") <= near) & (F.col("lo2") - F.col("hi1") <= near))
-    rest = rest.select(F.col("b1").alias("a"), F.col("b2").alias("b")).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")
-    rest = scratch.table(estimated(rest, reps).where(F.col("lo") <= near), "rest")
-    if not rest.isEmpty():
-        more = verified(rest).where("linked").select(F.col("a").alias("v"), F.col("b").alias("u"))
+    at = shared.join(found.select(F.col("node").alias("b"), "component"), "b", "left").select("key", F.col("b").alias("id"), F.coalesce("component", "b").alias("c"))
+    apart = at.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y")
+    loose = scratch.table(at.join(apart.select("key", F.ceil(F.col("n") / GROUP_ROWS).cast("int").alias("deals")), "key"), "loose")
+    if not loose.isEmpty():
+        more = scratch.table(across(loose, fetched(loose.select("id").distinct())), "across")
         found = scratch.table(connected_components(links.unionByName(more), scratch), "components")
     of = member.groupBy("id").agg(F.min("rep").alias("rep")).join(
         found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
