@@ -173,54 +173,58 @@ class Rounds:
         out = np.zeros(len(i), dtype=np.int64)
         own = int(self.n[source])
         for s, n in enumerate(self.n.tolist()):
+            # quanta j of s with (2j + 1) / n before (2i + 1) / own; at equal dues sources take turns in order
             if s == source:
-                served = i.astype(np.int64)
+                served = i
+            elif n * own > 2**60:
+                served = np.array([(n * (2 * int(x) + 1) + own - (s > source)) // (2 * own) for x in i], dtype=np.int64)
             else:
-                # quanta j of s with (2j + 1) / n before (2i + 1) / own
-                due = [n * (2 * int(x) + 1) + (own if s < source else own - 1) for x in i] if n * own > 2**60 else n * (2 * i + 1) + (own if s < source else own - 1)
-                served = np.asarray([d // (2 * own) for d in due] if isinstance(due, list) else due // (2 * own), dtype=np.int64)
+                served = (n * (2 * i + 1) + own - (s > source)) // (2 * own)
             out += np.minimum(served * self.quantum, self.totals[s])
         return out
 
 
-def cut_document(start: int, length: int, source: int, rounds: Rounds, window: int, total: int) -> list[tuple[int, int, int, int]]:
-    """Pieces ``(offset in document, length, sequence, offset in sequence)`` of tokens [start, start+length) of a source's queue."""
-    q = rounds.quantum
-    quanta = np.arange(start // q, (start + length - 1) // q + 1)
-    at = rounds.position(source, quanta)
-    pieces: list[list[int]] = []
-    for i, p in zip(quanta.tolist(), at.tolist(), strict=True):
-        lo, hi = max(start, i * q), min(start + length, (i + 1) * q)
-        stream = p + lo - i * q
-        while lo < hi:
-            seq, off = divmod(stream, window)
-            n = min(hi - lo, window - off)
-            if pieces and pieces[-1][2] == seq and pieces[-1][3] + pieces[-1][1] == off:
-                pieces[-1][1] += n
-            else:
-                pieces.append([lo - start, n, seq, off])
-            lo, stream = lo + n, stream + n
-    return split_tail(pieces, window, total)
-
+def cut_documents(start: np.ndarray, length: np.ndarray, source: np.ndarray, rounds: Rounds, window: int) -> tuple[np.ndarray, ...]:
+    """Pieces ``(document, offset in it, length, sequence, offset in sequence)`` of documents at tokens [start, start+length) of their queues.
 
-def split_tail(pieces: list[list[int]], window: int, total: int) -> list[tuple[int, int, int, int]]:
-    """The unfinished last window becomes sequences whose lengths are powers of two, so none is padded."""
+    Documents are cut at quanta, then at windows, then at the powers of two that the last
+    window is split into; neighbouring parts that meet in a sequence are one piece.
+    """
+    q, total = rounds.quantum, int(rounds.totals.sum())
+    first, last = start // q, (start + length - 1) // q
+    n = last - first + 1
+    doc = np.repeat(np.arange(len(start)), n)
+    quantum = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
+    at = np.zeros(len(doc), dtype=np.int64)
+    for s in np.unique(source).tolist():
+        mine = source[doc] == s
+        at[mine] = rounds.position(s, quantum[mine])
+    lo = np.maximum(start[doc], quantum * q)
+    hi = np.minimum((start + length)[doc], (quantum + 1) * q)
+    stream = at + lo - quantum * q
     full, rest = divmod(total, window)
-    ends, at = [], 0
-    for bit in range(window.bit_length(), -1, -1):
-        if rest >> bit & 1:
-            ends.append((at, at + (1 << bit)))
-            at += 1 << bit
-    out = []
-    for start, n, seq, off in pieces:
-        if seq < full:
-            out.append((start, n, seq, off))
-            continue
-        for k, (lo, hi) in enumerate(ends):
-            a, b = max(off, lo), min(off + n, hi)
-            if a < b:
-                out.append((start + a - off, b - a, full + k, a - lo))
-    return out
+    ends = [full * window + sum(1 << b for b in range(bit, rest.bit_length()) if rest >> b & 1) for bit in range(rest.bit_length() - 1, -1, -1) if rest >> bit & 1]
+    # borders of sequences: every window, then the powers of two
+    tails = np.array([full * window, *ends], dtype=np.int64)
+    out = [[] for _ in range(5)]
+    offset, left = lo - start[doc], hi - lo
+    while len(doc):
+        tail = np.searchsorted(tails, stream, side="right") - 1
+        sequence = np.where(tail < 0, stream // window, full + np.maximum(tail, 0))
+        begin = np.where(tail < 0, sequence * window, tails[np.maximum(tail, 0)])
+        stop = np.where(tail < 0, begin + window, tails[np.minimum(np.maximum(tail, 0) + 1, len(tails) - 1)])
+        now = np.minimum(left, stop - stream)
+        for part, value in zip(out, (doc, offset, now, sequence, stream - begin), strict=True):
+            part.append(value)
+        more = now < left
+        doc, offset, left, stream = doc[more], (offset + now)[more], (left - now)[more], (stream + now)[more]
+    doc, offset, size, sequence, place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
+    order = np.lexsort((offset, doc))
+    doc, offset, size, sequence, place = doc[order], offset[order], size[order], sequence[order], place[order]
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (sequence[1:] != sequence[:-1]) | (place[1:] != place[:-1] + size[:-1])
+    head = np.flatnonzero(new)
+    return doc[head], offset[head], np.add.reduceat(size, head) if len(head) else size, sequence[head], place[head]
 
 
 def pack(
@@ -257,24 +261,24 @@ def pack(
     totals.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     index = spark.createDataFrame([(r["source"], k) for k, r in enumerate(totals)], "source string, k int")
     rounds = Rounds([r["n"] for r in totals], quantum)
-    total = int(rounds.totals.sum())
     placed = lengths.join(F.broadcast(index), lengths["source"].eqNullSafe(index["source"])).drop(index["source"])
     placed = cumulative(placed, "k", ["h", "row"], "n_tokens", "queue", max(2, sum(r["docs"] for r in totals) // 2_000))
     placed = scratch.table(placed.select("row", "k", "queue"), "queue")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = {k: [] for k in ("i", "start", "length", "sequence_id", "offset", "ids")}
-            ids = batch.column("ids")
-            for i, (k, queue, n) in enumerate(zip(batch.column("k").to_pylist(), batch.column("queue").to_pylist(), batch.column("n_tokens").to_pylist(), strict=True)):
-                data = np.frombuffer(ids[i].as_buffer(), dtype="<u2").astype("<u4")
-                for start, length, seq, off in cut_document(queue, n, k, rounds, window, total):
-                    for name, value in zip(cols, (i, start, length, seq, off, data[start:start + length].tobytes()), strict=True):
-                        cols[name].append(value)
-            at = pa.array(cols["i"], pa.int64())
+            k, queue, n = (batch.column(c).to_numpy() for c in ("k", "queue", "n_tokens"))
+            doc, start, length, sequence, offset = cut_documents(queue, n, k, rounds, window)
+            held = batch.column("ids").cast(pa.large_binary())
+            _, edges, data = held.buffers()
+            begin = np.frombuffer(edges, np.int64)[held.offset:held.offset + len(held)] // 2
+            tokens = np.frombuffer(data, "<u2").astype("<u4") if data is not None else np.zeros(0, "<u4")
+            at = np.concatenate([[0], np.cumsum(length)])
+            where = np.repeat(begin[doc] + start - at[:-1], length) + np.arange(int(at[-1]))
+            pieces = pa.Array.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer(at * 4), pa.py_buffer(tokens[where].view(np.uint8))])
+            rows = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(at), *(pa.array(cols[c], pa.int64()) for c in ("start", "length")), pa.array(cols["ids"], pa.binary()),
-                 batch.column("n_tokens").take(at), *(pa.array(cols[c], pa.int64()) for c in ("sequence_id", "offset"))],
+                [batch.column("id").take(rows), pa.array(start), pa.array(length), pieces.cast(pa.binary()), batch.column("n_tokens").take(rows), pa.array(sequence), pa.array(offset)],
                 names=[id_col, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
     schema = f"{id_col} {dict(docs.dtypes)[id_col]}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
