@@ -54,7 +54,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def text_blocks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_blocks(texts: pa.Array, block_bytes: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """``(first row, last row, bytes, offsets)`` of runs of texts; null counts as empty."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())
     if not len(texts):
@@ -64,7 +64,7 @@ def text_blocks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndar
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
     lo = 0
     while lo < len(texts):
-        hi = int(np.searchsorted(at, at[lo] + BLOCK_BYTES, side="right")) - 1
+        hi = int(np.searchsorted(at, at[lo] + (block_bytes or BLOCK_BYTES), side="right")) - 1
         hi = min(max(hi, lo + 1), len(texts))
         yield lo, hi, raw[at[lo]:at[hi]], at[lo:hi + 1] - at[lo]
         lo = hi

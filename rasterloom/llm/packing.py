@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -10,28 +9,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import hashing
 from .mixing import cumulative
+from .substrings import expand
 from .workspace import Scratch
 
-#: Words whose ids a worker keeps in each of two generations.  Ids must fit 16 bits.
-MAX_CACHED_WORDS = 200_000
+#: Words whose ids a worker keeps.  Ids must fit 16 bits.
+MAX_CACHED_WORDS = 400_000
 
 #: Sources known to the driver; more raise instead of growing every task's closure.
 MAX_SOURCES = 10_000
 
 #: Bytes of text handled at once within an Arrow batch.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 2 << 20
 
 
 class WordTokenizer:
     """Ids of texts, word by word, for a BPE whose pre-tokenizer never crosses ASCII white space.
 
-    A word's ids are kept as bytes, so a text's are one join.  When ``MAX_CACHED_WORDS`` are
-    known the table becomes the older generation; words still in use move to the new one.
-    Words of Latin letters, perhaps with a final stop or comma, are one or two pieces
-    whatever stands around them: their stems are lower-cased together and go to the
-    tokenizer's model through a plain split at spaces, whose ids are parted again at those
-    that end a word.  All other words take the tokenizer's whole path.
+    Words of a block are told apart by 64-bit hashes; a sorted table of hashes leads to the
+    ids of those met before (it starts anew beyond ``MAX_CACHED_WORDS``), and the ids of all
+    texts are one gather.  New words of Latin letters, perhaps with a final stop or comma,
+    are one or two pieces whatever stands around them: their stems are lower-cased together
+    and go to the tokenizer's model through a plain split at spaces, whose ids are parted
+    again at those that end a word.  All other words take the tokenizer's whole path.
     """
 
     def __init__(self, path: str):
@@ -40,79 +41,110 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.stems = Tokenizer(self.tokenizer.model)
         self.stems.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(1 << 16, dtype=bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.marks = {m: self._whole([m.decode()])[0] for m in (b".", b",")}
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.stop, self.comma = (self._whole([m])[0] for m in ".,")
         # visible stand-ins of bytes, as byte-level vocabularies have them; line feeds part stems
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         spare = iter(range(256, 512))
         stand_in = {b: chr(b) if b in shown else chr(next(spare)) for b in range(256)}
         self.table = "".join(stand_in[b] if b != 10 else " " for b in range(256))
-        self.words: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self._clear()
 
-    def _whole(self, words: list[str]) -> list[bytes]:
-        return [
-            np.array(e.ids, dtype="<u2").tobytes()
-            for i in range(0, len(words), 512) for e in self.tokenizer.encode_batch_fast(words[i:i + 512], add_special_tokens=False)]
+    def _clear(self) -> None:
+        self.keys = np.zeros(0, np.uint64)
+        self.slots = np.zeros(0, np.int64)
+        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.uint16)
 
-    def _stem_ids(self, lines: str) -> list[bytes] | None:
-        """Ids of each of the lines; None if their number can't be told from the ids."""
-        rows = lines.split(" ")
+    def _whole(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for i in range(0, len(words), 512) for e in self.tokenizer.encode_batch_fast(words[i:i + 512], add_special_tokens=False)]
+
+    def _stem_ids(self, rows: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of the rows and where each ends; None if that can't be told from the ids."""
         found = self.stems.encode_batch_fast([" ".join(rows[i:i + 512]) for i in range(0, len(rows), 512)], add_special_tokens=False)
-        ids = np.concatenate([np.array(e.ids, dtype="<u2") for e in found])
+        ids = np.concatenate([np.array(e.ids, dtype=np.uint16) for e in found])
         stop = np.flatnonzero(self.ends[ids]) + 1
-        if len(stop) != len(rows):
-            return None
-        data, at = ids.tobytes(), [0, *(2 * stop).tolist()]
-        return [data[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
-
-    def _learn(self, words: list[bytes]) -> None:
-        data = np.frombuffer(b"\n".join(words) + b"\n", dtype=np.uint8)
-        stop = np.flatnonzero(data == 10)
-        start = np.concatenate([[0], stop[:-1] + 1])
-        letter = ((data | 32) >= 97) & ((data | 32) <= 122)
-        lead = data == 0xC3
-        tail = np.concatenate([[False], lead[:-1]]) & (data >= 0x80) & (data <= 0xBF) & (data != 0x97) & (data != 0xB7)
+        return (ids, stop) if len(stop) == len(rows) else None
+
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words at [starts, ends), laid end to end, and their numbers."""
+        size = ends - starts
+        text = np.full(int(size.sum()) + len(size), 10, dtype=np.uint8)
+        stop = np.cumsum(size + 1) - 1
+        start = stop - size
+        text[np.arange(int(size.sum())) + np.repeat(np.arange(len(size)), size)] = data[expand(starts, ends)]
+        letter = ((text | 32) >= 97) & ((text | 32) <= 122)
+        lead = text == 0xC3
+        tail = np.concatenate([[False], lead[:-1]]) & (text >= 0x80) & (text <= 0xBF) & (text != 0x97) & (text != 0xB7)
         lead &= np.concatenate([tail[1:], [False]])
-        mark = ((data == 46) | (data == 44)) & np.concatenate([data[1:] == 10, [False]])
-        good = letter | lead | tail | mark | (data == 10)
-        marked = mark[stop - 1] & (stop > start)
-        plain = np.logical_and.reduceat(good, start) & (stop - start - marked > 0)
-        low = data.copy()
-        low[letter] |= 32
-        low[tail & (data <= 0x9E)] += 32
-        pick = np.repeat(plain, stop - start + 1) & ~mark
-        simple = np.flatnonzero(plain).tolist()
-        if simple:
-            lines = low[pick].tobytes()[:-1].decode("latin-1").translate(self.table)
-            distinct = list(dict.fromkeys(lines.split(" ")))
-            found = self._stem_ids(" ".join(distinct))
+        mark = ((text == 46) | (text == 44)) & np.concatenate([text[1:] == 10, [False]])
+        marked = mark[stop - 1]
+        plain = np.logical_and.reduceat(letter | lead | tail | mark | (text == 10), start) & (size - marked > 0)
+        counts, sources = np.zeros(len(size), np.int64), []
+        if plain.any():
+            low = text.copy()
+            low[letter] |= 32
+            low[tail & (text <= 0x9E)] += 32
+            rows = low[np.repeat(plain, size + 1) & ~mark].tobytes()[:-1].decode("latin-1").translate(self.table).split(" ")
+            number = {s: i for i, s in enumerate(dict.fromkeys(rows))}
+            found = self._stem_ids(list(number))
             if found is None:
                 plain[:] = False
             else:
-                ids, marks, last, has = dict(zip(distinct, found, strict=True)), self.marks, data[stop - 1].tolist(), marked.tolist()
-                for i, stem in zip(simple, lines.split(" "), strict=True):
-                    self.words[words[i]] = ids[stem] + marks[b"." if last[i] == 46 else b","] if has[i] else ids[stem]
-        rest = [words[i] for i in np.flatnonzero(~plain).tolist()]
-        self.words.update(zip(rest, self._whole([w.decode() for w in rest]), strict=True))
-
-    def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """Concatenated ids, ``end_id`` after each text, and the number of ids of each text."""
-        if len(self.words) > MAX_CACHED_WORDS:
-            self.old, self.words = self.words, {}
-        split = [t.split() for t in texts]
-        fresh = set().union(*split).difference(self.words)
-        again = fresh.intersection(self.old)
-        self.words.update(zip(again, map(self.old.__getitem__, again), strict=True))
-        fresh -= again
-        if fresh:
-            self._learn(list(fresh))
-        end, get = struct.pack("<H", end_id), self.words.__getitem__
-        packed = [b"".join(map(get, words)) + end for words in split]
-        counts = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // 2
-        return np.frombuffer(b"".join(packed), dtype="<u2").astype(np.uint32), counts
+                ids, last = found
+                of = np.fromiter(map(number.__getitem__, rows), dtype=np.int64, count=len(rows))
+                first = np.concatenate([[0], last[:-1]])
+                counts[plain] = (last - first)[of] + marked[plain]
+                sources.append((plain, ids, first[of], last[of]))
+        rest = np.flatnonzero(~plain)
+        whole = self._whole([data[starts[i]:ends[i]].tobytes().decode() for i in rest.tolist()])
+        counts[rest] = [len(x) for x in whole]
+        at = np.concatenate([[0], np.cumsum(counts)])
+        out = np.zeros(int(at[-1]), np.uint16)
+        for which, ids, lo, hi in sources:
+            begin = at[:-1][which]
+            out[expand(begin, begin + hi - lo)] = ids[expand(lo, hi)]
+            closing = which & marked
+            out[at[1:][closing] - 1] = np.where(text[stop[closing] - 1] == 46, self.stop[0], self.comma[0])
+        for i, ids in zip(rest.tolist(), whole, strict=True):
+            out[at[i]:at[i + 1]] = ids
+        return out, counts
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a block of texts, ``end_id`` after each, and the number of ids of each text."""
+        starts, ends, first = hashing.word_spans(data, offsets)
+        words = np.diff(first)
+        if not len(starts):
+            return np.full(len(words), end_id, np.uint16), np.ones(len(words), np.int64)
+        hashed = hashing.word_hashes(data, starts, ends)
+        order = np.argsort(hashed)
+        new = np.concatenate([[True], hashed[order[1:]] != hashed[order[:-1]]])
+        head = order[new]
+        distinct = hashed[head]
+        which = np.empty(len(order), np.int64)
+        which[order] = np.cumsum(new) - 1
+        if len(self.keys) > MAX_CACHED_WORDS:
+            self._clear()
+        at = np.searchsorted(self.keys, distinct)
+        fresh = np.ones(len(distinct), bool)
+        inside = at < len(self.keys)
+        fresh[inside] = self.keys[at[inside]] != distinct[inside]
+        if fresh.any():
+            ids, counts = self._learn(data, starts[head[fresh]], ends[head[fresh]])
+            slots = np.arange(len(counts)) + len(self.size)
+            self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(counts) - counts])
+            self.size, self.pool = np.concatenate([self.size, counts]), np.concatenate([self.pool, ids])
+            self.keys, self.slots = np.insert(self.keys, at[fresh], distinct[fresh]), np.insert(self.slots, at[fresh], slots)
+            at = np.searchsorted(self.keys, distinct)
+        slot = self.slots[at][which]
+        size = self.size[slot]
+        total = np.concatenate([[0], np.cumsum(size)])
+        own = total[first[1:]] - total[first[:-1]]
+        out = np.full(int(total[-1]) + len(words), end_id, np.uint16)
+        source = np.arange(int(total[-1])) + np.repeat(self.begin[slot] - total[:-1], size)
+        out[np.arange(int(total[-1])) + np.repeat(np.arange(len(words)), own)] = self.pool[source]
+        return out, own + 1
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -122,12 +154,10 @@ def tokenize(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = WordTokenizer(path)
         for batch in batches:
-            raw = batch.column(3).cast(pa.binary())
-            for lo, hi in blocks(raw):
-                texts = [x.as_py() or b"" for x in raw.slice(lo, hi - lo)]
-                ids, counts = coder.encode(texts, end_id)
+            for lo, hi, data, offsets in hashing.text_blocks(batch.column(3), BLOCK_BYTES):
+                ids, counts = coder.encode(data, offsets, end_id)
                 cut = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                packed = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(cut * 2), pa.py_buffer(ids.astype("<u2").view(np.uint8))])
+                packed = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(cut * 2), pa.py_buffer(ids.astype("<u2").view(np.uint8))])
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), part.column(2), pa.array(counts), packed], names=["id", "source", "row", "n_tokens", "ids"])
@@ -138,19 +168,6 @@ def tokenize(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str
     return rows.mapInArrow(run, schema)
 
 
-def blocks(raw: pa.Array) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of at most ``BLOCK_BYTES``, one row at least."""
-    lengths = np.nan_to_num(np.asarray(pa.compute.binary_length(raw).to_numpy(zero_copy_only=False), dtype=float))
-    lo, size = 0, 0.0
-    for i, n in enumerate(lengths):
-        if i > lo and size + n > BLOCK_BYTES:
-            yield lo, i
-            lo, size = i, 0.0
-        size += n
-    if len(lengths) > lo:
-        yield lo, len(lengths)
-
-
 class Rounds:
     """Where each source's tokens lie in the stream that deficit round-robin serves.
 
