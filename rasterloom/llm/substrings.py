@@ -240,10 +240,8 @@ def repeats(values: np.ndarray) -> np.ndarray:
 
 def covered(bad: np.ndarray, window: int, size: int) -> np.ndarray:
     """Positions below ``size`` that a marked window of ``window`` covers."""
-    change = np.zeros(size + 1, dtype=np.int64)
     at = np.flatnonzero(bad)
-    np.add.at(change, at, 1)
-    np.add.at(change, at + window, -1)
+    change = np.bincount(at, minlength=size + 1) - np.bincount(at + window, minlength=size + 1)
     return np.cumsum(change[:-1]) > 0
 
 

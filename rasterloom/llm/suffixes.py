@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -230,7 +231,9 @@ def deduplicate_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def earlier(rows: DataFrame, name: str) -> DataFrame:
         first = rows.groupBy("h", "c").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h", "c", "lo")
         first = scratch.table(first, f"first-{name}")
-        return scratch.table(rows.join(first, ["h", "c"]).where("id > lo").select("id", "h"), f"later-{name}")
+        later = scratch.table(rows.join(first, ["h", "c"]).where("id > lo").select("id", "h"), f"later-{name}")
+        scratch.drop(first)
+        return later
 
     def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -320,7 +323,7 @@ def deduplicate_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         pick = np.flatnonzero(later | open_)
         sums = [hashing.byte_prefix(data, k) for k in (0, 1)]
         h, c = (hashing.spans(sums[k], at[pick], at[pick] + length, k) for k in (0, 1))
-        key = np.rec.fromarrays([owner[pick], h, open_[pick]])
+        key = hashing.mix(hashing.mix(owner[pick].astype(U)) ^ h) ^ open_[pick].astype(U)
         _, first = np.unique(key, return_index=True)
         yield pa.RecordBatch.from_arrays(
             [pa.array(owner[pick][first]), pa.array(h[first].view(np.int64)), pa.array(c[first].view(np.int64)), pa.array(open_[pick][first])],
@@ -328,6 +331,15 @@ def deduplicate_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            hit = pc.or_(pc.is_valid(batch.column("whole")), pc.is_valid(batch.column("single")))
+            rest = batch.filter(pc.invert(hit))
+            if rest.num_rows:
+                raw = pc.fill_null(rest.column("text"), "").cast(pa.binary())
+                size = pc.binary_length(raw).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [rest.column("id"), size, pa.array([0] * len(raw), pa.int64()), pa.array([[]] * len(raw), pa.list_(pa.list_(pa.int64()))), raw],
+                    names=[id_col, "n_bytes", "n_removed", "removed_spans", "kept"])
+            batch = batch.filter(hit)
             total, removed, spans, kept = [], [], [], []
             for i, row, w in _rows(batch, length, gram, False):
                 a, z = int(w.first[row]), int(w.first[row + 1])
@@ -357,8 +369,10 @@ def deduplicate_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     scratch.release()
     involved = known.join(hits, "id")
     rows = scratch.table(involved.select("id", "text", "hs").mapInArrow(stretches, f"h long, c long, id {kind}"), "stretches")
-    whole = earlier(rows, "stretches").groupBy("id").agg(F.collect_list("h").alias("whole"))
-    whole = scratch.table(whole, "whole")
+    later = earlier(rows, "stretches")
+    whole = scratch.table(later.groupBy("id").agg(F.collect_list("h").alias("whole")), "whole")
+    scratch.drop(rows, later)
+    scratch.release()
     rest = involved.join(whole, "id", "left").select("id", "text", "hs", "whole")
     rest = scratch.table(rest.mapInArrow(remainders, f"id {kind}, mark long, body binary"), "remainders")
     scratch.release()
@@ -369,9 +383,11 @@ def deduplicate_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     dealt = dealt.repartition("mark", "deal").sortWithinPartitions("mark", "deal")
     classes = scratch.table(
         dealt.mapInArrow(sort_groups, "id long, h long, c long, open boolean"), "classes")
+    scratch.drop(rest, sizes)
     across = earlier(classes.where("open").select(F.col("id").cast(kind).alias("id"), "h", "c"), "dealt")
     single = classes.where("not open").select(F.col("id").cast(kind).alias("id"), "h").unionByName(across)
     single = scratch.table(single.groupBy("id").agg(F.collect_list("h").alias("single")), "single")
+    scratch.drop(classes, across)
     scratch.release()
     found = texts.join(hits, "id", "left").join(whole, "id", "left").join(single, "id", "left")
     return found.select("id", "text", "hs", "whole", "single").mapInArrow(
