@@ -33,11 +33,12 @@ def query(name: str, sql: str | None = None):
 
 
 def r6(c, name: str):
-    return F.bround(c, 6).alias(name)
+    """Rounded half even, without negative zeros."""
+    return (F.bround(c, 6) + F.lit(0.0)).alias(name)
 
 
 def q6(expr: str, name: str) -> str:
-    return f"round_even({expr}, 6) as {name}"
+    return f"round_even({expr}, 6) + 0.0::double as {name}"
 
 
 def box_query(name: str, make, sql: str, fields=("x1", "y1", "x2", "y2")):
@@ -227,7 +228,7 @@ def affine_compose(spark, sf_dir):
 @query("affine_inverse", f"""with {TF}, d as (select *, a11*a22-a12*a21 as det from m_v) select o_orderkey, {q6('a22/det', 'a11')}, {q6('-a12/det', 'a12')}, {q6('(a12*a23-a13*a22)/det', 'a13')}, {q6('-a21/det', 'a21')}, {q6('a11/det', 'a22')}, {q6('(a13*a21-a11*a23)/det', 'a23')} from d""")
 def affine_inverse(spark, sf_dir):
     c = _transforms(spark, sf_dir).select("o_orderkey", M.inv(F.col("m")).alias("c"))
-    return c.select("o_orderkey", *[r6(F.col(f"c.{n}") + 0.0, n) for n in M.NAMES[:6]])
+    return c.select("o_orderkey", *[r6(F.col(f"c.{n}"), n) for n in M.NAMES[:6]])
 
 
 @query("affine_fit_moments", f"with {CORR} select o_orderpriority, count(*) as n, 2.0::double as a11, (-1.0)::double as a12, 3.0::double as a13, 1.0::double as a21, 0.5::double as a22, (-1.0)::double as a23 from corr_v group by 1")
@@ -239,7 +240,7 @@ def affine_fit_moments(spark, sf_dir):
 @query("projective_fit", f"with {CORR} select o_orderpriority, count(*) as n, 2.0::double as a11, (-1.0)::double as a12, 3.0::double as a13, 1.0::double as a21, 0.5::double as a22, (-1.0)::double as a23 from corr_v group by 1")
 def projective_fit(spark, sf_dir):
     fit = M.fit_projective(fixtures.correspondences(spark, sf_dir), ["o_orderpriority"])
-    return fit.select("o_orderpriority", "n", *[F.bround(F.col(n), 4).alias(n) for n in M.NAMES[:6]])
+    return fit.select("o_orderpriority", "n", *[(F.bround(F.col(n), 4) + F.lit(0.0)).alias(n) for n in M.NAMES[:6]])
 
 
 @query("warp_points_affine", f"with {TF} select o_orderkey, {q6('a11*3+a12*4+a13', 'x')}, {q6('a21*3+a22*4+a23', 'y')} from m_v")
@@ -346,7 +347,7 @@ def polygon_area(spark, sf_dir):
 @query("polygon_centroid", f"with {POLY} select o_orderkey, {q6('cx', 'x')}, {q6('cy', 'y')} from p")
 def polygon_centroid(spark, sf_dir):
     c = _polygons(spark, sf_dir).select("o_orderkey", G.centroid(F.col("poly")).alias("c"))
-    return c.select("o_orderkey", r6(F.col("c.x") + 0.0, "x"), r6(F.col("c.y") + 0.0, "y"))
+    return c.select("o_orderkey", r6("c.x", "x"), r6("c.y", "y"))
 
 
 @query("polygon_orientation", f"with {POLY} select o_orderkey, false as clockwise, true as turned, n from p")
@@ -391,10 +392,10 @@ def ensure_uint255(spark, sf_dir):
 def pixel_query(name: str, make, sql: str, digits: int = 6):
     def run(spark, sf_dir):
         out = make(fixtures.pixels(spark, sf_dir).select("vec_id", "y", "x", "v"))
-        return out.select("vec_id", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.bround(F.col("v") + 0.0, digits).alias("v"))
+        return out.select("vec_id", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), (F.bround(F.col("v"), digits) + F.lit(0.0)).alias("v"))
 
     QUERIES[name] = run
-    ORACLE[name] = f"with {PIXELS} select vec_id, cast(y as bigint) as y, cast(x as bigint) as x, round_even(v + 0.0, {digits}) as v from ({sql})"
+    ORACLE[name] = f"with {PIXELS} select vec_id, cast(y as bigint) as y, cast(x as bigint) as x, round_even(v, {digits}) + 0.0::double as v from ({sql})"
 
 
 ID = ["vec_id"]
