@@ -89,4 +89,67 @@ QUERIES = {
     "op10_near_duplicates": op10_near_duplicates,
 }
 
-ORACLE: dict[str, str] = {}
+_AFTER = "substr(url, position('://' in url) + 3)"
+_HAS = "position('://' in coalesce(url, '')) > 0"
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_WORDS = r"'[^\x20\x09-\x0D]+'"
+
+ORACLE: dict[str, str] = {
+    # the tables hold no redirects or canonical links, so the method allows what no rule decides
+    "op5_url_filter": f"""
+with u as (
+  select page_id,
+    case when {_HAS} then translate(regexp_extract({_AFTER}, '^[^/?#]*'), {_LOWER}) else '' end as host,
+    case when {_HAS} then regexp_extract({_AFTER}, '^[^/?#]*([^?#]*)', 1) else '' end as path
+  from pages),
+r as (select * from (values {", ".join(str(r) for r in URL_RULES)}) t(v, h, p)),
+m as (
+  select u.*, r.h || r.p as rule, r.v,
+    row_number() over (partition by page_id, host, path order by length(r.h || r.p) desc, r.v) as k
+  from u join r on (u.host = r.h or ends_with(u.host, '.' || r.h)) and starts_with(u.path, r.p))
+select u.page_id, u.host, u.path, m.rule, coalesce(m.v, 'allow') as verdict
+from u left join m on m.page_id = u.page_id and m.host = u.host and m.path = u.path and m.k = 1""",
+    "op6_substring_dedup": f"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), {_WORDS}) as ws from documents),
+win as (select doc_id, i, array_to_string(ws[i:i+19], ' ') as s from w, unnest(range(1, greatest(len(ws) - 18, 1))) t(i)),
+dup as (select doc_id, i from win qualify row_number() over (partition by s order by doc_id, i) > 1),
+gone as (select distinct doc_id, i + d as p from dup, unnest(range(20)) t(d)),
+word as (select doc_id, p, ws[p] as word from w, unnest(range(1, len(ws) + 1)) t(p)),
+kept as (
+  select word.doc_id, string_agg(word, ' ' order by word.p) filter (where g.p is null) as t, count(g.p) as n
+  from word left join gone g on g.doc_id = word.doc_id and g.p = word.p group by 1)
+select w.doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from w left join kept using (doc_id)""",
+    "op9_suffix_dedup": """
+with w as (
+  select doc_id, hex(encode(coalesce(text, ''))) as h, cast(length(hex(encode(coalesce(text, '')))) // 2 as bigint) as n from documents),
+win as (select doc_id, i, substr(h, 2 * i + 1, 100) as s from w, unnest(range(greatest(n - 49, 0))) t(i)),
+bad as (select doc_id, i from (select doc_id, i, min(doc_id) over (partition by s) as lo from win) where doc_id > lo),
+cut as (select doc_id, i, case when i - lag(i) over (partition by doc_id order by i) <= 50 then 0 else 1 end as fresh from bad),
+span as (
+  select doc_id, min(i) as a, max(i) + 50 as b
+  from (select *, sum(fresh) over (partition by doc_id order by i) as g from cut) group by doc_id, g),
+seg as (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as p from span),
+part as (
+  select doc_id, sum(b - a) as n_removed, count(*) as n_spans, max(b) as e,
+    string_agg(substr(h, cast(2 * p + 1 as bigint), cast(2 * (a - p) as bigint)), '' order by a) as k
+  from seg join w using (doc_id) group by doc_id)
+select w.doc_id, w.n as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans,
+  sha256(unhex(coalesce(k, '') || substr(h, cast(2 * coalesce(e, 0) + 1 as bigint)))) as kept_sha256
+from w left join part using (doc_id)""",
+    "op10_near_duplicates": f"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), {_WORDS}) as ws from documents),
+sh as (
+  select distinct doc_id, array_to_string(ws[i:i+4], ' ') as s
+  from w, unnest(range(1, greatest(len(ws) - 3, least(len(ws), 1) + 1))) t(i)),
+n as (select doc_id, count(*) as n from sh group by 1),
+inter as (select a.doc_id as x, b.doc_id as y, count(*) as c from sh a join sh b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+link as (
+  select x, y from inter join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * c >= 75 * (nx.n + ny.n - c)),
+e as (select x, y from link union select y, x from link),
+reach as (select doc_id as x, doc_id as y from w union select r.x, e.y from reach r join e on e.x = r.y),
+comp as (select x as doc_id, min(y) as component_id from reach group by 1)
+select w.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, component_id, component_id = w.doc_id as kept
+from w left join n using (doc_id) join comp using (doc_id)""",
+}
