@@ -160,7 +160,13 @@ def labelled_sample(pages: DataFrame, id_col: str, html_col: str, limit: int) ->
     """At most ``limit`` pages with an article or main element, by smallest hash of their id."""
     rows = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).where(
         F.col("html").rlike(r"(?i)<(?:article|main)\b") & (F.length("html") <= MAX_LABELLED_CHARS))
-    return [r["html"] for r in rows.orderBy(F.xxhash64("id"), F.xxhash64("html")).limit(limit).select("html").collect()]
+    rows = rows.withColumn("h", F.xxhash64("id"))
+    # hashes alone are ranked; only pages up to the last of them come to the driver
+    ranked = rows.select("h").orderBy("h").limit(limit).collect()
+    if not ranked:
+        return []
+    found = rows.where(F.col("h") <= ranked[-1]["h"]).select("h", "html").limit(2 * limit).collect()
+    return [r["html"] for r in sorted(found, key=lambda r: (r["h"], r["html"]))[:limit]]
 
 
 def extract_main_text(
