@@ -36,3 +36,10 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name, key", [("heatmap_rasterize_all", "image_id"), ("draw_boxes_all", "image_id")])
+def test_drawing_reaches_every_image(spark, name, key):
+    got = queries.QUERIES[name](spark, SF).select(key).distinct().count()
+    assert got == queries.fixtures.boxes(spark, SF).select(key).distinct().count()
+    assert "image_id < 40" not in queries.ORACLE[name]
