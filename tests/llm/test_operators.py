@@ -331,6 +331,43 @@ def test_lines(docs, rows):
         assert (r["n_lines"], r["n_removed"], r["kept_text"]) == (len(parts), len(parts) - len(left), "\n".join(left))
 
 
+def brute_lines(table):
+    """(id, pos) of the lines that go, by 5-character shingles at every position."""
+    first = {}
+    for i, t in table:
+        for p, x in enumerate(t.split("\n")):
+            if WORD.search(x):
+                first.setdefault(x, (i, p))
+    sets = {x: {x[k:k + 5] for k in range(max(1, len(x) - 4))} for x in first}
+    parent = {x: x for x in first}
+    for x in sets:
+        for y in sets:
+            both = len(sets[x] & sets[y])
+            if x < y and 100 * both >= 75 * len(sets[x] | sets[y]):
+                parent[find(parent, x)] = find(parent, y)
+    keep = {}
+    for x, at in first.items():
+        keep[find(parent, x)] = min(keep.get(find(parent, x), at), at)
+    return {(i, p) for i, t in table for p, x in enumerate(t.split("\n")) if x in first and keep[find(parent, x)] != (i, p)}
+
+
+def test_lines_with_one_changed_word(spark):
+    import random
+
+    rng = random.Random(4)
+    vocab = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(400)]
+    texts = []
+    for i in range(40):
+        w = [rng.choice(vocab) for _ in range(18)]
+        v = list(w)
+        v[rng.randrange(18)] = "xyz"
+        texts += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+    want = brute_lines(texts)
+    assert len(want) > 30
+    got = lines.deduplicate_lines(spark.createDataFrame(texts, "doc_id long, text string")).where("n_removed > 0").collect()
+    assert {(r["doc_id"], 0) for r in got} == want
+
+
 # quality -----------------------------------------------------------------------------
 
 
