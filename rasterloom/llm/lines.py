@@ -12,8 +12,8 @@ from .components import connected_components
 from .quality import let
 from .workspace import Scratch
 
-#: Lines of fewer words (headings, list items) are left alone.
-MIN_WORDS = 5
+#: Lines of fewer words (blank lines) are left alone.
+MIN_WORDS = 1
 #: Characters of a shingle; one starts at every character.
 SHINGLE_CHARS = 5
 #: Links need 100 * intersection >= PERCENT * union of two lines' shingles.
@@ -34,9 +34,9 @@ def shingles(line: Column) -> Column:
 
 
 def numbered_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, pos, line, l1, l2)`` of lines with at least ``MIN_WORDS`` words; ``l1, l2`` is a 128-bit name of the line's text."""
+    """``(id, pos, line, l1, l2)`` of lines with a word; ``l1, l2`` is a 128-bit name of the line's text."""
     split = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
-    return split.where(F.col("line").rlike(rf"^[{_W}]*(?:[^{_W}]+[{_W}]+){{{MIN_WORDS - 1}}}[^{_W}]")).select(
+    return split.where(F.col("line").rlike(rf"[^{_W}]")).select(
         "id", "pos", "line", F.xxhash64("line").alias("l1"), F.xxhash64(F.lit("name"), F.reverse("line")).alias("l2"))
 
 
@@ -134,7 +134,7 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """``keep`` and id with ``n_lines``, ``n_removed`` and ``kept_text`` of every document.
 
     Lines are cut at ``\\n``.  Of each component of equal or similar lines only the first
-    stays; lines of fewer than ``MIN_WORDS`` words always stay.  The lines that are left are
+    stays; lines without a word always stay.  The lines that are left are
     joined by ``\\n`` again.
 
     Null text has no lines and stays null; an empty text is one empty line.  Rows with a

@@ -368,6 +368,13 @@ def test_lines_with_one_changed_word(spark):
     assert {(r["doc_id"], 0) for r in got} == want
 
 
+def test_short_and_unspaced_lines(spark):
+    same = "\u6211\u4eec\u5728\u8fd9\u91cc\u5199\u4e86\u4e00\u884c\u6ca1\u6709\u7a7a\u683c\u7684\u4e2d\u6587\u5b57"
+    texts = [(0, f"All rights reserved.\n{same}\nHi\n"), (1, f"All rights reserved.\n{same}\nHi\n \nother"), (2, f"{same}\U0001f600\nHo\nother\n ")]
+    got = {r["doc_id"]: r["kept_text"] for r in lines.deduplicate_lines(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {0: texts[0][1], 1: " \nother", 2: "Ho\n "}
+
+
 # quality -----------------------------------------------------------------------------
 
 
