@@ -20,6 +20,9 @@ GOLDEN = 1327217885
 #: Sources known to the driver; more than this many raise instead of growing the plan.
 MAX_SOURCES = 10_000
 
+#: A source below so many blocks is cut into shorter ones, so that a slot more or less is a small part of it.
+MIN_BLOCKS = 32
+
 
 def cumulative(df: DataFrame, key: str, order: Sequence[str], value: str, out: str, n_buckets: int) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over earlier rows of the same ``key``.
@@ -71,8 +74,9 @@ def mix_sources(
 
     Sources ordered by code point, null last, take ``weights`` in turn.  Within a source
     documents follow a seeded hash, and their words form one stream that is cut into
-    equal blocks.  Slot ``i`` of the schedule maps the golden-ratio point ``i * phi mod 1``
-    through the cumulative targets to a source; the slot's rank within that source, modulo
+    equal blocks of ``block`` words, or of a ``MIN_BLOCKS``-th of a smaller source.  Slot ``i``
+    of the schedule maps the golden-ratio point ``i * phi mod 1`` through the cumulative
+    targets, counted in blocks, to a source; the slot's rank within that source, modulo
     the source's blocks, is the block it reads.  ``taken`` counts the words that slots read
     from the document; ``blocks`` lists its uses as ``(block, words, times)``.
 
@@ -96,21 +100,25 @@ def mix_sources(
     sizes = [(int(r["n"]), float(weights[i % len(weights)])) for i, r in enumerate(sources)]
     total = share * sum(n for n, _ in sizes)
     targets = capped_targets(sizes, total, cap)
-    plan, edge, scheduled = [], 0.0, sum(targets)
+    lengths = [max(1, min(block, -(-n // MIN_BLOCKS))) for n, _ in sizes]
+    n_blocks = [-(-n // b) for (n, _), b in zip(sizes, lengths, strict=True)]
+    # a slot yields size / n_blocks words on average, less than a block where the last one is short
+    wanted = [t / n * c if n else 0.0 for t, (n, _), c in zip(targets, sizes, n_blocks, strict=True)]
+    plan, edge, scheduled = [], 0.0, sum(wanted)
     for i, r in enumerate(sources):
-        lo, edge = edge, edge + (targets[i] / scheduled if scheduled else 0.0)
-        plan.append((i, r["_src"], sizes[i][0], targets[i], -(-sizes[i][0] // block), int(lo * RING)))
-    plan_df = spark.createDataFrame(plan, "k int, _src string, source_size long, target double, n_blocks long, lo long")
-    slots = schedule(plan_df, [p[-1] for p in plan], int(round(scheduled / block)), cap)
+        lo, edge = edge, edge + (wanted[i] / scheduled if scheduled else 0.0)
+        plan.append((i, r["_src"], sizes[i][0], targets[i], n_blocks[i], lengths[i], int(lo * RING)))
+    plan_df = spark.createDataFrame(plan, "k int, _src string, source_size long, target double, n_blocks long, _len long, lo long")
+    slots = schedule(plan_df, [p[-1] for p in plan], int(round(scheduled)), cap)
     uses = scratch.table(slots.groupBy("k", "block").agg(F.count(F.lit(1)).alias("times")), "uses")
 
     n_docs = sum(r["docs"] for r in sources)
     tagged = base.join(F.broadcast(plan_df), base["_src"].eqNullSafe(plan_df["_src"])).drop(plan_df["_src"])
     placed = cumulative(tagged, "k", ["_h", "_id", "_t", "_row"], "size", "start", max(2, n_docs // 2_000))
     placed = scratch.table(placed.drop("_h", "_t", "_src", "lo"), "placed")
-    first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
-    pieces = placed.where("size > 0").select("_row", "k", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
-    overlap = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block)
+    first, last = F.floor(F.col("start") / F.col("_len")), F.floor((F.col("start") + F.col("size") - 1) / F.col("_len"))
+    pieces = placed.where("size > 0").select("_row", "k", "start", "size", "_len", F.explode(F.sequence(first, last)).alias("block"))
+    overlap = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * F.col("_len")) - F.greatest("start", F.col("block") * F.col("_len"))
     took = (
         pieces.withColumn("words", overlap).join(uses, ["k", "block"])
         .groupBy("_row").agg(

@@ -143,6 +143,14 @@ def test_mixing(docs, rows, nothing):
     assert mixing.mix_sources(nothing).count() == 0
 
 
+def test_small_sources_reach_their_targets(spark):
+    texts = [(i, "w " * 1000, "a") for i in range(100)] + [(100 + i, "w " * 60, f"b{i:02d}") for i in range(40)]
+    got = mixing.mix_sources(spark.createDataFrame(texts, "doc_id long, text string, source string"))
+    small = got.where("doc_id >= 100").collect()
+    assert all(abs(r["taken"] - r["target"]) <= 0.15 * r["target"] for r in small)
+    assert abs(sum(r["taken"] - r["target"] for r in small)) <= 0.03 * sum(r["target"] for r in small)
+
+
 def test_targets_are_capped_and_shared_again():
     assert mixing.capped_targets([(100, 3), (100, 1), (100, 2)], 450, 2) == pytest.approx([200, 250 / 3, 500 / 3])
     assert sum(mixing.capped_targets([(1, 3), (1000, 1)], 1500, 2)) == pytest.approx(1500)
