@@ -18,15 +18,20 @@ MAX_LABELLED, MAX_LABELLED_CHARS = 400, 200_000
 
 #: Elements by their role.
 CONTENT = frozenset("article main".split())
-RAW = frozenset("script style noscript template textarea iframe svg math object select".split())
-BOILERPLATE = frozenset("nav header footer aside form menu dialog button title head label fieldset figcaption".split()) | RAW
+RAW = frozenset("script style noscript template textarea iframe svg object select".split())
+BOILERPLATE = frozenset("nav header footer aside form menu dialog button title head label fieldset figcaption math".split()) | RAW
+#: Boilerplate outside an article, but part of the text inside one.
+KEPT = frozenset("figcaption label math".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noscript ol option p pre section select summary table "
     "tbody td textarea tfoot th thead title tr ul video audio canvas".split())
 CLOSES_P = BLOCKS - {"br", "button", "option", "body", "html"}
-UNWELCOME = re.compile(r"(?i)\b(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|menu|nav\w*|newsletter|notices?|popup|promo\w*|related|replies|share|sharing|sidebar|social|sponsor\w*|subscribe|widget)\b")
+#: Whole tokens of a class, id or role that mark an element.
+UNWELCOME = re.compile(
+    r"(?i)(?:ads?|advert(?:s|isement|isements|ising)?|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|menu|nav|navbar|navigation|newsletter|"
+    r"notices?|popup|promos?|promotions?|related|replies|share|sharing|sidebar|social|sponsor(?:s|ed)?|subscribe|widget)")
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
 _ATTRIBUTE = re.compile(r"(?i)\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
@@ -44,9 +49,47 @@ class Piece:
     unwelcome: bool = False
 
 
+def _unwelcome(stack: Sequence[tuple[str, str, bool, bool]]) -> bool:
+    """Whether an element is boilerplate; what lies around the innermost article or main element doesn't count."""
+    for _, _, unwelcome, content in reversed(stack):
+        if unwelcome or content:
+            return unwelcome
+    return False
+
+
+def _around_content(page: str) -> set[int]:
+    """Starts of the tags of elements that hold an article or main element."""
+    stack: list[tuple[str, int]] = []
+    found: set[int] = set()
+    at = 0
+    while m := _TOKEN.search(page, at):
+        at = m.end()
+        name = (m[2] or "").lower()
+        if not name or name in VOID:
+            continue
+        if m[1]:
+            if any(x == name for x, _ in stack):
+                while stack.pop()[0] != name:
+                    pass
+        elif name in RAW:
+            if not m[3].rstrip().endswith("/"):
+                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+                at = end.end() if end else len(page)
+        else:
+            if name in CONTENT:
+                found.update(start for _, start in stack)
+            stack.append((name, m.start()))
+    return found
+
+
 def pieces(page: str) -> Iterator[Piece]:
-    """Tags and texts in page order.  Comments vanish; raw elements are one unwelcome piece each; missing end tags are tolerated."""
+    """Tags and texts in page order.  Comments vanish; raw elements are one unwelcome piece each; missing end tags are tolerated.
+
+    An article or main element is welcome whatever surrounds it, and what surrounds one
+    isn't judged by its class or id.
+    """
     stack: list[tuple[str, str, bool, bool]] = []  # name, key, unwelcome, content
+    around = _around_content(page)
     at, size = 0, len(page)
 
     def text(raw: str) -> Iterator[Piece]:
@@ -54,7 +97,7 @@ def pieces(page: str) -> Iterator[Piece]:
         n = len(decoded.split())
         if decoded:
             key = next((k for _, k, _, _ in reversed(stack) if k), "")
-            yield Piece(key, n, decoded, False, any(c for *_, c in stack), any(u for _, _, u, _ in stack))
+            yield Piece(key, n, decoded, False, any(c for *_, c in stack), _unwelcome(stack))
 
     while at < size:
         m = _TOKEN.search(page, at)
@@ -86,8 +129,10 @@ def pieces(page: str) -> Iterator[Piece]:
             at = end.end() if end else size
         elif name not in VOID:
             structural = name in BLOCKS and not re.fullmatch(r"p|h[1-6]|br|li|ul|ol|blockquote|pre|t[rdh]|table|tbody|d[ltd]", name) or bool(marks) and name in BLOCKS
-            unwelcome = name in BOILERPLATE or name in BLOCKS and name not in CONTENT and bool(UNWELCOME.search(marks))
-            stack.append((name, label if structural or name in BOILERPLATE else "", unwelcome, name in CONTENT))
+            kept = name in KEPT and any(c for *_, c in stack)
+            marked = name in BLOCKS and name not in CONTENT and name not in ("html", "body") and m.start() not in around
+            unwelcome = name in BOILERPLATE and not kept or marked and any(UNWELCOME.fullmatch(x) for x in marks.split())
+            stack.append((name, label if not kept and (structural or name in BOILERPLATE) else "", unwelcome, name in CONTENT))
 
 
 @dataclass

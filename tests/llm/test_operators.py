@@ -180,6 +180,18 @@ def test_main_text(spark):
     assert html_text.extract_main_text(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("head, tail", [
+    ("<body class='has-sidebar sidebar'>", "</body>"), ("<div class='content with-sidebar'>", "</div>"), ("<div id='post' class='comments-open comments'>", "</div>"),
+    ("<form id='all'>", "</form>"), ("<div class='navy'>", "</div>")])
+def test_article_in_marked_wrapper(head, tail):
+    inner = "<p>one two</p><figure><figcaption>a caption</figcaption></figure><p><label>named</label> <math><mi>x</mi></math> end</p><div class='ad'>buy</div>"
+    plain = [p[2] for p in PAGES if p[2]]
+    outside = "<body><figure><figcaption>far away words here</figcaption></figure><article><p>some text</p></article></body>"
+    weights = html_text.fit_weights([*plain, outside])
+    page = f"<html>{head}<nav>menu one</nav><article>{inner}</article><div class='sidebar'>see also</div>{tail}</html>"
+    assert html_text.main_text(page, weights) == "one two a caption named x end"
+
+
 def test_best_region_matches_brute_force():
     rng = np.random.default_rng(3)
     for _ in range(60):
