@@ -20,6 +20,8 @@ SHINGLE_CHARS = 5
 PERCENT = 75
 #: Bands of signature values: at similarity 0.75 all bands miss with a chance of 0.8 %, at 0.9 of 0.00001 %.
 BANDS, ROWS = 18, 5
+#: Hashed items a line gives each bucket on average, one bucket for every signature value.
+ITEMS = 3
 #: Bands whose keys are met at once; the others wait, so that fewer shuffled keys lie on disk.
 AT_ONCE = 6
 #: Sketches of two lines hold a bit of 64 signature values each; at similarity 0.75 they differ in 8, deviation 2.7.
@@ -37,30 +39,52 @@ def numbered_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id, pos, line, l1, l2)`` of lines with a word; ``l1, l2`` is a 128-bit name of the line's text."""
     split = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
     return split.where(F.col("line").rlike(rf"[^{_W}]")).select(
-        "id", "pos", "line", F.xxhash64("line").alias("l1"), F.xxhash64(F.lit("name"), F.reverse("line")).alias("l2"))
+        "id", "pos", "line", F.xxhash64("line").alias("l1"), F.xxhash64(F.lit("name"), "line").alias("l2"))
 
 
 def signatures(lines: DataFrame) -> DataFrame:
     """``(l1, l2, keys, sketch)`` of every distinct line: a key for each band of its MinHash signature, and bits of it.
 
-    Copies are dropped by a shuffle on the line's name.  Shingles are then spread over rows
-    and their minima gathered again in the same task, so signatures are never shuffled.
+    One hash a shingle chooses a bucket and competes in it; the smallest of each bucket is a
+    signature value.  A line of few shingles hashes each again and again, and a later hash
+    counts only where earlier ones left a bucket empty; a line of many shingles can leave out
+    hashes above a bound, as lower ones fill its buckets.  So every line gives about ``ITEMS``
+    hashes to a bucket, and lines of different length still agree in a value as often as their
+    sets are similar.
+
+    Copies are dropped by a shuffle on the line's name; everything after it stays in the
+    same task, so neither shingles nor signatures are shuffled.  Characters are taken from
+    UTF-32, where the one at any place is found at once, however long the line.
     """
-    once = lines.select("l1", "l2", "line").dropDuplicates(["l1", "l2"])
-    spread = once.select("l1", "l2", F.explode(shingles(F.col("line"))).alias("s")).select("l1", "l2", F.xxhash64("s").alias("h"))
-    least = spread.groupBy("l1", "l2").agg(*[F.min(F.xxhash64(F.lit(i), F.col("h"))).alias(f"m{i}") for i in range(BANDS * ROWS)])
-    keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
-    bits = [F.shiftleft(F.col(f"m{i}").bitwiseAND(F.lit(1)), i) for i in range(64)]
-    return least.select("l1", "l2", F.array(*keys).alias("keys"), reduce(Column.bitwiseOR, bits).alias("sketch"))
+    once = lines.select("l1", "l2", "line").dropDuplicates(["l1", "l2"]).select("l1", "l2", F.encode("line", "UTF-32").alias("u"))
+    buckets, full, part = BANDS * ROWS, BANDS * ROWS * ITEMS, 52
+    counted = once.withColumn("n", F.greatest(F.expr("length(u) div 4").cast("int") - (SHINGLE_CHARS - 1), F.lit(1)))
+    counted = counted.withColumn("top", F.when(F.col("n") <= full, F.lit(1 << part)).otherwise(F.floor(F.lit(float(full << part)) / F.col("n"))).cast("long"))
+    items = counted.select("l1", "l2", "u", "n", "top", F.explode(F.sequence(F.lit(0), F.greatest(F.expr(f"{full} div n"), F.lit(1)).cast("int") * F.col("n") - 1)).alias("i"))
+    turn = F.expr("i div n").cast("int")
+    shingle = F.substring("u", F.col("i") % F.col("n") * 4 + 1, F.lit(4 * SHINGLE_CHARS))
+    hashed = items.select("l1", "l2", "top", turn.alias("turn"), F.xxhash64(shingle, turn).alias("x"))
+    order = F.shiftrightunsigned("x", 64 - part)
+    kept = hashed.where(order < F.col("top")).select(
+        "l1", "l2", F.shiftright(F.col("x").bitwiseAND(F.lit(0xFFF)) * buckets, 12).cast("int").alias("bucket"),
+        F.shiftleft(F.col("turn").cast("long"), part).bitwiseOR(order).alias("v"))
+    value = kept.groupBy("l1", "l2", "bucket").agg(F.min("v").alias("v"))
+    bit = F.expr("if(bucket < 64, shiftleft(v & 1L, bucket), 0L)")
+    banded = value.groupBy("l1", "l2", F.expr(f"bucket div {ROWS}").cast("int").alias("band")).agg(
+        F.bit_xor(F.xxhash64("bucket", "v")).alias("key"), F.bit_or(bit).alias("bits"))
+    return banded.groupBy("l1", "l2").agg(
+        F.array(*[F.max(F.when(F.col("band") == b, F.col("key"))) for b in range(BANDS)]).alias("keys"), F.bit_or("bits").alias("sketch"))
+
+
+def near(a: str, b: str) -> Column:
+    """Whether two sketches leave a link possible."""
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= MAX_BITS_APART
 
 
 def measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``(a, b, u, v, d, linked)``: of pairs of hashes, the lines' names, their Jaccard distance, and whether they are similar enough.
-
-    Pairs whose sketches lie too far apart for a link give no row.
-    """
-    side = lambda c, n: texts.select(F.col("l1").alias(c), F.struct("l1", "l2").alias(n), F.col("sketch").alias(f"k_{c}"), F.col("line").alias(f"t_{c}"))
-    joined = pairs.join(side("a", "v"), "a").join(side("b", "u"), "b").where(F.bit_count(F.col("k_a").bitwiseXOR(F.col("k_b"))) <= MAX_BITS_APART)
+    """``(a, b, u, v, d, linked)``: of pairs of hashes, the lines' names, their Jaccard distance, and whether they are similar enough."""
+    side = lambda c, n: texts.select(F.col("l1").alias(c), F.struct("l1", "l2").alias(n), F.col("line").alias(f"t_{c}"))
+    joined = pairs.join(side("a", "v"), "a").join(side("b", "u"), "b")
     # a generator keeps the sets from being worked out anew for each use
     sets = joined.select("a", "b", "u", "v", F.explode(F.array(F.struct(
         F.array_distinct(shingles(F.col("t_a"))).alias("a"), F.array_distinct(shingles(F.col("t_b"))).alias("b")))).alias("s"))
@@ -70,64 +94,84 @@ def measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return sized.select("a", "b", "u", "v", (1 - both / union).alias("d"), (both * 100 >= PERCENT * union).alias("linked"))
 
 
+def contracted(found: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """Components ``(node, component)`` of ``found`` after more ``links(u, v)``: only those between components are followed."""
+    of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
+    edges = links.join(of("u"), "u", "left").join(of("v"), "v", "left").select(
+        "u", "v", F.coalesce("c_u", "u").alias("c_u"), F.coalesce("c_v", "v").alias("c_v"))
+    edges = scratch.table(edges, "contracted")
+    joined = scratch.table(connected_components(edges.select(F.col("c_u").alias("u"), F.col("c_v").alias("v")), scratch), "joined")
+    new = edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node"))).distinct().join(found, "node", "left_anti")
+    every = found.select("node", "component").unionByName(new.select("node", F.col("node").alias("component")))
+    merged = joined.select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    return every.join(merged, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+
+
 def drop_similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """``(id, pos)`` of every line that goes: all but the first line of each component, ``pos`` counting from 0.
 
     Components join lines of equal text and lines whose shingle sets are similar; the
     first is that of the smallest id, then position.  Each band key's smallest line is
     compared with the others; lines of a key that are then still in different components
-    are paired where their distances from that one, if they were measured, allow a link.
+    are paired where their sketches, and their distances from that one if they were
+    measured, allow a link.  Both tests are part of the join, which adaptive execution
+    splits where one key has many lines, so that only likely pairs leave it.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "lines")
     lines = numbered_lines(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
-    distinct = scratch.table(lines.groupBy("l1", "l2").agg(F.min(F.struct("id", "pos")).alias("first"), F.count(F.lit(1)).alias("n")), "distinct")
-    places = distinct.select("l1", "l2", F.struct(F.col("first.id").alias("id"), F.col("first.pos").alias("pos"), "l1", "l2").alias("name"), "n")
+    places = scratch.table(lines.select("id", "pos", "l1", "l2"), "places")
     signed = scratch.table(signatures(lines), "signed")
     scratch.release()
     met = []
     for b in range(0, BANDS, AT_ONCE):
-        keys = signed.select(F.explode(F.slice("keys", b + 1, AT_ONCE)).alias("key"), "l1")
-        centers = scratch.table(keys.groupBy("key").agg(F.min("l1").alias("a"), F.max("l1").alias("z")).where("a <> z").select("key", "a"), "centers")
-        scratch.release()
-        met.append(scratch.table(keys.join(centers, "key").select("key", F.col("l1").alias("b"), "a"), "shared"))
-        scratch.drop(centers)
+        keys = signed.select(F.explode(F.slice("keys", b + 1, AT_ONCE)).alias("key"), F.col("l1").alias("b"), "sketch").where("key is not null")
+        centers = keys.groupBy("key").agg(F.min("b").alias("a"), F.min_by("sketch", "b").alias("s"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        # a key of two lines is settled by comparing them
+        row = keys.join(centers.hint("shuffle_hash"), "key").where((F.col("n") > 2) | ((F.col("a") != F.col("b")) & near("s", "sketch")))
+        met.append(scratch.table(row.select("key", "a", "b", "sketch", (F.col("n") > 2).alias("more"), ((F.col("a") != F.col("b")) & near("s", "sketch")).alias("near")), "shared"))
         scratch.release()
-    shared = reduce(DataFrame.unionByName, met)
-    tried = scratch.table(shared.where("a <> b").select("a", "b").distinct(), "stars")
-    wanted = scratch.table(shared.select(F.col("b").alias("l1")).distinct(), "wanted")
-    texts = lines.select("l1", "l2", "line").join(wanted, "l1").dropDuplicates(["l1", "l2"])
-    texts = scratch.table(texts.join(signed.select("l1", "l2", "sketch"), ["l1", "l2"]), "texts")
     scratch.drop(signed)
-    scratch.release()
+    shared = reduce(DataFrame.unionByName, met)
+    tried = scratch.table(shared.where("near").select("a", "b").distinct(), "stars")
+
+    def fetched(pairs: DataFrame) -> DataFrame:
+        """One text for each name that the pairs hold."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("l1")).distinct()
+        return scratch.table(lines.select("l1", "l2", "line").join(wanted, "l1", "left_semi").dropDuplicates(["l1", "l2"]), "texts")
+
+    texts = fetched(tried)
     stars = scratch.table(measured(tried, texts), "measured")
-    links = stars.where("linked").select("u", "v")
-    found = scratch.table(connected_components(links, scratch), "components")
-    of = found.select(F.col("node.l1").alias("b"), F.struct(F.col("component.l1").alias("l1"), F.col("component.l2").alias("l2")).alias("component"))
-    at = shared.join(of, "b", "left").select("key", "a", "b", F.coalesce("component", F.struct(F.col("b").alias("l1"), F.lit(0).cast("bigint").alias("l2"))).alias("c"))
+    scratch.drop(texts)
+    scratch.release()
+    found = scratch.table(connected_components(stars.where("linked").select("u", "v"), scratch), "components")
+    of = found.select(F.col("node.l1").alias("b"), F.xxhash64("component.l1", "component.l2").alias("c"))
+    at = shared.where("more").join(of, "b", "left").withColumn("c", F.coalesce("c", "b"))
     apart = at.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
     loose = at.join(apart, "key").join(stars.groupBy("a", "b").agg(F.min("d").alias("d")), ["a", "b"], "left")
-    loose = scratch.table(loose.select("key", "b", "c", F.when(F.col("a") == F.col("b"), F.lit(0.0)).otherwise(F.col("d")).alias("d")), "loose")
-    scratch.drop(*met, wanted)
-    scratch.release()
-    left, right = (loose.select("key", *[F.col(x).alias(f"{x}{i}") for x in "bcd"]) for i in (1, 2))
+    loose = scratch.table(loose.select("key", "b", "c", "sketch", F.when(F.col("a") == F.col("b"), F.lit(0.0)).otherwise(F.col("d")).alias("d")), "loose")
+    left, right = (loose.select("key", *[F.col(x).alias(f"{x}{i}") for x in ("b", "c", "sketch", "d")]) for i in (1, 2))
     rest = left.join(right, "key").where(
-        (F.col("c1") != F.col("c2")) & (F.col("b1") < F.col("b2")) & (F.coalesce(F.abs(F.col("d1") - F.col("d2")), F.lit(0.0)) <= 1 - PERCENT / 100 + 1e-9))
+        (F.col("b1") < F.col("b2")) & (F.col("c1") != F.col("c2")) & near("sketch1", "sketch2")
+        & (F.coalesce(F.abs(F.col("d1") - F.col("d2")), F.lit(0.0)) <= 1 - PERCENT / 100 + 1e-9))
     rest = rest.select(F.col("b1").alias("a"), F.col("b2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = scratch.table(measured(rest, texts).where("linked").select("u", "v"), "links")
-    if not more.isEmpty():
-        found = scratch.table(connected_components(links.unionByName(more), scratch), "components")
-    scratch.drop(texts, loose)
+    rest = scratch.table(rest, "rest")
+    scratch.drop(*met, loose)
+    scratch.release()
+    if not rest.isEmpty():
+        texts = fetched(rest)
+        more = scratch.table(measured(rest, texts).where("linked").select("u", "v"), "links")
+        scratch.drop(texts)
+        found = scratch.table(contracted(found, more, scratch), "components")
     scratch.release()
     named = found.select(F.col("node.l1").alias("l1"), F.col("node.l2").alias("l2"), "component")
-    joined = places.join(named, ["l1", "l2"], "left").where("n > 1 or component is not null")
-    joined = joined.withColumn("component", F.coalesce("component", F.struct("l1", "l2")))
-    keep = scratch.table(joined.groupBy("component").agg(F.min("name").alias("keep")), "keep")
+    distinct = places.groupBy("l1", "l2").agg(F.min(F.struct("id", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
+    joined = distinct.join(named, ["l1", "l2"], "left").where("n > 1 or component is not null").select(
+        "l1", "l2", F.coalesce("component", F.struct("l1", "l2")).alias("component"), F.struct("first.id", "first.pos", "l1", "l2").alias("name"))
+    joined = scratch.table(joined, "repeated")
+    keep = joined.groupBy("component").agg(F.min("name").alias("keep"))
     rule = scratch.table(joined.join(keep, "component").select("l1", "l2", "keep"), "rule")
-    scratch.drop(distinct, keep)
-    scratch.release()
-    occurs = lines.select("id", "pos", "l1", "l2").join(rule, ["l1", "l2"])
-    return occurs.where(~(F.struct("id", "pos", "l1", "l2") == F.col("keep"))).select("id", "pos")
+    return places.join(rule, ["l1", "l2"]).where(~(F.struct("id", "pos", "l1", "l2") == F.col("keep"))).select("id", "pos")
 
 
 def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
