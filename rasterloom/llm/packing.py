@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,13 +16,13 @@ from .substrings import expand
 from .workspace import Scratch
 
 #: Words whose ids a worker keeps.  Ids must fit 16 bits.
-MAX_CACHED_WORDS = 400_000
+MAX_CACHED_WORDS = 200_000
 
 #: Sources known to the driver; more raise instead of growing every task's closure.
 MAX_SOURCES = 10_000
 
-#: Bytes of text handled at once within an Arrow batch.
-BLOCK_BYTES = 2 << 20
+#: Bytes of text tokenized at once within an Arrow batch, and ids cut at once; one document at least, however long.
+BLOCK_BYTES, BLOCK_IDS = 1 << 20, 256 << 10
 
 
 class WordTokenizer:
@@ -147,12 +148,18 @@ class WordTokenizer:
         return out, own + 1
 
 
+@lru_cache(maxsize=1)
+def tokenizer(path: str) -> WordTokenizer:
+    """A worker's tokenizer: Spark keeps workers for many tasks, and the vocabulary is parsed once in each."""
+    return WordTokenizer(path)
+
+
 def tokenize(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """``(id, source, row, n_tokens, ids)`` of whole texts; ids as little-endian unsigned 16-bit binary."""
     schema = f"id {dict(docs.dtypes)[id_col]}, source string, row long, n_tokens long, ids binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordTokenizer(path)
+        coder = tokenizer(path)
         for batch in batches:
             for lo, hi, data, offsets in hashing.text_blocks(batch.column(3), BLOCK_BYTES):
                 ids, counts = coder.encode(data, offsets, end_id)
@@ -284,19 +291,28 @@ def pack(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k, queue, n = (batch.column(c).to_numpy() for c in ("k", "queue", "n_tokens"))
-            doc, start, length, sequence, offset = cut_documents(queue, n, k, rounds, window)
-            held = batch.column("ids").cast(pa.large_binary())
-            _, edges, data = held.buffers()
-            begin = np.frombuffer(edges, np.int64)[held.offset:held.offset + len(held)] // 2
-            tokens = np.frombuffer(data, "<u2").astype("<u4") if data is not None else np.zeros(0, "<u4")
-            at = np.concatenate([[0], np.cumsum(length)])
-            where = np.repeat(begin[doc] + start - at[:-1], length) + np.arange(int(at[-1]))
-            pieces = pa.Array.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer(at * 4), pa.py_buffer(tokens[where].view(np.uint8))])
-            rows = pa.array(doc)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(rows), pa.array(start), pa.array(length), pieces.cast(pa.binary()), batch.column("n_tokens").take(rows), pa.array(sequence), pa.array(offset)],
-                names=[id_col, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+            sizes = np.cumsum(batch.column("n_tokens").to_numpy())
+            lo = 0
+            while lo < len(sizes):
+                hi = int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + BLOCK_IDS, side="right"))
+                hi = max(hi, lo + 1)
+                yield cut_rows(batch.slice(lo, hi - lo))
+                lo = hi
+
+    def cut_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        k, queue, n = (batch.column(c).to_numpy() for c in ("k", "queue", "n_tokens"))
+        doc, start, length, sequence, offset = cut_documents(queue, n, k, rounds, window)
+        held = batch.column("ids").cast(pa.large_binary())
+        _, edges, data = held.buffers()
+        begin = np.frombuffer(edges, np.int64)[held.offset:held.offset + len(held)] // 2
+        tokens = np.frombuffer(data, "<u2") if data is not None else np.zeros(0, "<u2")
+        at = np.concatenate([[0], np.cumsum(length)])
+        where = np.repeat(begin[doc] + start - at[:-1], length) + np.arange(int(at[-1]))
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer(at * 4), pa.py_buffer(tokens[where].astype("<u4").view(np.uint8))])
+        rows = pa.array(doc)
+        return pa.RecordBatch.from_arrays(
+            [batch.column("id").take(rows), pa.array(start), pa.array(length), pieces.cast(pa.binary()), batch.column("n_tokens").take(rows), pa.array(sequence), pa.array(offset)],
+            names=[id_col, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
     schema = f"{id_col} {dict(docs.dtypes)[id_col]}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     return tokens.join(placed, "row").select("id", "k", "queue", "n_tokens", "ids").mapInArrow(cut, schema)
