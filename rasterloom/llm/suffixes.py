@@ -203,8 +203,10 @@ def deduplicate_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     A byte goes if a string of ``length`` bytes that covers it also starts in a document
     with a smaller id (an integer).  Strings are judged on the input.
 
-    Each string has the smallest hash of its ``gram``-byte grams for a fingerprint, about
-    one in eighteen positions.  Strings whose fingerprint only one document has are unique.
+    Documents of equal text (by two hashes) are sorted as one under their smallest id: the
+    others own no string that it doesn't own, and lose every byte of a text that has
+    ``length`` of them.  Each string has the smallest hash of its ``gram``-byte grams for a
+    fingerprint, about one in eighteen positions.  Strings whose fingerprint only one document has are unique.
     Of the others, stretches of strings with one fingerprint are looked up whole; the bytes
     of stretches that no earlier document has whole are dealt by fingerprint, and their
     suffixes sorted.  Groups over ``GROUP_ROWS`` are dealt over several sorts, whose classes
@@ -332,13 +334,16 @@ def deduplicate_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hit = pc.or_(pc.is_valid(batch.column("whole")), pc.is_valid(batch.column("single")))
-            rest = batch.filter(pc.invert(hit))
+            rest = batch.filter(pc.invert(pc.and_(hit, pc.invert(batch.column("copy")))))
             if rest.num_rows:
                 raw = pc.fill_null(rest.column("text"), "").cast(pa.binary())
                 size = pc.binary_length(raw).cast(pa.int64())
+                gone = pc.and_(rest.column("copy"), pc.greater_equal(size, length))
+                spans = [[[0, n]] if g else [] for n, g in zip(size.to_pylist(), gone.to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [rest.column("id"), size, pa.array([0] * len(raw), pa.int64()), pa.array([[]] * len(raw), pa.list_(pa.list_(pa.int64()))), raw],
+                    [rest.column("id"), size, pc.if_else(gone, size, 0), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pc.if_else(gone, b"", raw)],
                     names=[id_col, "n_bytes", "n_removed", "removed_spans", "kept"])
+            hit = pc.and_(hit, pc.invert(batch.column("copy")))
             batch = batch.filter(hit)
             total, removed, spans, kept = [], [], [], []
             for i, row, w in _rows(batch, length, gram, False):
@@ -362,8 +367,13 @@ def deduplicate_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 [batch.column("id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary())],
                 names=[id_col, "n_bytes", "n_removed", "removed_spans", "kept"])
 
-    texts = bucketed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "texts")
-    known = texts.where("id is not null")
+    text = F.col(text_col)
+    texts = bucketed(docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("t"), F.xxhash64(F.lit("copy"), text).alias("t2")), "id", "texts")
+    first = texts.where("id is not null and text is not null").groupBy("t", "t2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("t", "t2", "lo")
+    copies = texts.where("id is not null").select("id", "t", "t2").join(first, ["t", "t2"]).where("id > lo").groupBy("id").agg(F.collect_set("t").alias("copies"))
+    copies = scratch.table(copies, "copies")
+    texts = texts.join(copies, "id", "left").select("id", "text", F.coalesce(F.array_contains("copies", F.col("t")), F.lit(False)).alias("copy"))
+    known = texts.where("id is not null and not copy")
     marks = known.select("id", "text").mapInArrow(fingerprints, f"h long, id {kind}").repartition(buckets, "h").sortWithinPartitions("h", "id")
     hits = scratch.table(marks.mapInArrow(met_again, f"h long, id {kind}").groupBy("id").agg(F.collect_list("h").alias("hs")), "hits")
     scratch.release()
@@ -390,5 +400,5 @@ def deduplicate_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     scratch.drop(classes, across)
     scratch.release()
     found = texts.join(hits, "id", "left").join(whole, "id", "left").join(single, "id", "left")
-    return found.select("id", "text", "hs", "whole", "single").mapInArrow(
+    return found.select("id", "text", "copy", "hs", "whole", "single").mapInArrow(
         cut, f"{id_col} {kind}, n_bytes long, n_removed long, removed_spans array<array<long>>, kept binary")
