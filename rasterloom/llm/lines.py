@@ -31,6 +31,11 @@ MAX_BITS_APART = 27
 _W = r"\x20\x09-\x0D"
 
 
+def shingles(line: Column) -> Column:
+    """Runs of ``SHINGLE_CHARS`` characters from every character on; a shorter line is its own and only one."""
+    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE_CHARS}}}|\A.{{1,{SHINGLE_CHARS - 1}}}\z))."), F.lit(1))
+
+
 def numbered_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id, pos, line, l1, l2)`` of lines with a word; ``l1, l2`` is a 128-bit name of the line's text."""
     split = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
@@ -79,22 +84,16 @@ def near(*differing: Column) -> Column:
 
 
 def measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``(a, b, u, v, d, linked)``: of pairs of hashes, the lines' names, their Jaccard distance, and whether they are similar enough.
-
-    The shingles of both lines are spread over rows and counted again in the task that joined
-    the pair; they are told apart by their 64-bit hashes.
-    """
-    side = lambda c: texts.select(F.col("l1").alias(c), F.col("l2").alias(f"{c}2"), F.col("line").alias(f"t_{c}"))
-    names = ["a", "a2", "b", "b2"]
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
-    texted = joined.select(*names, F.explode(F.array(F.struct(F.lit(1).alias("of"), F.col("t_a").alias("t")), F.struct(F.lit(2).alias("of"), F.col("t_b").alias("t")))).alias("s"))
-    wide = texted.select(*names, "s.of", F.encode("s.t", "UTF-32").alias("u"))
-    spread = wide.select(*names, "of", "u", F.explode(F.sequence(F.lit(0), F.greatest(F.expr("length(u) div 4").cast("int") - SHINGLE_CHARS, F.lit(0)))).alias("i"))
-    found = spread.select(*names, "of", F.xxhash64(F.substring("u", F.col("i") * 4 + 1, F.lit(4 * SHINGLE_CHARS))).alias("h"))
-    each = found.groupBy(*names, "h").agg(F.bit_or("of").alias("of"))
-    sums = each.groupBy(*names).agg(F.count(F.when(F.col("of") == 3, 1)).alias("both"), F.count(F.lit(1)).alias("n"))
-    name = lambda c: F.struct(F.col(c).alias("l1"), F.col(f"{c}2").alias("l2"))
-    return sums.select("a", "b", name("b").alias("u"), name("a").alias("v"), (1 - F.col("both") / F.col("n")).alias("d"), (F.col("both") * 100 >= PERCENT * F.col("n")).alias("linked"))
+    """``(a, b, u, v, d, linked)``: of pairs of hashes, the lines' names, their Jaccard distance, and whether they are similar enough."""
+    side = lambda c, n: texts.select(F.col("l1").alias(c), F.struct("l1", "l2").alias(n), F.col("line").alias(f"t_{c}"))
+    joined = pairs.join(side("a", "v"), "a").join(side("b", "u"), "b")
+    # a generator keeps the sets from being worked out anew for each use
+    sets = joined.select("a", "b", "u", "v", F.explode(F.array(F.struct(
+        F.array_distinct(shingles(F.col("t_a"))).alias("a"), F.array_distinct(shingles(F.col("t_b"))).alias("b")))).alias("s"))
+    sized = sets.select("a", "b", "u", "v", F.explode(F.array(F.struct(
+        F.size(F.array_intersect("s.a", "s.b")).alias("both"), (F.size("s.a") + F.size("s.b")).alias("sum")))).alias("n"))
+    both, union = F.col("n.both"), F.col("n.sum") - F.col("n.both")
+    return sized.select("a", "b", "u", "v", (1 - both / union).alias("d"), (both * 100 >= PERCENT * union).alias("linked"))
 
 
 def contracted(found: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -115,10 +114,10 @@ def drop_similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Components join lines of equal text and lines whose shingle sets are similar; the
     first is that of the smallest id, then position.  Each band key's smallest line is
-    compared with the others whose sketches allow a link; lines of a key that are then still in different components
-    are paired where their sketches, and their distances from that one if they were
-    measured, allow a link.  Both tests are part of the join, which adaptive execution
-    splits where one key has many lines, so that only likely pairs leave it.
+    compared with the others whose sketches allow a link; lines of a key that are then
+    still in different components are paired where their sketches, and their distances from
+    that one if they were measured, allow a link.  Both tests are part of the join, which
+    adaptive execution splits where one key has many lines, so only likely pairs leave it.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "lines")
