@@ -27,13 +27,18 @@ def url_path(url: Column) -> Column:
     return F.regexp_extract(_after_scheme(url), "^[^/?#]*([^?#]*)", 1)
 
 
+def url_node(url: Column) -> Column:
+    """What redirects and canonical links join: host, path and query, without the fragment; else empty."""
+    return F.concat(url_host(url), F.regexp_extract(_after_scheme(url), "^[^/?#]*([^#]*)", 1))
+
+
 def _after_scheme(url: Column) -> Column:
     at = F.locate("://", url)
     return F.coalesce(F.when(at > 0, F.substring(url, at + 3, F.length(url))), F.lit(""))
 
 
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``(u, v)``: a page's host+path and that of its canonical link or refresh target.
+    """``(u, v)``: a page's host, path and query and those of its canonical link or refresh target.
 
     Absolute, scheme-relative, root-relative and directory-relative targets are
     resolved.  Ends can be empty or equal; ``judge_urls`` drops such rows after writing
@@ -43,7 +48,7 @@ def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
         F.regexp_extract_all(F.col(html), F.lit(r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"), F.lit(0)),
         F.regexp_extract_all(F.col(html), F.lit(r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"), F.lit(0)))
     target = F.trim(F.regexp_replace(
-        F.regexp_extract("tag", r"(?is)(?:\bhref\s*=\s*|\burl\s*=\s*)([\"']?[^\"'>\s]+)", 1), "^[\"']", ""))
+        F.regexp_extract("tag", r"(?is)(?:\bhref\s*=\s*|\burl\s*=\s*)([\"']?[^\"'>\s]+)", 1), "^[\"']|(?<=&)amp;", ""))
     tagged = (
         pages.where(F.col(html).rlike("(?i)canonical|refresh"))
         .select(F.col(url).alias("from"), F.explode(tags).alias("tag"))
@@ -56,9 +61,7 @@ def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
         .when(to.startswith("//"), F.concat(F.lit("x:"), to))
         .when(to.startswith("/"), F.concat(base, to))
         .otherwise(F.concat(base, F.regexp_replace(path, "[^/]*$", ""), to)))
-    return tagged.select(
-        F.concat(host, path).alias("u"), full.alias("to")).select(
-        "u", F.concat(url_host(F.col("to")), url_path(F.col("to"))).alias("v"))
+    return tagged.select(url_node(F.col("from")).alias("u"), full.alias("to")).select("u", url_node(F.col("to")).alias("v"))
 
 
 def match_rules(urls: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFrame) -> DataFrame:
@@ -105,20 +108,21 @@ def judge_urls(
     A url's own rule decides.  Without one, the urls that redirects and canonical links
     join to it decide: an explicit allow among them wins, else a block, else the url is
     allowed.  ``redirects`` may add ``(from_url, to_url)`` edges to those in the html.
+    Urls that differ in their query are different ends of an edge, as one redirect script
+    leads to many sites; rules look at host and path alone.
 
     Null urls have empty host and path, no rule and are allowed.  Repeated rows are
     judged alike and all returned; other columns of ``pages`` are untouched because only
-    ``keep`` is carried, under its own names.
+    ``keep`` is carried, under its own names.  An empty table gives an empty result.
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, "urls")
     kept = [F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)]
-    base = pages.select(*kept, url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
+    base = pages.select(*kept, url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"), url_node(F.col(url)).alias("key"))
     sources = [link_edges(pages, url, html)] if html else []
     if redirects is not None:
-        end = lambda c: F.concat(url_host(F.col(c)), url_path(F.col(c)))
-        sources.append(redirects.select(end("from_url").alias("u"), end("to_url").alias("v")))
-    judged = match_rules(base, rules).withColumn("key", F.concat("host", "path"))
+        sources.append(redirects.select(url_node(F.col("from_url")).alias("u"), url_node(F.col("to_url")).alias("v")))
+    judged = match_rules(base, rules)
     members = None
     if sources:
         edges = scratch.table(reduce(DataFrame.unionByName, sources), "links").where("u <> '' and v <> '' and u <> v")
@@ -127,7 +131,7 @@ def judge_urls(
     if members is None:
         out = judged.withColumn("component", F.col("key")).withColumn("by_alias", F.lit(None).cast("string"))
     else:
-        at = members.select(F.regexp_extract("node", "^[^/]*", 0).alias("host"), F.regexp_extract("node", "^[^/]*(.*)$", 1).alias("path"), "component")
+        at = members.select(F.regexp_extract("node", "^[^/?]*", 0).alias("host"), F.regexp_extract("node", "^[^/?]*([^?]*)", 1).alias("path"), "component")
         votes = scratch.table(
             match_rules(at, rules).groupBy("component").agg(
                 F.max(F.col("rule_verdict") == "allow").alias("allowed"), F.max(F.col("rule_verdict") == "block").alias("blocked")),

@@ -1,7 +1,8 @@
 """Places that every executor can read: intermediate tables and checkpoints.
 
-The folder comes from ``spark.checkpoint.dir``.  Only when the session has none
-(tests on one machine) is a temporary folder made and registered.
+The folder comes from ``spark.checkpoint.dir``.  Only when the session has none and runs
+on one machine (``local``, as in tests) is a temporary folder made and registered; on a
+cluster a missing setting is an error, as executors would write to their own disks.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ def shared_root(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="rasterloom-")
     spark.sparkContext.setCheckpointDir(own)
     return own
@@ -30,12 +33,6 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: lineage ends in files that outlive any executor."""
-    shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 class Scratch:
     """Written tables of one query; ``drop`` frees those no longer read."""
 

@@ -221,6 +221,16 @@ def test_urls(spark):
     assert url_filter.judge_urls(pages.limit(0), URL_RULES, keep=["page_id"]).count() == 0
 
 
+def test_redirect_script_joins_no_sites(spark):
+    pages = spark.createDataFrame([
+        (0, "http://go.net/r?to=1", '<meta http-equiv="refresh" content="0; url=http://a.com/de/x">'),
+        (1, "http://go.net/r?to=2&amp=1", '<link rel=canonical href="http://good.net/y?a=1&amp;b=2">'),
+        (2, "http://good.net/y?a=1&b=2", ""), (3, "http://go.net/r", None),
+    ], "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(pages, URL_RULES, keep=["page_id"]).collect()}
+    assert got == {0: "block", 1: "allow", 2: "allow", 3: "allow"}
+
+
 # deduplication -----------------------------------------------------------------------
 
 
@@ -388,6 +398,23 @@ def test_lines_with_one_changed_word(spark):
     assert {(r["doc_id"], 0) for r in got} == want
 
 
+def test_line_bands_find_pairs_at_the_threshold(spark):
+    """Recall of the bands, measured: pairs of lines of 40 to 400 shingles at a similarity of 0.75 to 0.8."""
+    rng, texts = np.random.default_rng(3), []
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz "))
+    sets = lambda x: {x[i:i + 5] for i in range(max(1, len(x) - 4))}
+    while len(texts) < 800:
+        line = rng.choice(letters, int(rng.integers(44, 404)))
+        other = line.copy()
+        for at in rng.choice(len(line), max(1, round(len(line) * rng.uniform(0.02, 0.035))), replace=False):
+            other[at] = "#"
+        a, b = "".join(line), "".join(other)
+        if 75 * len(sets(a) | sets(b)) <= 100 * len(sets(a) & sets(b)) <= 80 * len(sets(a) | sets(b)):
+            texts += [(len(texts), a), (len(texts) + 1, b)]
+    got = lines.drop_similar_lines(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert all(r["id"] % 2 for r in got) and len(got) >= 0.95 * len(texts) / 2
+
+
 def test_short_and_unspaced_lines(spark):
     same = "\u6211\u4eec\u5728\u8fd9\u91cc\u5199\u4e86\u4e00\u884c\u6ca1\u6709\u7a7a\u683c\u7684\u4e2d\u6587\u5b57"
     texts = [(0, f"All rights reserved.\n{same}\nHi\n"), (1, f"All rights reserved.\n{same}\nHi\n \nother"), (2, f"{same}\U0001f600\nHo\nother\n ")]
