@@ -1,13 +1,16 @@
-"""Fuzzy line deduplication by MinHash, in DataFrame operations only."""
+"""Fuzzy line deduplication by MinHash: signatures and verification in Arrow batches, everything else in DataFrame operations."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import hashing as H
 from .components import connected_components
 from .quality import let
 from .workspace import Scratch
@@ -23,6 +26,12 @@ PERCENT = 75
 VALUES, BANDS, ROWS = 48, 18, 5
 #: Hashed items that a line gives each value's bucket on average.
 ITEMS = 3
+#: Leading bits of a hash that compete within a bucket.
+PART = 52
+#: Stands for a bucket without a value.
+EMPTY = np.iinfo(np.uint64).max
+#: Characters of lines whose shingle sets a verifying task keeps.
+HELD_CHARS = 1 << 20
 #: Bands whose keys are met at once; the others wait, so that fewer shuffled keys lie on disk.
 AT_ONCE = 3
 #: Sketches hold two bits of every signature value; at similarity 0.75 they differ in 12, deviation 3.9, at 0.1 in 43, deviation 5.
@@ -31,11 +40,6 @@ MAX_BITS_APART = 27
 _W = r"\x20\x09-\x0D"
 
 
-def shingles(line: Column) -> Column:
-    """Runs of ``SHINGLE_CHARS`` characters from every character on; a shorter line is its own and only one."""
-    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE_CHARS}}}|\A.{{1,{SHINGLE_CHARS - 1}}}\z))."), F.lit(1))
-
-
 def numbered_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id, pos, line, l1, l2)`` of lines with a word; ``l1, l2`` is a 128-bit name of the line's text."""
     split = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
@@ -43,6 +47,47 @@ def numbered_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         "id", "pos", "line", F.xxhash64("line").alias("l1"), F.xxhash64(F.lit("name"), "line").alias("l2"))
 
 
+def line_values(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Signature values of lines that lie end to end in ``data``, a row of ``VALUES`` each; ``EMPTY`` where nothing fell into a bucket."""
+    n_lines = len(offsets) - 1
+    starts = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+    first = np.searchsorted(starts[:-1], offsets)
+    n = np.maximum(np.diff(first) - (SHINGLE_CHARS - 1), 1)
+    line = np.repeat(np.arange(n_lines), n)
+    at = np.arange(len(line)) + (first[:-1] - (np.cumsum(n) - n))[line]
+    hashes = H.spans(H.byte_prefix(data), starts[at], starts[np.minimum(at + SHINGLE_CHARS, first[1:][line])])
+    full = VALUES * ITEMS
+    turns = np.maximum(full // n, 1)[line]
+    item = np.repeat(np.arange(len(line)), turns)
+    turn = (np.arange(len(item)) - (np.cumsum(turns) - turns)[item]).astype(H.U)
+    x = H.mix(hashes[item] + turn * H.U(H.BASES[0]))
+    order, owner = x >> H.U(64 - PART), line[item]
+    # a line of many shingles leaves out hashes above a bound, as lower ones fill its buckets
+    top = np.where(n > full, (float(full << PART) / n).astype(H.U), H.U(1 << PART))
+    kept = order < top[owner]
+    bucket = ((x & H.U(0xFFF)) * H.U(VALUES) >> H.U(12)).astype(np.int64)
+    values = np.full(n_lines * VALUES, EMPTY, dtype=H.U)
+    np.minimum.at(values, (owner * VALUES + bucket)[kept], (turn << H.U(PART) | order)[kept])
+    return values.reshape(n_lines, VALUES)
+
+
+def signed_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """``l1, l2, keys, s0, s1`` of a batch of ``l1, l2, line``."""
+    blocks = [line_values(data, offsets) for _, _, data, offsets in H.text_blocks(batch.column(2))]
+    values = np.concatenate(blocks) if blocks else np.zeros((0, VALUES), dtype=H.U)
+    there = values != EMPTY
+    named = np.where(there, H.mix(values + np.arange(1, VALUES + 1, dtype=H.U) * H.U(H.BASES[1])), H.U(0))
+    keys, missing = np.zeros((len(values), BANDS), dtype=np.int64), np.zeros((len(values), BANDS), dtype=bool)
+    for b in range(BANDS):
+        chosen = [(35 * b + 6 * i) % VALUES for i in range(ROWS)]
+        keys[:, b] = H.mix(np.bitwise_xor.reduce(named[:, chosen], axis=1) + H.U(b + 1)).view(np.int64)
+        missing[:, b] = ~there[:, chosen].any(axis=1)
+    bits = [np.where(there, (values >> H.U(i)) & H.U(1), H.U(0)) << np.arange(VALUES, dtype=H.U) for i in (0, 1)]
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * BANDS, pa.int32()), pa.array(keys.ravel(), mask=missing.ravel()))
+    return pa.RecordBatch.from_arrays(
+        [batch.column(0), batch.column(1), lists, *[pa.array(np.bitwise_or.reduce(x, axis=1).view(np.int64)) for x in bits]], names=["l1", "l2", "keys", "s0", "s1"])
+
+
 def signatures(lines: DataFrame) -> DataFrame:
     """``(l1, l2, keys, s0, s1)`` of every distinct line: a key for each band of its MinHash signature, and bits of it.
 
@@ -53,29 +98,11 @@ def signatures(lines: DataFrame) -> DataFrame:
     hashes to a bucket, and lines of different length still agree in a value as often as their
     sets are similar.
 
-    Copies are dropped by a shuffle on the line's name; everything after it stays in the
-    same task, so neither shingles nor signatures are shuffled.  Characters are taken from
-    UTF-32, where the one at any place is found at once, however long the line.
+    Copies are dropped by a shuffle on the line's name; each task then hashes the texts of
+    its lines in blocks, so neither shingles nor signature values are shuffled.
     """
-    once = lines.select("l1", "l2", "line").dropDuplicates(["l1", "l2"]).select("l1", "l2", F.encode("line", "UTF-32").alias("u"))
-    full, part = VALUES * ITEMS, 52
-    counted = once.withColumn("n", F.greatest(F.expr("length(u) div 4").cast("int") - (SHINGLE_CHARS - 1), F.lit(1)))
-    counted = counted.withColumn("top", F.when(F.col("n") <= full, F.lit(1 << part)).otherwise(F.floor(F.lit(float(full << part)) / F.col("n"))).cast("long"))
-    items = counted.select("l1", "l2", "u", "n", "top", F.explode(F.sequence(F.lit(0), F.greatest(F.expr(f"{full} div n"), F.lit(1)).cast("int") * F.col("n") - 1)).alias("i"))
-    turn = F.expr("i div n").cast("int")
-    shingle = F.substring("u", F.col("i") % F.col("n") * 4 + 1, F.lit(4 * SHINGLE_CHARS))
-    hashed = items.select("l1", "l2", "top", turn.alias("turn"), F.xxhash64(shingle, turn).alias("x"))
-    order = F.shiftrightunsigned("x", 64 - part)
-    kept = hashed.where(order < F.col("top")).select(
-        "l1", "l2", F.shiftright(F.col("x").bitwiseAND(F.lit(0xFFF)) * VALUES, 12).cast("int").alias("bucket"),
-        F.shiftleft(F.col("turn").cast("long"), part).bitwiseOR(order).alias("v"))
-    value = kept.groupBy("l1", "l2", "bucket").agg(F.min("v").alias("v"))
-    bands = F.array(*[F.array(*[F.lit(b) for b in range(BANDS) if any((35 * b + 6 * i) % VALUES == v for i in range(ROWS))]) for v in range(VALUES)])
-    banded = value.select("l1", "l2", "bucket", "v", F.explode(F.get(bands, F.col("bucket"))).alias("band")).groupBy("l1", "l2", "band").agg(
-        F.bit_xor(F.xxhash64("bucket", "v")).alias("key"),
-        *[F.bit_or(F.expr(f"shiftleft(shiftright(v, {i}) & 1L, bucket)")).alias(f"s{i}") for i in (0, 1)])
-    return banded.groupBy("l1", "l2").agg(
-        F.array(*[F.max(F.when(F.col("band") == b, F.xxhash64("band", "key"))) for b in range(BANDS)]).alias("keys"), F.bit_or("s0").alias("s0"), F.bit_or("s1").alias("s1"))
+    once = lines.select("l1", "l2", "line").dropDuplicates(["l1", "l2"]).select("l1", "l2", "line")
+    return once.mapInArrow(lambda batches: map(signed_batch, batches), "l1 long, l2 long, keys array<long>, s0 long, s1 long")
 
 
 def near(*differing: Column) -> Column:
@@ -83,17 +110,47 @@ def near(*differing: Column) -> Column:
     return reduce(Column.__add__, map(F.bit_count, differing)) <= MAX_BITS_APART
 
 
+def shingle_set(line: str) -> set[str]:
+    """Runs of ``SHINGLE_CHARS`` characters from every character on; a shorter line is its own and only one."""
+    return {line[i:i + SHINGLE_CHARS] for i in range(max(1, len(line) - (SHINGLE_CHARS - 1)))}
+
+
+def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``a, b, u, v`` of pairs with the Jaccard distance of their texts ``t_a, t_b`` and whether they are linked.
+
+    Sets of lines that come again soon are kept, up to ``HELD_CHARS`` of text.
+    """
+    held: dict[str, set[str]] = {}
+    chars = 0
+
+    def of(text: str) -> set[str]:
+        nonlocal chars
+        if text not in held:
+            if chars > HELD_CHARS:
+                held.clear()
+                chars = 0
+            held[text] = shingle_set(text)
+            chars += len(text)
+        return held[text]
+
+    for batch in batches:
+        distance, linked = [], []
+        for ta, tb in zip(batch.column("t_a"), batch.column("t_b"), strict=True):
+            x, y = of(ta.as_py()), of(tb.as_py())
+            both = len(x & y)
+            union = len(x) + len(y) - both
+            distance.append(1 - both / union)
+            linked.append(both * 100 >= PERCENT * union)
+        yield pa.RecordBatch.from_arrays(
+            [*[batch.column(c) for c in ("a", "b", "u", "v")], pa.array(distance, pa.float64()), pa.array(linked, pa.bool_())], names=["a", "b", "u", "v", "d", "linked"])
+
+
 def measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """``(a, b, u, v, d, linked)``: of pairs of hashes, the lines' names, their Jaccard distance, and whether they are similar enough."""
     side = lambda c, n: texts.select(F.col("l1").alias(c), F.struct("l1", "l2").alias(n), F.col("line").alias(f"t_{c}"))
     joined = pairs.join(side("a", "v"), "a").join(side("b", "u"), "b")
-    # a generator keeps the sets from being worked out anew for each use
-    sets = joined.select("a", "b", "u", "v", F.explode(F.array(F.struct(
-        F.array_distinct(shingles(F.col("t_a"))).alias("a"), F.array_distinct(shingles(F.col("t_b"))).alias("b")))).alias("s"))
-    sized = sets.select("a", "b", "u", "v", F.explode(F.array(F.struct(
-        F.size(F.array_intersect("s.a", "s.b")).alias("both"), (F.size("s.a") + F.size("s.b")).alias("sum")))).alias("n"))
-    both, union = F.col("n.both"), F.col("n.sum") - F.col("n.both")
-    return sized.select("a", "b", "u", "v", (1 - both / union).alias("d"), (both * 100 >= PERCENT * union).alias("linked"))
+    name = "struct<l1:bigint,l2:bigint>"
+    return joined.select("a", "b", "u", "v", "t_a", "t_b").mapInArrow(compared, f"a long, b long, u {name}, v {name}, d double, linked boolean")
 
 
 def contracted(found: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
