@@ -30,6 +30,8 @@ ITEMS = 3
 PART = 52
 #: Stands for a bucket without a value.
 EMPTY = np.iinfo(np.uint64).max
+#: Bits of the sketch that tells pairs apart before their texts are fetched.
+ODD_BITS = 1024
 #: Characters of lines whose shingle sets a verifying task keeps.
 HELD_CHARS = 1 << 20
 #: Bands whose keys are met at once; the others wait, so that fewer shuffled keys lie on disk.
@@ -145,6 +147,42 @@ def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [*[batch.column(c) for c in ("a", "b", "u", "v")], pa.array(distance, pa.float64()), pa.array(linked, pa.bool_())], names=["a", "b", "u", "v", "d", "linked"])
 
 
+def sketched(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """``l1, n, odd`` of a batch of ``l1, line``: the number of distinct shingles, and the parity of how many fall on each of ``ODD_BITS`` bits."""
+    sizes, sketches = [], []
+    for _, _, data, offsets in H.text_blocks(batch.column(1)):
+        starts = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+        first = np.searchsorted(starts[:-1], offsets)
+        sums = H.byte_prefix(data)
+        for lo, hi in zip(first[:-1], first[1:], strict=True):
+            at = np.arange(lo, max(hi - SHINGLE_CHARS, lo) + 1)
+            distinct = np.unique(H.spans(sums, starts[at], starts[np.minimum(at + SHINGLE_CHARS, hi)]))
+            sizes.append(len(distinct))
+            sketches.append(np.packbits(np.bincount((distinct & H.U(ODD_BITS - 1)).astype(np.int64), minlength=ODD_BITS) & 1).tobytes())
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary())], names=["l1", "n", "odd"])
+
+
+def close(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """``a, b`` of the pairs whose sketches leave a link possible."""
+    odd = [np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(len(batch), ODD_BITS // 64) for c in ("odd_a", "odd_b")]
+    apart = np.bitwise_count(odd[0] ^ odd[1]).sum(axis=1, dtype=np.int64)
+    total = sum(batch.column(c).to_numpy().astype(np.int64) for c in ("n_a", "n_b"))
+    return batch.select(["a", "b"]).filter(pa.array(apart * (100 + PERCENT) <= (100 - PERCENT) * total))
+
+
+def likely(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of pairs ``(a, b)`` those that may be linked; no linked pair is left out.
+
+    A shingle that only one line has changes one bit of that line's sketch, so sketches
+    differ in at most as many bits as the sets in shingles, and linked sets of ``n_a`` and
+    ``n_b`` shingles differ in at most ``(100 - PERCENT) / (100 + PERCENT)`` of ``n_a + n_b``.
+    """
+    sketches = texts.select("l1", "line").mapInArrow(lambda batches: map(sketched, batches), "l1 long, n int, odd binary")
+    side = lambda c: sketches.select(F.col("l1").alias(c), F.col("n").alias(f"n_{c}"), F.col("odd").alias(f"odd_{c}"))
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "odd_a", "odd_b")
+    return joined.mapInArrow(lambda batches: map(close, batches), "a long, b long").distinct()
+
+
 def measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """``(a, b, u, v, d, linked)``: of pairs of hashes, the lines' names, their Jaccard distance, and whether they are similar enough."""
     side = lambda c, n: texts.select(F.col("l1").alias(c), F.struct("l1", "l2").alias(n), F.col("line").alias(f"t_{c}"))
@@ -225,6 +263,8 @@ def drop_similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     scratch.release()
     if not rest.isEmpty():
         texts = fetched(rest)
+        rest = scratch.table(likely(rest, texts), "likely")
+        scratch.release()
         more = scratch.table(measured(rest, texts).where("linked").select("u", "v"), "links")
         scratch.drop(texts)
         found = scratch.table(contracted(found, more, scratch), "components")

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -415,6 +416,41 @@ def test_line_bands_find_pairs_at_the_threshold(spark):
     assert all(r["id"] % 2 for r in got) and len(got) >= 0.95 * len(texts) / 2
 
 
+def test_line_sketches_leave_out_no_link():
+    """The sketch test against plain sets: linked pairs all pass, pairs far below the threshold don't."""
+    rng, pairs = np.random.default_rng(8), []
+    for length in (1, 3, 6, 40, 300, 900):
+        for share in (0, 0.01, 0.03, 0.05, 0.3):
+            for _ in range(6):
+                a = rng.choice(list("abcdefgh \u00e9\u6211\U0001f600"), length)
+                b = np.where(rng.random(length) < share, "#", a)
+                pairs.append(("".join(a), "".join(b)))
+    texts = [x for p in pairs for x in p]
+    got = lines.sketched(pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["l1", "line"]))
+    sets = [lines.shingle_set(x) for x in texts]
+    assert got.column("n").to_pylist() == [len(x) for x in sets]
+    n, odd = got.column("n"), got.column("odd")
+    even, uneven = pa.array(range(0, len(texts), 2)), pa.array(range(1, len(texts), 2))
+    kept = lines.close(pa.RecordBatch.from_arrays(
+        [even, uneven, n.take(even), n.take(uneven), odd.take(even), odd.take(uneven)], names=["a", "b", "n_a", "n_b", "odd_a", "odd_b"]))
+    kept = set(kept.column("a").to_pylist())
+    for i in range(0, len(texts), 2):
+        both, union = len(sets[i] & sets[i + 1]), len(sets[i] | sets[i + 1])
+        assert i in kept or 100 * both < 75 * union
+        assert i not in kept or both >= 0.5 * union
+
+
+def test_line_signatures_of_blocks(monkeypatch):
+    """Signatures don't depend on how a batch is cut, and equal shingle sets give equal ones."""
+    texts = ["abcdefghijkl " * 30, "x", "", "\u6211\u4eec" * 400, "hello there, world", "abcdefghijkl " * 30]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(range(6)), pa.array(texts)], names=["l1", "l2", "line"])
+    whole = lines.signed_batch(batch)
+    monkeypatch.setattr(lines.H, "BLOCK_BYTES", 1)
+    assert lines.signed_batch(batch).equals(whole)
+    assert whole.column("keys")[0] == whole.column("keys")[5]
+    assert all(len(x) == lines.BANDS for x in whole.column("keys").to_pylist())
+
+
 def test_short_and_unspaced_lines(spark):
     same = "\u6211\u4eec\u5728\u8fd9\u91cc\u5199\u4e86\u4e00\u884c\u6ca1\u6709\u7a7a\u683c\u7684\u4e2d\u6587\u5b57"
     texts = [(0, f"All rights reserved.\n{same}\nHi\n"), (1, f"All rights reserved.\n{same}\nHi\n \nother"), (2, f"{same}\U0001f600\nHo\nother\n ")]
