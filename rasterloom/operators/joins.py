@@ -2,37 +2,68 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import box as B
 
 
-def cells(b: Column, size: float) -> Column:
-    """Grid cells that a box touches, as ``array<struct<cx,cy>>``; boxes with NaN sides touch none."""
-    lo = lambda v: F.floor(v / size)
-    grid = F.flatten(F.transform(F.sequence(lo(b["x1"]), F.greatest(lo(b["x1"]), lo(b["x2"]))), lambda cx: F.transform(
-        F.sequence(lo(b["y1"]), F.greatest(lo(b["y1"]), lo(b["y2"]))), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
+#: Each grid level has cells ``STEP`` times as wide as the one below; boxes beyond level ``TOP`` are clamped to its cell.
+STEP, TOP = 8, 15
+
+
+def level(b: Column, size: float) -> Column:
+    """The finest grid whose cells are at least as wide as the box, so that it touches at most four of them."""
+    side = F.greatest(b["x2"] - b["x1"], b["y2"] - b["y1"], F.lit(size))
+    return F.least(F.ceil(F.log2(side / size) / math.log2(STEP)), F.lit(TOP)).cast("int")
+
+
+def at(v: Column, level: Column, size: float) -> Column:
+    """Number of the cell of a level that holds a coordinate."""
+    far = size * STEP ** TOP
+    return F.floor(F.greatest(F.least(v, F.lit(far)), F.lit(-far)) / (F.pow(F.lit(float(STEP)), level) * size))
+
+
+def cells(b: Column, own: Column, top: Column, size: float) -> Column:
+    """Cells that a box touches on its own level and those up to ``top``, as ``array<struct<level,cx,cy>>``; boxes with NaN sides touch none."""
+    def on_level(n: Column) -> Column:
+        span = lambda lo, hi: F.sequence(at(b[lo], n, size), F.greatest(at(b[lo], n, size), at(b[hi], n, size)))
+        return F.flatten(F.transform(span("x1", "x2"), lambda cx: F.transform(
+            span("y1", "y2"), lambda cy: F.struct(n.alias("level"), cx.alias("cx"), cy.alias("cy")))))
+
+    grid = F.flatten(F.transform(F.sequence(own, F.greatest(own, F.coalesce(top, own))), on_level))
     bad = F.isnan(b["x1"]) | F.isnan(b["y1"]) | F.isnan(b["x2"]) | F.isnan(b["y2"])
-    return F.when(~bad, grid).otherwise(F.array().cast("array<struct<cx:bigint,cy:bigint>>"))
+    return F.when(~bad, grid).otherwise(F.array().cast("array<struct<level:int,cx:bigint,cy:bigint>>"))
+
+
+def dealt(df: DataFrame, box: str, other: DataFrame, other_box: str, size: float, own: str) -> DataFrame:
+    """``df`` once for each cell that its box touches, on its level ``own`` and on coarser ones as far as ``other`` has boxes."""
+    b, o = F.col(box), F.col(other_box)
+    whole = reduce(Column.__and__, [~F.isnan(o[s]) for s in ("x1", "y1", "x2", "y2")])
+    top = other.where(whole).agg(F.max(level(o, size))).scalar()
+    return df.withColumns({own: level(b, size), "_top": top}).withColumn("cell", F.explode(cells(b, F.col(own), F.col("_top"), size))).drop("_top")
 
 
 def overlapping_pairs(left: DataFrame, right: DataFrame, on: list[str], size: float = 64.0, left_box: str = "box", right_box: str = "box") -> DataFrame:
     """Pairs of rows with equal ``on`` whose boxes overlap; columns of the sides are prefixed ``l_`` and ``r_``.
 
-    Both sides are dealt over grid cells of ``size``; a pair that shares several cells is
-    kept only in the cell that holds the top left of its intersection, so no distinct is
-    needed.  The join is an equi-join on ``on`` and the cell, which adaptive execution can
-    split where it is skewed.
+    Both sides are dealt over nested grids, the finest with cells of ``size``: a box of any
+    size touches a few cells of its own level, and a pair meets on the level of its larger
+    box.  A pair that shares several cells is kept only in the cell that holds the top left
+    of its intersection, so no distinct is needed.  The join is an equi-join on ``on`` and
+    the cell, which adaptive execution can split where it is skewed.
     """
-    l = left.select(*on, *[F.col(c).alias(f"l_{c}") for c in left.columns if c not in on]).withColumn("cell", F.explode(cells(F.col(f"l_{left_box}"), size)))
-    r = right.select(*on, *[F.col(c).alias(f"r_{c}") for c in right.columns if c not in on]).withColumn("cell", F.explode(cells(F.col(f"r_{right_box}"), size)))
+    l = left.select(*on, *[F.col(c).alias(f"l_{c}") for c in left.columns if c not in on])
+    r = right.select(*on, *[F.col(c).alias(f"r_{c}") for c in right.columns if c not in on])
     a, b = F.col(f"l_{left_box}"), F.col(f"r_{right_box}")
-    first = F.struct(
-        F.floor(F.greatest(a["x1"], b["x1"]) / size).alias("cx"), F.floor(F.greatest(a["y1"], b["y1"]) / size).alias("cy"))
-    joined = l.join(r, [*on, "cell"])
+    joined = dealt(l, f"l_{left_box}", right, right_box, size, "_l").join(dealt(r, f"r_{right_box}", left, left_box, size, "_r"), [*on, "cell"])
+    n = F.col("cell.level")
+    first = (F.col("cell.cx") == at(F.greatest(a["x1"], b["x1"]), n, size)) & (F.col("cell.cy") == at(F.greatest(a["y1"], b["y1"]), n, size))
     meets = (F.greatest(a["x1"], b["x1"]) <= F.least(a["x2"], b["x2"])) & (F.greatest(a["y1"], b["y1"]) <= F.least(a["y2"], b["y2"]))
-    return joined.where(meets & (F.col("cell") == first)).drop("cell")
+    return joined.where(meets & (n == F.greatest("_l", "_r")) & first).drop("cell", "_l", "_r")
 
 
 def ious(left: DataFrame, right: DataFrame, on: list[str], bias: float = 0.0, size: float = 64.0) -> DataFrame:
@@ -56,9 +87,13 @@ def all_ious(left: DataFrame, right: DataFrame, on: list[str], bias: float = 0.0
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, on: list[str], x: str = "x", y: str = "y", size: float = 64.0) -> DataFrame:
     """Pairs of a point and a box that holds it, borders included."""
-    p = points.withColumn("cell", F.struct(F.floor(F.col(x) / size).alias("cx"), F.floor(F.col(y) / size).alias("cy")))
-    b = boxes.withColumn("cell", F.explode(cells(F.col("box"), size)))
-    return p.join(b, [*on, "cell"]).where(B.contains(F.col("box"), F.col(x), F.col(y))).drop("cell")
+    own = boxes.withColumn("_level", level(F.col("box"), size))
+    b = own.withColumn("cell", F.explode(cells(F.col("box"), F.col("_level"), F.col("_level"), size))).drop("_level")
+    # a point is looked up on every level that has boxes, at most TOP + 1
+    levels = own.agg(F.collect_set("_level")).scalar()
+    p = points.withColumn("_levels", levels).withColumn("_level", F.explode("_levels"))
+    p = p.withColumn("cell", F.struct(F.col("_level").alias("level"), at(F.col(x), F.col("_level"), size).alias("cx"), at(F.col(y), F.col("_level"), size).alias("cy")))
+    return p.drop("_levels", "_level").join(b, [*on, "cell"]).where(B.contains(F.col("box"), F.col(x), F.col(y))).drop("cell")
 
 
 def zipped(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:

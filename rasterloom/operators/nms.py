@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from ..functions import box as B
 from .joins import overlapping_pairs
 
 #: Groups with more boxes than this leave the expression engine for vectorised NumPy.
-MAX_NATIVE_GROUP = 4096
+MAX_NATIVE_GROUP = 64
 
 
 def available_nms_impls() -> list[str]:
@@ -21,7 +22,7 @@ def available_nms_impls() -> list[str]:
 
 def _greedy(boxes: Column, thresh: float, bias: float) -> Column:
     """Kept ids of an array of boxes ordered by falling score."""
-    kind = "array<struct<x1:double,y1:double,x2:double,y2:double,id:bigint>>"
+    kind = "array<struct<_score:double,_id:bigint,x1:double,y1:double,x2:double,y2:double>>"
     size = lambda b: (b["x2"] - b["x1"] + bias) * (b["y2"] - b["y1"] + bias)
 
     def hits(k, b):
@@ -41,29 +42,37 @@ def non_max_suppression(
     A box goes if its IoU with a kept box of higher score exceeds ``thresh``; equal scores
     fall back on the greater id; an IoU of 0/0 counts as 0.  Missing scores count as 1.
     Suppression is sequential within a group.  ``auto`` folds groups up to
-    ``MAX_NATIVE_GROUP`` boxes natively and sends larger ones to NumPy, each group in one
-    task; ``spatial_nms`` is for groups beyond a task's memory.
+    ``MAX_NATIVE_GROUP`` boxes natively and sends larger ones to NumPy in Arrow batches,
+    from one grouping; each group lies in one task, ``spatial_nms`` is for groups beyond
+    a task's memory.
     """
     keys = [*by, class_col] if class_col else [*by]
-    score = F.coalesce(F.col(score_col), F.lit(1.0)).cast("double") if score_col else F.lit(1.0)
-    rows = dets.select(*keys, F.col(id_col).cast("long").alias("_id"), score.alias("_score"), *[F.col("box")[s].alias(s) for s in ("x1", "y1", "x2", "y2")])
+    groups = _grouped(_rows(dets, keys, id_col, score_col), keys)
     if impl == "numpy":
-        return _numpy_nms(rows, keys, thresh, bias, id_col)
-    if impl == "native":
-        return _native_nms(rows, keys, thresh, bias, id_col)
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    sized = rows.join(sizes, keys)
-    small = _native_nms(sized.where(F.col("_n") <= MAX_NATIVE_GROUP).drop("_n"), keys, thresh, bias, id_col)
-    large = _numpy_nms(sized.where(F.col("_n") > MAX_NATIVE_GROUP).drop("_n"), keys, thresh, bias, id_col)
-    return small.unionByName(large)
+        kept = _numpy_nms(groups, keys, thresh, bias)
+    elif impl == "native":
+        kept = _native_nms(groups, keys, thresh, bias)
+    else:
+        small, large = (groups.where(c) for c in (F.size("b") <= MAX_NATIVE_GROUP, F.size("b") > MAX_NATIVE_GROUP))
+        kept = _native_nms(small, keys, thresh, bias).unionByName(_numpy_nms(large, keys, thresh, bias))
+    return kept.select(*keys, F.col("e._id").alias(id_col), "rank")
+
+
+def _rows(dets: DataFrame, keys: list[str], id_col: str, score_col: str | None) -> DataFrame:
+    score = F.coalesce(F.col(score_col), F.lit(1.0)).cast("double") if score_col else F.lit(1.0)
+    return dets.select(*keys, score.alias("_score"), F.col(id_col).cast("long").alias("_id"), *[F.col("box")[s].cast("double").alias(s) for s in ("x1", "y1", "x2", "y2")])
 
 
-def _native_nms(rows: DataFrame, keys: list[str], thresh: float, bias: float, id_col: str) -> DataFrame:
+def _grouped(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Each group's boxes in one array ``b``, by falling score, then id."""
     entry = F.struct((-F.col("_score")).alias("s"), (-F.col("_id")).alias("i"), "x1", "y1", "x2", "y2")
-    grouped = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("b"))
-    ordered = F.transform("b", lambda e: F.struct(e["x1"].alias("x1"), e["y1"].alias("y1"), e["x2"].alias("x2"), e["y2"].alias("y2"), (-e["i"]).alias("id")))
-    kept = grouped.select(*keys, F.posexplode(_greedy(ordered, thresh, bias)).alias("rank", "k"))
-    return kept.select(*keys, F.col("k.id").alias(id_col), "rank")
+    fields = lambda e: F.struct((-e["s"]).alias("_score"), (-e["i"]).alias("_id"), *[e[c].alias(c) for c in ("x1", "y1", "x2", "y2")])
+    return rows.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("b")).withColumn("b", F.transform("b", fields))
+
+
+def _native_nms(groups: DataFrame, keys: list[str], thresh: float, bias: float) -> DataFrame:
+    """Kept entries ``e`` of each group with their ``rank``."""
+    return groups.select(*keys, F.posexplode(_greedy(F.col("b"), thresh, bias)).alias("rank", "e")).select(*keys, "e", "rank")
 
 
 def nms_indices(ltrb: np.ndarray, thresh: float, bias: float) -> list[int]:
@@ -82,15 +91,25 @@ def nms_indices(ltrb: np.ndarray, thresh: float, bias: float) -> list[int]:
     return kept
 
 
-def _numpy_nms(rows: DataFrame, keys: list[str], thresh: float, bias: float, id_col: str) -> DataFrame:
-    kinds = dict(rows.dtypes)
+def _numpy_nms(groups: DataFrame, keys: list[str], thresh: float, bias: float) -> DataFrame:
+    """Kept entries ``e`` of each group with their ``rank``."""
+    kinds = dict(groups.dtypes)
 
-    def run(f):
-        f = f.sort_values(["_score", "_id"], ascending=False, kind="stable")
-        kept = f.iloc[nms_indices(f[["x1", "y1", "x2", "y2"]].to_numpy(), thresh, bias)]
-        return kept[keys].assign(**{id_col: kept["_id"], "rank": range(len(kept))})
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(batch.num_columns - 1)
+            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+            entries = lists.flatten()
+            ltrb = np.stack([entries.field(s).to_numpy(zero_copy_only=False) for s in ("x1", "y1", "x2", "y2")], axis=1)
+            kept = [nms_indices(ltrb[lo:hi], thresh, bias) for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
+            n = [len(k) for k in kept]
+            owner = pa.array(np.repeat(np.arange(len(kept)), n))
+            at = pa.array(np.concatenate([np.add(k, lo) for k, lo in zip(kept, ends[:-1], strict=True)] or [[]]).astype(np.int64))
+            rank = pa.array(np.concatenate([np.arange(x) for x in n] or [[]]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(owner) for i in range(len(keys))], entries.take(at), rank], names=[*keys, "e", "rank"])
 
-    return rows.groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"{id_col} long", "rank int"]))
+    entry = kinds["b"].removeprefix("array<").removesuffix(">")
+    return groups.select(*keys, "b").mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"e {entry}", "rank int"]))
 
 
 def fast_nms(dets: DataFrame, by: Sequence[str], thresh: float = 0.5, id_col: str = "det_id", score_col: str = "score", class_col: str | None = None, size: float = 64.0) -> DataFrame:
@@ -104,19 +123,19 @@ def fast_nms(dets: DataFrame, by: Sequence[str], thresh: float = 0.5, id_col: st
 
 
 def spatial_nms(dets: DataFrame, by: Sequence[str], diameter: float, thresh: float = 0.5, id_col: str = "det_id", score_col: str = "score", tile: float = 1024.0) -> DataFrame:
-    """Approximate suppression for very large groups: tiles first, then borders.
+    """Approximate suppression for very large groups, on tiles of at least twice ``diameter``, the longest side of a box.
 
     Boxes are dealt over square tiles by their top left corner and suppressed there; the
-    survivors within ``diameter`` of a tile's border are suppressed once more on tiles
-    shifted by half, and a box stays if it survives both.  Like any divide-and-conquer
-    suppression it can differ from the exact one where chains of overlaps cross a border.
+    survivors go through tiles shifted by half along x, along y and along both.  Corners
+    of two overlapping boxes are less than half a tile apart, so one of the four passes
+    has both in one tile, and no two kept boxes overlap by more than ``thresh``.  Like any
+    divide-and-conquer suppression it can differ from the exact one where chains of
+    overlaps cross a border.
     """
-    at = lambda v, off: F.floor((v + off) / tile)
-    first = dets.withColumns({"_tx": at(F.col("box.x1"), 0.0), "_ty": at(F.col("box.y1"), 0.0)})
-    kept = non_max_suppression(first, [*by, "_tx", "_ty"], thresh, id_col=id_col, score_col=score_col)
-    alive = dets.join(kept.select(*by, id_col), [*by, id_col], "left_semi")
-    gap = lambda v: F.least(F.pmod(v, F.lit(tile)), F.lit(tile) - F.pmod(v, F.lit(tile)))
-    border = (gap(F.col("box.x1")) < diameter) | (gap(F.col("box.y1")) < diameter)
-    shifted = alive.where(border).withColumns({"_tx": at(F.col("box.x1"), tile / 2), "_ty": at(F.col("box.y1"), tile / 2)})
-    again = non_max_suppression(shifted, [*by, "_tx", "_ty"], thresh, id_col=id_col, score_col=score_col)
-    return alive.where(~border).select(*by, id_col).unionByName(again.select(*by, id_col))
+    tile = max(tile, 2 * diameter)
+    alive = _rows(dets, [*by], id_col, score_col)
+    for dx, dy in ((0, 0), (tile / 2, 0), (0, tile / 2), (tile / 2, tile / 2)):
+        dealt = alive.withColumns({"_tx": F.floor((F.col("x1") + dx) / tile), "_ty": F.floor((F.col("y1") + dy) / tile)})
+        keys = [*by, "_tx", "_ty"]
+        alive = _numpy_nms(_grouped(dealt, keys), keys, thresh, 0.0).select(*by, "e.*")
+    return alive.select(*by, F.col("_id").alias(id_col))

@@ -180,13 +180,14 @@ def convolve(pixels: DataFrame, by: Sequence[str], weights: np.ndarray, border:
 
     def mirrored(c: str, n: str, r: int) -> Column:
         """Positions, inside and out, that reflect onto this one within reach ``r``."""
-        at, period = F.col(c), 2 * (F.col(n) - 1)
+        at, last = F.col(c).cast("bigint"), F.col(n).cast("bigint") - 1
         if r == 0:
-            return F.array(at.cast("bigint"))
-        reach = F.sequence(F.lit(-r).cast("bigint"), (F.col(n) - 1 + r).cast("bigint"))
-        fold = lambda i: F.when(F.col(n) == 1, F.lit(0)).otherwise((F.col(n) - 1) - F.abs(F.pmod(i, F.greatest(period, F.lit(1))) - (F.col(n) - 1)))
-        near = F.filter(reach, lambda i: fold(i) == at)
-        return near
+            return F.array(at)
+        once = F.array_compact(F.array(at, F.when((at > 0) & (at <= r), -at), F.when((at < last) & (last - at <= r), 2 * last - at)))
+        # images no larger than the reach reflect more than once; their reach is at most three times the kernel's
+        reach = F.sequence(F.lit(-r).cast("bigint"), last + r)
+        fold = lambda i: F.when(last == 0, F.lit(0)).otherwise(last - F.abs(F.pmod(i, F.greatest(2 * last, F.lit(1))) - last))
+        return F.when(last >= r, once).otherwise(F.filter(reach, lambda i: fold(i) == at))
 
     copies = own.select(*by, "height", "width", "v", F.explode(mirrored("y", "height", cy)).alias("y"), F.col("x").alias("_x0")).withColumnRenamed("_x0", "x")
     copies = copies.select(*by, "height", "width", "v", "y", F.explode(mirrored("x", "width", cx)).alias("x"))

@@ -207,3 +207,60 @@ def test_stream(spark, tmp_path):
     q = annotate.write(annotate.canonical(annotate.read_annotations(spark, str(tmp_path / "in")), 10, 10), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert [(r["id"], r["area"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(1, 100.0)]
+
+
+def test_boxes_of_any_size_meet_without_many_cells(spark):
+    rng = np.random.default_rng(1)
+
+    def table(n):
+        corner, side = rng.uniform(-300, 300, (n, 2)), np.exp(rng.uniform(0, 9, (n, 2)))
+        rows = [(i % 2, i, *map(float, (*c, *(c + s)))) for i, (c, s) in enumerate(zip(corner, side, strict=True))]
+        inf, nan = float("inf"), float("nan")
+        return rows + [(0, n, -5e7, -5e7, 5e7, 5e7), (1, n + 1, -inf, 0.0, inf, 1.0), (0, n + 2, nan, 0.0, 1.0, 1.0), (0, n + 3, 64.0, 64.0, 64.0, 64.0)]
+
+    def frame(rows):
+        flat = spark.createDataFrame(rows, "image_id int, id int, x1 double, y1 double, x2 double, y2 double")
+        return flat.select("image_id", "id", F.struct("x1", "y1", "x2", "y2").alias("box"))
+
+    a, b = table(40), table(50)
+    meet = lambda p, q: p[0] == q[0] and max(p[2], q[2]) <= min(p[4], q[4]) and max(p[3], q[3]) <= min(p[5], q[5]) and not any(math.isnan(v) for v in p[2:] + q[2:])
+    got = joins.overlapping_pairs(frame(a), frame(b), ["image_id"]).select("l_id", "r_id").collect()
+    assert sorted(map(tuple, got)) == sorted((p[1], q[1]) for p in a for q in b if meet(p, q))
+    assert joins.overlapping_pairs(frame(a).where("false"), frame(b), ["image_id"]).count() == 0
+
+    at = [(i % 2, i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-2000, 2000, (60, 2)))]
+    points = spark.createDataFrame(at, "image_id int, pid int, x double, y double")
+    got = joins.points_in_boxes(points, frame(b), ["image_id"]).select("pid", "id").collect()
+    assert sorted(map(tuple, got)) == sorted((p[1], q[1]) for p in at for q in b if p[0] == q[0] and q[2] <= p[2] <= q[4] and q[3] <= p[3] <= q[5])
+
+
+def test_suppression_agrees_and_tiles_leave_no_overlap(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i % 3, i, float(rng.random()), *map(float, (x, y, x + 30, y + 30))) for i, (x, y) in enumerate(rng.uniform(0, 300, (400, 2)))]
+    rows.append((7, 400, None, 0.0, 0.0, 0.0, 0.0))
+    # one pair across a border in x and a shifted border in y
+    rows += [(8, 401, 0.9, 59.0, 29.0, 89.0, 59.0), (8, 402, 0.8, 61.0, 31.0, 91.0, 61.0)]
+    dets = spark.createDataFrame(rows, "image_id int, det_id long, score double, x1 double, y1 double, x2 double, y2 double")
+    dets = dets.select("image_id", "det_id", "score", F.struct("x1", "y1", "x2", "y2").alias("box"))
+    auto, native, numpy = (sorted(map(tuple, nms.non_max_suppression(dets, ["image_id"], 0.4, impl=i).collect())) for i in ("auto", "native", "numpy"))
+    assert auto == native == numpy
+    kept = {r["det_id"] for r in nms.spatial_nms(dets, ["image_id"], 30.0, 0.4, tile=60.0).collect()}
+    assert 401 in kept and 402 not in kept and 400 in kept
+    left = [r for r in rows if r[1] in kept and r[0] < 3]
+    for a in left:
+        for b in left:
+            if a[0] == b[0] and a[1] < b[1]:
+                both = max(0.0, min(a[5], b[5]) - max(a[3], b[3])) * max(0.0, min(a[6], b[6]) - max(a[4], b[4]))
+                assert both / (1800 - both) <= 0.4
+
+
+@pytest.mark.parametrize("side", [1, 2, 3, 9])
+def test_blur_reflects_at_borders(spark, side):
+    image = (np.arange(side * side) % 7).astype(float).reshape(side, side)
+    pixels = spark.createDataFrame([(0, y, x, float(image[y, x])) for y in range(side) for x in range(side)], "image_id int, y int, x int, v double")
+    k = raster.gaussian_kernel(7)
+    line = lambda v: np.convolve(np.pad(v, 3, mode="reflect") if side > 1 else np.repeat(v, 7), k, "valid")
+    want = np.apply_along_axis(line, 0, np.apply_along_axis(line, 1, image))
+    got = {(r["y"], r["x"]): r["v"] for r in raster.gaussian_blur(pixels, ["image_id"], 7).collect()}
+    assert len(got) == side * side
+    assert all(abs(got[y, x] - want[y, x]) < 1e-9 for y in range(side) for x in range(side))
