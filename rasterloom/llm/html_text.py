@@ -33,7 +33,6 @@ UNWELCOME = re.compile(
     r"(?i)(?:ads?|advert(?:s|isement|isements|ising)?|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|menu|nav|navbar|navigation|newsletter|"
     r"notices?|popup|promos?|promotions?|related|replies|share|sharing|sidebar|social|sponsor(?:s|ed)?|subscribe|widget)")
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
 _ATTRIBUTE = re.compile(r"(?i)\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 
 
@@ -49,90 +48,165 @@ class Piece:
     unwelcome: bool = False
 
 
-def _unwelcome(stack: Sequence[tuple[str, str, bool, bool]]) -> bool:
-    """Whether an element is boilerplate; what lies around the innermost article or main element doesn't count."""
-    for _, _, unwelcome, content in reversed(stack):
-        if unwelcome or content:
-            return unwelcome
-    return False
+class First:
+    """Start of the first match at or after a position, for positions that never fall; the page's length if there is none."""
 
+    def __init__(self, pattern: str, page: str):
+        self.pattern, self.page, self.found = re.compile(pattern), page, -1
 
-def _around_content(page: str) -> set[int]:
+    def __call__(self, at: int) -> int:
+        if self.found < at:
+            m = self.pattern.search(self.page, at)
+            self.found = m.start() if m else len(self.page)
+        return self.found
+
+
+@dataclass
+class Tag:
+    """``page[start:end]``, with all of a raw element's content; ``name`` is empty for comments and declarations."""
+
+    start: int
+    end: int
+    name: str = ""
+    closing: bool = False
+    attributes: str = ""
+
+
+def tags(page: str) -> Iterator[Tag]:
+    """Tags, comments and declarations in page order.
+
+    A tag ends at the first ``>`` outside quotes; what has no such end is text.  Where a
+    quote leads is worked out once for each quote, and searches don't go back, so the time
+    is linear in the page's length also where quotes or tags are never closed.
+    """
+    size, last = len(page), page.rfind(">")
+    name_end, special, bracket = First(r"[\s/>]", page), First(r"[>\"']", page), First(">", page)
+    either = re.compile(r"[>\"']")
+    after: dict[int, int] = {}
+
+    def end_of(at: int) -> int:
+        """Position of the ``>`` that ends a tag whose next special character is at ``at``; -1 if none does."""
+        path = []
+        while at < size and page[at] != ">" and at not in after:
+            path.append(at)
+            close = page.find(page[at], at + 1)
+            m = either.search(page, close + 1) if close >= 0 else None
+            at = m.start() if m else size
+        end = -1 if at >= size else after.get(at, at)
+        after.update(dict.fromkeys(path, end))
+        return end
+
+    at = page.find("<")
+    while at >= 0:
+        found = None
+        if page.startswith("<!--", at):
+            close = page.find("-->", at + 4)
+            found = Tag(at, size if close < 0 else close + 3)
+        elif at < last and page[at + 1] in "!?":
+            found = Tag(at, bracket(at) + 1)
+        elif at < last:
+            first = at + 1 + (page[at + 1] == "/")
+            if page[first].isascii() and page[first].isalpha():
+                stop = name_end(first)
+                end = end_of(special(stop))
+                if end >= 0:
+                    found = Tag(at, end + 1, page[first:stop].lower(), first > at + 1, page[stop:end])
+                    if found.name in RAW and not found.closing and not found.attributes.rstrip().endswith("/"):
+                        m = re.compile(rf"</{re.escape(found.name)}\s*>", re.I).search(page, found.end)
+                        found.end = m.end() if m else size
+        if found:
+            yield found
+        at = page.find("<", found.end if found else at + 1)
+
+
+def _around_content(found: Sequence[Tag]) -> set[int]:
     """Starts of the tags of elements that hold an article or main element."""
     stack: list[tuple[str, int]] = []
-    found: set[int] = set()
-    at = 0
-    while m := _TOKEN.search(page, at):
-        at = m.end()
-        name = (m[2] or "").lower()
-        if not name or name in VOID:
+    opened: Counter[str] = Counter()
+    around: set[int] = set()
+    for tag in found:
+        if not tag.name or tag.name in VOID or tag.name in RAW and not tag.closing:
             continue
-        if m[1]:
-            if any(x == name for x, _ in stack):
-                while stack.pop()[0] != name:
-                    pass
-        elif name in RAW:
-            if not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
-        else:
-            if name in CONTENT:
-                found.update(start for _, start in stack)
-            stack.append((name, m.start()))
-    return found
+        if not tag.closing:
+            if tag.name in CONTENT:
+                for _, start in reversed(stack):
+                    if start in around:
+                        break
+                    around.add(start)
+            stack.append((tag.name, tag.start))
+            opened[tag.name] += 1
+        elif opened[tag.name]:
+            name = ""
+            while name != tag.name:
+                name, _ = stack.pop()
+                opened[name] -= 1
+    return around
+
+
+@dataclass
+class Open:
+    """An open element with what holds for text inside it."""
+
+    name: str
+    key: str
+    unwelcome: bool
+    inside: bool
 
 
 def pieces(page: str) -> Iterator[Piece]:
-    """Tags and texts in page order.  Comments vanish; raw elements are one unwelcome piece each; missing end tags are tolerated.
+    """Tags and texts in page order.  Comments vanish; raw elements are one tag each, without text; missing end tags are tolerated.
 
     An article or main element is welcome whatever surrounds it, and what surrounds one
-    isn't judged by its class or id.
+    isn't judged by its class or id.  Every open element carries the context of its text,
+    so the time doesn't depend on how deep elements are nested.
     """
-    stack: list[tuple[str, str, bool, bool]] = []  # name, key, unwelcome, content
-    around = _around_content(page)
-    at, size = 0, len(page)
+    found = list(tags(page))
+    around = _around_content(found)
+    stack = [Open("", "", False, False)]
+    opened: Counter[str] = Counter()
 
     def text(raw: str) -> Iterator[Piece]:
         decoded = html.unescape(raw)
-        n = len(decoded.split())
         if decoded:
-            key = next((k for _, k, _, _ in reversed(stack) if k), "")
-            yield Piece(key, n, decoded, False, any(c for *_, c in stack), _unwelcome(stack))
-
-    while at < size:
-        m = _TOKEN.search(page, at)
-        if not m:
-            yield from text(page[at:])
-            return
-        if m.start() > at:
-            yield from text(page[at:m.start()])
-        at = m.end()
-        name = (m[2] or "").lower()
+            top = stack[-1]
+            yield Piece(top.key, len(decoded.split()), decoded, False, top.inside, top.unwelcome)
+
+    def pop_to(name: str) -> None:
+        popped = ""
+        while popped != name:
+            popped = stack.pop().name
+            opened[popped] -= 1
+
+    at = 0
+    for tag in found:
+        if tag.start > at:
+            yield from text(page[at:tag.start])
+        at, name, inside = tag.end, tag.name, stack[-1].inside
         if not name:
             continue
-        if m[1]:
-            if any(x[0] == name for x in stack):
-                inside = any(c for *_, c in stack)
-                while stack.pop()[0] != name:
-                    pass
-                yield Piece(f"</{name}", breaks=name in BLOCKS, inside=inside and any(c for *_, c in stack))
+        if tag.closing:
+            if opened[name]:
+                pop_to(name)
+                yield Piece(f"</{name}", breaks=name in BLOCKS, inside=inside and stack[-1].inside)
             continue
-        marks = " ".join(next(x for x in a if x) for a in _ATTRIBUTE.findall(m[3]) if any(a))
-        label = f"{name}.{marks.split()[0].lower()}" if marks.split() else name
-        inside = any(c for *_, c in stack)
-        if name in CLOSES_P and any(x[0] == "p" for x in stack[-3:]):
-            while stack.pop()[0] != "p":
-                pass
+        marks = " ".join(next(x for x in a if x) for a in _ATTRIBUTE.findall(tag.attributes) if any(a)).split()
+        label = f"{name}.{marks[0].lower()}" if marks else name
+        if name in CLOSES_P and any(x.name == "p" for x in stack[-3:]):
+            pop_to("p")
         yield Piece(f"<{label}", breaks=name in BLOCKS, inside=inside)
-        if name in RAW and not m[3].rstrip().endswith("/"):
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = end.end() if end else size
-        elif name not in VOID:
-            structural = name in BLOCKS and not re.fullmatch(r"p|h[1-6]|br|li|ul|ol|blockquote|pre|t[rdh]|table|tbody|d[ltd]", name) or bool(marks) and name in BLOCKS
-            kept = name in KEPT and any(c for *_, c in stack)
-            marked = name in BLOCKS and name not in CONTENT and name not in ("html", "body") and m.start() not in around
-            unwelcome = name in BOILERPLATE and not kept or marked and any(UNWELCOME.fullmatch(x) for x in marks.split())
-            stack.append((name, label if not kept and (structural or name in BOILERPLATE) else "", unwelcome, name in CONTENT))
+        if name in VOID or name in RAW and not tag.attributes.rstrip().endswith("/"):
+            continue
+        top = stack[-1]
+        structural = name in BLOCKS and (bool(marks) or not re.fullmatch(r"p|h[1-6]|br|li|ul|ol|blockquote|pre|t[rdh]|table|tbody|d[ltd]", name))
+        kept = name in KEPT and top.inside
+        marked = name in BLOCKS and name not in CONTENT and name not in ("html", "body") and tag.start not in around
+        unwelcome = name in BOILERPLATE and not kept or marked and any(UNWELCOME.fullmatch(x) for x in marks)
+        named = not kept and (structural or name in BOILERPLATE)
+        stack.append(Open(
+            name, label if named else top.key, unwelcome or name not in CONTENT and top.unwelcome, name in CONTENT or top.inside))
+        opened[name] += 1
+    if at < len(page):
+        yield from text(page[at:])
 
 
 @dataclass
@@ -202,16 +276,16 @@ def main_text(page: str | None, weights: Weights) -> str:
 
 
 def labelled_sample(pages: DataFrame, id_col: str, html_col: str, limit: int) -> list[str]:
-    """At most ``limit`` pages with an article or main element, by smallest hash of their id."""
+    """At most ``limit`` pages with an article or main element, by smallest hash of their id; of rows with one id the smallest page."""
     rows = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).where(
         F.col("html").rlike(r"(?i)<(?:article|main)\b") & (F.length("html") <= MAX_LABELLED_CHARS))
     rows = rows.withColumn("h", F.xxhash64("id"))
-    # hashes alone are ranked; only pages up to the last of them come to the driver
-    ranked = rows.select("h").orderBy("h").limit(limit).collect()
+    # hashes alone are ranked; only one page for each of them comes to the driver
+    ranked = rows.select("h").distinct().orderBy("h").limit(limit).collect()
     if not ranked:
         return []
-    found = rows.where(F.col("h") <= ranked[-1]["h"]).select("h", "html").limit(2 * limit).collect()
-    return [r["html"] for r in sorted(found, key=lambda r: (r["h"], r["html"]))[:limit]]
+    found = rows.where(F.col("h") <= ranked[-1]["h"]).groupBy("h").agg(F.min("html").alias("html")).collect()
+    return [r["html"] for r in sorted(found, key=lambda r: r["h"])]
 
 
 def extract_main_text(
@@ -221,8 +295,9 @@ def extract_main_text(
     """``(id, url, text, n_chars)`` of every page.
 
     Weights are fitted on at most ``max_labelled`` labelled pages unless given.  Null or
-    empty html, and pages without content, give empty text; repeated rows are extracted
-    each; other columns are not read.
+    empty html, and pages without content, give empty text; an empty table gives an empty
+    result; repeated rows are extracted each; other columns are not read.  A page is held
+    whole by one task, whose time is linear in the page's length.
     """
     if weights is None:
         weights = fit_weights(labelled_sample(pages, id_col, html_col, max_labelled))

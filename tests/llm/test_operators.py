@@ -205,6 +205,21 @@ def test_best_region_matches_brute_force():
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
+
+@pytest.mark.parametrize("unit", ['<a "', "<div>", "<a <b ", "<a<a", "<! ", "<a \"'", '<p "x" ', '</x y="', "<article><div>"])
+def test_html_text_takes_linear_time_on_broken_pages(unit):
+    weights = html_text.Weights()
+    assert html_text.main_text("<article>some words</article>" + unit * 50_000, weights).startswith("some words")
+
+
+def test_html_tags_end_outside_quotes():
+    page = "a<!-- x > --><p class='q>\"'>b<a \"unclosed>c</p ><script>if (a<b) x</script >d<1>e<?x?>"
+    found = [(t.name, t.closing, page[t.start:t.end]) for t in html_text.tags(page)]
+    assert found == [
+        ("", False, "<!-- x > -->"), ("p", False, "<p class='q>\"'>"), ("p", True, "</p >"),
+        ("script", False, "<script>if (a<b) x</script >"), ("", False, "<?x?>")]
+    assert list(html_text.tags("")) == [] and list(html_text.tags("<")) == [] and list(html_text.tags("<a")) == []
+
 def test_urls(spark):
     pages = spark.createDataFrame([
         (0, "https://WWW.example.ORG/es/1?q#f", ""), (1, "http://x.example.org/en/2", None), (2, "http://a.com/de/x", "<link rel='canonical' href='http://b.net/y'>"),
