@@ -11,11 +11,13 @@ from __future__ import annotations
 import hashlib
 import io
 import struct
+import time
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -26,8 +28,8 @@ from .workspace import Scratch
 ROW = 192
 #: An archive is closed once it holds so many bytes.
 ARCHIVE_BYTES = 32 << 20
-#: Bytes of an archive that one read task covers.
-RANGE_BYTES = 8 << 20
+#: Bytes of an archive that one read task covers, and the number of ranges beyond which they grow.
+RANGE_BYTES, MAX_RANGES = 8 << 20, 100_000
 #: Payload bytes in one Arrow batch of the reader.
 BATCH_BYTES = 8 << 20
 #: Reads of a member before its failure is raised.
@@ -109,11 +111,15 @@ def read_directory(source: pa.NativeFile, size: int) -> list[tuple[bytes, int, i
     """``(name, offset, length, crc)`` of an archive's members from its own directory."""
     source.seek(max(0, size - 22))
     end = source.read(22)
+    if len(end) < 22:
+        raise OSError("archive is cut off")
     if end[:4] != b"PK\x05\x06":
         raise ValueError("archive without directory")
     length, at = struct.unpack("<II", end[12:20])
     source.seek(at)
     listing, members, i = source.read(length), [], 0
+    if len(listing) < length:
+        raise OSError("archive's directory is cut off")
     while i < len(listing):
         crc, stored, _, name_len, extra, comment = struct.unpack("<IIIHHH", listing[i + 16:i + 34])
         offset = struct.unpack("<I", listing[i + 42:i + 46])[0]
@@ -125,6 +131,8 @@ def read_directory(source: pa.NativeFile, size: int) -> list[tuple[bytes, int, i
 def read_member(source: pa.NativeFile, offset: int, length: int, crc: int) -> bytes:
     source.seek(offset)
     head = source.read(30)
+    if len(head) < 30:
+        raise OSError(f"member at offset {offset} is cut off")
     name_len, extra = struct.unpack("<HH", head[26:30])
     source.seek(offset + 30 + name_len + extra)
     data = source.read(length)
@@ -143,22 +151,40 @@ class ByteRange(InputPartition):
 
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.root = options["path"]
+        self.root, self.manifest = options["path"], options.get("manifest")
         self.range_bytes = int(options.get("range_bytes", RANGE_BYTES))
         self.batch_bytes = int(options.get("batch_bytes", BATCH_BYTES))
         self.attempts = int(options.get("attempts", ATTEMPTS))
 
     def partitions(self) -> list[InputPartition]:
-        """Only names and sizes of archives reach the planner; directories are read by tasks."""
+        """Only names and sizes of archives reach the planner; directories are read by tasks.
+
+        Ranges grow where there would be more than ``MAX_RANGES``.  With a ``manifest`` only the
+        archives that it lists count, so what a failed attempt left is not read.
+        """
         fs, path = filesystem(self.root)
         base = self.root.rstrip("/")
-        out: list[InputPartition] = []
-        for info in sorted(fs.get_file_info(pafs.FileSelector(path, allow_not_found=True)), key=lambda x: x.path):
-            if info.is_file and info.base_name.endswith(".zip"):
-                for start in range(0, info.size, self.range_bytes):
-                    out.append(ByteRange(f"{base}/{info.base_name}", info.size, start, start + self.range_bytes))
+        there = fs.get_file_info(pafs.FileSelector(path, allow_not_found=True))
+        listed = self._listed()
+        archives = sorted((x for x in there if x.is_file and x.base_name.endswith(".zip") and (listed is None or x.base_name in listed)), key=lambda x: x.path)
+        if listed is not None and len(archives) < len(listed):
+            raise OSError(f"{len(listed) - len(archives)} archives of the manifest are missing")
+        step = max(self.range_bytes, sum(x.size for x in archives) // MAX_RANGES)
+        out: list[InputPartition] = [
+            ByteRange(f"{base}/{x.base_name}", x.size, start, start + step) for x in archives for start in range(0, x.size, step)]
         return out or [ByteRange("", 0, 0, 0)]
 
+    def _listed(self) -> set[str] | None:
+        if not self.manifest:
+            return None
+        fs, path = filesystem(self.manifest)
+        names: set[str] = set()
+        for info in fs.get_file_info(pafs.FileSelector(path)):
+            if info.is_file and info.base_name.endswith(".parquet"):
+                with fs.open_input_file(info.path) as source:
+                    names.update(pq.read_table(source, columns=["archive"]).column(0).to_pylist())
+        return names
+
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         if not partition.uri:
             return
@@ -189,12 +215,13 @@ class ArchiveReader(DataSourceReader):
         return self._retry(once)
 
     def _retry(self, call):
-        for left in range(self.attempts - 1, -1, -1):
+        for tried in range(1, self.attempts + 1):
             try:
                 return call()
             except OSError:
-                if not left:
+                if tried == self.attempts:
                     raise
+                time.sleep(0.05 * 2 ** tried)
 
     @staticmethod
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -225,11 +252,12 @@ def read_archives(spark: SparkSession, folder: str, **options) -> DataFrame:
 def write_archives(docs: DataFrame, folder: str, manifest: str, id_col: str = "doc_id", text_col: str = "text", archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Stores every text as an image in archives under ``folder``.
 
-    A task writes an archive under a temporary name and renames it to one that follows
-    from its partition, so a repeated attempt replaces what an earlier one left.  The
-    Parquet table ``manifest`` lists the archives of the attempts that counted.
+    Every attempt of a task writes archives of its own.  The Parquet table ``manifest``
+    lists those of the attempts that counted; readers take no others.  Members carry ids,
+    string ids after an apostrophe, and ``null`` for a missing one.
     """
     kind = dict(docs.dtypes)[id_col]
+    quote = "'" if kind == "string" else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -241,18 +269,16 @@ def write_archives(docs: DataFrame, folder: str, manifest: str, id_col: str = "d
 
         def close():
             nonlocal archive, k
-            data, n, name = archive.finish(), archive.n, f"part-{part:06d}-{k:05d}.zip"
-            temporary = f"{root}/_{name}.{context.taskAttemptId()}"
-            with fs.open_output_stream(temporary) as out:
+            data, n, name = archive.finish(), archive.n, f"part-{part:06d}-{context.taskAttemptId()}-{k:05d}.zip"
+            with fs.open_output_stream(f"{root}/{name}") as out:
                 out.write(data)
-            fs.move(temporary, f"{root}/{name}")
             archive, k = ArchiveWriter(), k + 1
             return pa.RecordBatch.from_pydict({"archive": [name], "members": pa.array([n], pa.int64()), "bytes": pa.array([len(data)], pa.int64())})
 
         for batch in batches:
             for doc, text in zip(batch.column(0), batch.column(1), strict=True):
                 data = (text.as_py() or "").encode()
-                name = b"null" if not doc.is_valid else str(doc.as_py()).encode()
+                name = b"null" if not doc.is_valid else f"{quote}{doc.as_py()}".encode()
                 archive.add(name, encode_png(padded(data), len(data)))
                 if archive.body.tell() >= archive_bytes:
                     yield close()
@@ -296,17 +322,19 @@ def payload_features(archives: DataFrame, id_col: str = "doc_id", id_type: str =
 
     described = archives.select("member", "content").mapInArrow(
         run, "member string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-    return described.select(F.expr(f"try_cast(nullif(member, 'null') as {id_type})").alias(id_col), *names)
+    named = F.expr("nullif(member, 'null')")
+    own = F.expr("substring(nullif(member, 'null'), 2)") if id_type == "string" else named.try_cast(id_type)
+    return described.select(own.alias(id_col), *names)
 
 
 def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Texts stored as media, read back through the data source and described.
 
     Null text counts as empty (one row of spaces); a null id comes back null; repeated rows
-    are stored each; an empty table gives an empty result.
+    are stored each; an empty table gives an empty result; a text is held whole by one task.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "media")
     folder, manifest = scratch.path("archives"), scratch.path("manifest")
     write_archives(docs, folder, manifest, id_col, text_col)
-    return payload_features(read_archives(spark, folder), id_col, dict(docs.dtypes)[id_col])
+    return payload_features(read_archives(spark, folder, manifest=manifest), id_col, dict(docs.dtypes)[id_col])

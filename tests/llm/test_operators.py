@@ -73,6 +73,24 @@ def test_media_reads_ranges_and_retries(spark, tmp_path):
         media.decode_png(blobs[b"3"][:-20])
 
 
+def test_media_string_ids_and_manifest(spark, tmp_path):
+    ids = ["null", None, "", "'q", "7", "7"]
+    got = media.media_column(spark.createDataFrame([(i, "text") for i in ids], "doc_id string, text string")).collect()
+    assert sorted((r["doc_id"] for r in got), key=repr) == sorted(ids, key=repr)
+
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string").repartition(2)
+    folder, manifest = (tmp_path / x for x in ("archives", "manifest"))
+    media.write_archives(docs, folder.as_uri(), manifest.as_uri())
+    orphan = media.ArchiveWriter()
+    orphan.add(b"99", media.encode_png(media.padded(b"left by a failed attempt"), 24))
+    (folder / "part-000000-999-00000.zip").write_bytes(orphan.finish())
+    (folder / "part-000000-998-00000.zip").write_bytes(b"cut o")
+    read = media.read_archives(spark, folder.as_uri(), manifest=manifest.as_uri())
+    assert sorted(int(r["member"]) for r in read.collect()) == list(range(20))
+    with pytest.raises(OSError):
+        media.read_member(pa.BufferReader(b"short"), 0, 10, 0)
+
+
 # packing -----------------------------------------------------------------------------
 
 
