@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, lines, media, mixing, neardup, packing, quality, substrings, suffixes, url_filter
+from . import html_text, lines, media, merkle, mixing, neardup, packing, quality, substrings, suffixes, url_filter
 
 #: Fixed values of the URL query: (verdict, host, path).
 URL_RULES = [
@@ -76,6 +76,13 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    text = F.when(tampered, F.translate("text", upper, lower)).otherwise(F.col("text"))
+    return merkle.merkle_manifest(table(spark, sf_dir, "documents"), found={"text": text})
+
+
 QUERIES = {
     "op1_media_columns": op1_media_columns,
     "op2_packing": op2_packing,
@@ -87,6 +94,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_near_duplicates": op10_near_duplicates,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 _AFTER = "substr(url, position('://' in url) + 3)"
@@ -153,3 +161,47 @@ comp as (select x as doc_id, min(y) as component_id from reach group by 1)
 select w.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, component_id, component_id = w.doc_id as kept
 from w left join n using (doc_id) join comp using (doc_id)""",
 }
+
+
+def _merkle_sql(tree_levels: int = 6, top_levels: int = 4, fanout: int = 16) -> str:
+    """Trees of at most ``fanout ** tree_levels`` rows a source and ``fanout ** top_levels`` sources, a level at a time."""
+    leaf = lambda text: "sha256(" + " || ".join(
+        f"case when {v} is null then '-' else strlen(cast({v} as varchar)) || ':' || cast({v} as varchar) end" for v in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    # crc32 bit by bit: nine steps for each digit, the first takes the digit in
+    steps = [f"""
+with recursive bits as (
+  select distinct doc_id, cast(doc_id as varchar) as s, 0 as k, cast(4294967295 as bigint) as v from documents where doc_id is not null
+  union all
+  select doc_id, s, k + 1, case when k % 9 = 0 then xor(v, ascii(s[k // 9 + 1])) else xor(v >> 1, case when v & 1 = 1 then 3988292384 else 0 end) end
+  from bits where k < 9 * length(s)),
+b as (
+  select d.doc_id, source, {leaf("text")} as leaf,
+    {leaf(f"case when xor(v, 4294967295) % 5 = 0 then translate(text, {_LOWER}) else text end")} as now
+  from documents d left join (select doc_id as i, v from bits where k = 9 * length(s)) c on c.i = d.doc_id),
+w0 as (
+  select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as pos, leaf as node, now as fold, '' as proof,
+    dense_rank() over (order by source nulls first) - 1 as tree
+  from b)"""]
+    total = tree_levels + top_levels
+    for level in range(total):
+        if level == tree_levels:
+            steps.append(f"w{level}t as (select * replace (0 as tree, tree as pos), node as subroot from w{level})")
+        source = f"w{level}t" if level == tree_levels else f"w{level}"
+        subroot = ", subroot" if level >= tree_levels else ""
+        steps.append(f"""
+r{level} as (
+  select tree, pos // {fanout} as run, list(node order by pos) as ds, sum(count(*)) over (partition by tree) as n
+  from (select distinct tree, pos, node from {source}) group by 1, 2),
+w{level + 1} as (
+  select doc_id, source, leaf, now, tree{subroot},
+    case when n = 1 then pos else pos // {fanout} end as pos,
+    case when n = 1 then node else sha256(array_to_string(ds, '')) end as node,
+    case when n = 1 then fold else sha256(array_to_string(ds[:pos % {fanout}] || [fold] || ds[pos % {fanout} + 2:], '')) end as fold,
+    proof || array_to_string(ds[:pos % {fanout}] || ds[pos % {fanout} + 2:], '') as proof
+  from {source} w join r{level} using (tree) where run = pos // {fanout})""")
+    return ",".join(steps) + f"""
+select doc_id, leaf, subroot, node as root, sha256(proof) as proof_sha256, fold as folded_root, fold = node as verified from w{total}"""
+
+
+
+ORACLE["op12_merkle_manifest"] = _merkle_sql()
