@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, lines, media, merkle, mixing, neardup, packing, quality, substrings, suffixes, url_filter
+from . import bestfit, html_text, lines, media, merkle, mixing, neardup, packing, quality, substrings, suffixes, url_filter
 
 #: Fixed values of the URL query: (verdict, host, path).
 URL_RULES = [
@@ -76,6 +76,13 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    packed = bestfit.best_fit(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
@@ -94,6 +101,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_best_fit": op11_best_fit,
     "op12_merkle_manifest": op12_merkle_manifest,
 }
 
