@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bestfit, html_text, lines, media, merkle, mixing, neardup, packing, quality, substrings, suffixes, url_filter
+from . import align, bestfit, html_text, lines, media, merkle, mixing, neardup, packing, quality, substrings, suffixes, url_filter
 
 #: Fixed values of the URL query: (verdict, host, path).
 URL_RULES = [
@@ -90,6 +90,13 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.merkle_manifest(table(spark, sf_dir, "documents"), found={"text": text})
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align.align_tokenizers(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_media_columns": op1_media_columns,
     "op2_packing": op2_packing,
@@ -103,6 +110,7 @@ QUERIES = {
     "op10_near_duplicates": op10_near_duplicates,
     "op11_best_fit": op11_best_fit,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 _AFTER = "substr(url, position('://' in url) + 3)"
