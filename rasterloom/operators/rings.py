@@ -17,22 +17,39 @@ POLYGONS = "array<array<array<struct<x:double,y:double>>>>"
 _TYPE = pa.list_(pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))
 
 
-def following(edges: Sequence[tuple[Point, Point]]) -> list[int | None]:
-    """For each edge the one that goes on around the same part of the region: the first way out clockwise from the way back."""
+def following(ways: Sequence[Sequence[Point]]) -> list[int | None]:
+    """For each way (an edge, or a chain of edges) the one that goes on around the same part of the region: the first way out clockwise from the way back."""
     out = defaultdict(list)
-    for i, (p, q) in enumerate(edges):
-        out[p].append((math.atan2(q[1] - p[1], q[0] - p[0]), i))
+    for i, w in enumerate(ways):
+        out[w[0]].append((math.atan2(w[1][1] - w[0][1], w[1][0] - w[0][0]), i))
     found: list[int | None] = []
-    for p, q in edges:
-        ways = out.get(q, ())
-        if len(ways) < 2:
-            found.append(ways[0][1] if ways else None)
+    for w in ways:
+        on = out.get(w[-1], ())
+        if len(on) < 2:
+            found.append(on[0][1] if on else None)
             continue
-        back = math.atan2(p[1] - q[1], p[0] - q[0])
-        found.append(min(ways, key=lambda w: ((back - w[0]) % (2 * math.pi) or 2 * math.pi, w[1]))[1])
+        back = math.atan2(w[-2][1] - w[-1][1], w[-2][0] - w[-1][0])
+        found.append(min(on, key=lambda o: ((back - o[0]) % (2 * math.pi) or 2 * math.pi, o[1]))[1])
     return found
 
 
+def walks(ways: Sequence[Sequence[Point]]) -> tuple[list[list[int]], list[list[int]]]:
+    """Numbers of the ways of each closed walk, and of each open one."""
+    nxt = following(ways)
+    led = {x for x in nxt if x is not None}
+    closed, open_, seen = [], [], set()
+    for start in [*(i for i in range(len(ways)) if i not in led), *range(len(ways))]:
+        if start in seen:
+            continue
+        walk, i = [], start
+        while i is not None and i not in seen:
+            seen.add(i)
+            walk.append(i)
+            i = nxt[i]
+        (closed if i == start else open_).append(walk)
+    return closed, open_
+
+
 def simple(points: list[Point]) -> list[list[Point]]:
     """Rings without a point twice that a closed walk is made of."""
     done, walk, at = [], [], {}
@@ -66,26 +83,6 @@ def area(ring: list[Point]) -> float:
     return float((xy[:, 0] * nxt[:, 1] - nxt[:, 0] * xy[:, 1]).sum()) / 2
 
 
-def walks(edges: Sequence[tuple[Point, Point]]) -> tuple[list[list[Point]], list[list[Point]]]:
-    """Closed walks, and open ones with both ends, in the order of their first edge."""
-    nxt = following(edges)
-    led = set(x for x in nxt if x is not None)
-    closed, open_, seen = [], [], set()
-    for start in [*(i for i in range(len(edges)) if i not in led), *range(len(edges))]:
-        if start in seen:
-            continue
-        points, i = [], start
-        while i is not None and i not in seen:
-            seen.add(i)
-            points.append(edges[i][0])
-            last, i = i, nxt[i]
-        if i == start:
-            closed.append(points)
-        else:
-            open_.append([*points, edges[last][1]])
-    return closed, open_
-
-
 def holds(ring: list[Point], p: Point) -> bool:
     """Whether a point lies inside a ring; false on its border is not promised."""
     xy = np.array(ring)
@@ -121,8 +118,18 @@ def polygons(rings: Sequence[list[Point]], least: float = 0.0) -> list[list[list
 
 
 def from_edges(edges: Sequence[tuple[Point, Point]], least: float = 0.0) -> list[list[list[Point]]]:
-    closed, _ = walks(sorted(edges))
-    return polygons([r for walk in closed for r in simple(walk)], least)
+    edges = sorted(edges)
+    closed, _ = walks(edges)
+    return polygons([r for walk in closed for r in simple([edges[i][0] for i in walk])], least)
+
+
+def edge_list(table: pa.Table) -> list[tuple[Point, Point]]:
+    x1, y1, x2, y2 = (table[c].to_pylist() for c in ("x1", "y1", "x2", "y2"))
+    return sorted(zip(zip(x1, y1, strict=True), zip(x2, y2, strict=True), strict=True))
+
+
+def as_value(found: Sequence[Sequence[Sequence[Point]]]) -> pa.Array:
+    return pa.array([[[[{"x": x, "y": y} for x, y in ring] for ring in polygon] for polygon in found]], _TYPE)
 
 
 def with_polygons(rows: DataFrame, edges: DataFrame, on: Sequence[str], out: str = "polygons") -> DataFrame:
@@ -130,10 +137,7 @@ def with_polygons(rows: DataFrame, edges: DataFrame, on: Sequence[str], out: str
     kinds = dict(edges.dtypes)
 
     def trace(table: pa.Table) -> pa.Table:
-        x1, y1, x2, y2 = (table[c].to_pylist() for c in ("x1", "y1", "x2", "y2"))
-        found = from_edges(list(zip(zip(x1, y1, strict=True), zip(x2, y2, strict=True), strict=True)))
-        value = [[[{"x": x, "y": y} for x, y in ring] for ring in polygon] for polygon in found]
-        return pa.table({**{k: table[k][:1] for k in on}, out: pa.array([value], _TYPE)})
+        return pa.table({**{k: table[k][:1] for k in on}, out: as_value(from_edges(edge_list(table)))})
 
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in on) + f", {out} {POLYGONS}"
     traced = edges.groupBy(*on).applyInArrow(trace, schema)

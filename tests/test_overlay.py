@@ -7,7 +7,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from rasterloom.operators import overlay, rings
+from rasterloom.operators import overlay, rings, unions
 
 POLY = "array<array<struct<x:double,y:double>>>"
 
@@ -127,3 +127,49 @@ def test_touching_boxes_make_one_ring(spark):
     got = {r["i"]: r["polygons"] for r in overlay.overlay(df, ["i"], F.col("a"), F.col("b"), "union").collect()}
     assert [[(p["x"], p["y"]) for p in ring] for ring in got[1][0]] == [[(0, 0), (8, 0), (8, 4), (0, 4)]]
     assert [[(p["x"], p["y"]) for p in ring] for ring in got[2][0]] == [[(0, 0), (4, 0), (4, 4), (0, 4)]]
+
+
+# unions of many ------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    """Groups of valid polygons: overlapping boxes and frames across tiles, copies, a comb of touching boxes, nested frames, one alone."""
+    rng, rows = random.Random(4), []
+    for _ in range(60):
+        x, y, w, h = (rng.randint(0, 60), rng.randint(0, 60), rng.randint(3, 20), rng.randint(3, 20))
+        rows.append(("boxes", [box(x, y, x + w, y + h)]))
+    rows += [("frames", frame(rng.randint(-30, 30), rng.randint(-30, 30), rng.choice([4, 8, 16, 40]))) for _ in range(25)]
+    rows += [("copies", frame(0, 0, 32))] * 20
+    rows += [("comb", [box(4 * i, 0, 4 * i + 4, 16)]) for i in range(10)]
+    rows += [("nested", [box(-k, -k, k, k), box(1 - k, 1 - k, k - 1, k - 1)]) for k in range(3, 30, 3)]
+    rows += [("alone", star(random.Random(2), 8, 8, 12, 9)), ("alone", None), ("alone", [])]
+    rows = [(g, None if p is None else [[(float(x), float(y)) for x, y in r] for r in p]) for g, p in rows]
+    return rows, spark.createDataFrame(rows, f"g string, poly {POLY}").repartition(3)
+
+
+def union_by_slabs(shapes):
+    return slab_area(shapes, any)
+
+
+@pytest.mark.parametrize("tile, fan", [(16.0, 4), (256.0, 32)])
+def test_unions_of_many(many, tile, fan):
+    rows, df = many
+    got = {r["g"]: r["area"] for r in unions.union_areas(df, ["g"], F.col("poly"), tile, fan).collect()}
+    groups = {g: [p for h, p in rows if h == g and p] for g, _ in rows}
+    assert set(got) == set(groups)
+    for g, shapes in groups.items():
+        assert got[g] == pytest.approx(union_by_slabs(shapes), abs=1e-6), g
+
+
+def test_rings_of_unions_are_stitched_over_tiles(many):
+    rows, df = many
+    found = {r["g"]: [[[(p["x"], p["y"]) for p in ring] for ring in poly] for poly in r["polygons"]] for r in unions.unary_union(df, ["g"], F.col("poly"), 16.0, 4).collect()}
+    assert found["comb"] == [[[(0, 0), (40, 0), (40, 16), (0, 16)]]]
+    assert found["copies"] == [[[(x, y) for x, y in r] for r in ([(0, 0), (32, 0), (32, 32), (16, 16), (0, 32)], [(4, 4), (4, 8), (8, 8), (8, 4)])]]
+    assert len(found["nested"]) == 9 and all(len(p) == 2 for p in found["nested"])
+    for g, polys in found.items():
+        shapes = [p for h, p in rows if h == g and p]
+        assert all(rings.area(p[0]) > 0 and all(rings.area(h) < 0 for h in p[1:]) for p in polys)
+        flat = [ring for p in polys for ring in p]
+        assert slab_area([*shapes, flat], lambda s: s[-1] != any(s[:-1])) == pytest.approx(0, abs=1e-5)
