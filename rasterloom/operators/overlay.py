@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import polygon as G
 from . import rings as R
+from .durable import durable
 
 #: Step of the coordinate grid, a power of two, exact for coordinates below 2**22.
 GRID = 2.0 ** -30
@@ -105,11 +106,14 @@ def cross(ax, ay, bx, by, px, py) -> Column:
     return (bx - ax) * (py - ay) - (by - ay) * (px - ax)
 
 
-def meetings(edges: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Pairs of edges ``e_*``, ``f_*`` of a key that pass a common cell and whose boxes meet, in both orders; an edge meets itself."""
-    dealt = measured(edges, on).withColumn("_cell", F.explode(passed_cells())).select(*on, "_cell", *ENDS, "d0", "d1")
-    e = dealt.select(*on, "_cell", *[F.col(c).alias(f"e_{c}") for c in [*ENDS, "d0", "d1"]])
-    f = dealt.select(*on, "_cell", *[F.col(c).alias(f"f_{c}") for c in ENDS])
+def meetings(edges: DataFrame, on: Sequence[str], carried: Sequence[str] = ("d0", "d1")) -> DataFrame:
+    """Pairs of edges ``e_*``, ``f_*`` of a key that pass a common cell and whose boxes meet, in both orders; an edge meets itself.
+
+    A pair that shares several cells is there as often; ``carried`` columns go along.
+    """
+    dealt = measured(edges, on).withColumn("_cell", F.explode(passed_cells())).select(*on, "_cell", *ENDS, *carried)
+    e = dealt.select(*on, "_cell", *[F.col(c).alias(f"e_{c}") for c in [*ENDS, *carried]])
+    f = dealt.select(*on, "_cell", *[F.col(c).alias(f"f_{c}") for c in [*ENDS, *carried]])
     c = F.col
     boxes = (
         (F.greatest(F.least(c("e_lx"), c("e_hx")), F.least(c("f_lx"), c("f_hx"))) <= F.least(F.greatest(c("e_lx"), c("e_hx")), F.greatest(c("f_lx"), c("f_hx"))) + GRID)
@@ -148,8 +152,11 @@ def along(x: Column, y: Column) -> Column:
 
 
 def arrange(edges: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Canonical edges split wherever they meet, so that two of a key share ends at most."""
-    met = meetings(edges, on)
+    """Canonical edges split wherever they meet, so that two of a key share ends at most.
+
+    The edges are written first, as they are read on both sides of the join and for its grid.
+    """
+    met = meetings(durable(edges), on)
     lo, hi, _, _ = sides()
     proper, where = crossing()
     # an end of f on e; the ends of e itself are no cuts
@@ -176,11 +183,12 @@ def covered(parts: DataFrame, on: Sequence[str]) -> DataFrame:
 
     A ray to the right, bent down by less than any distance, starts at a part's middle;
     the passes of the parts that it meets add up to the winding where it starts.  Parts
-    meet in bands of y about twice as high as the key's parts are on average.
+    meet in bands of y about twice as high as the key's parts are on average.  The parts are
+    written first, as the join reads them twice.
     """
     height = F.greatest(2 * F.col("_h"), (F.col("_y1") - F.col("_y0")) / F.col("_n"), F.lit(GRID))
     band = lambda y: F.floor((y - F.col("_y0")) / height)
-    known = measured(parts, on)
+    known = measured(durable(parts), on)
     mid = (F.col("ly") + F.col("hy")) / 2
     e = known.select(*on, band(mid).alias("_band"), *[F.col(c).alias(f"e_{c}") for c in [*ENDS, "d0", "d1"]])
     f = known.withColumn("_band", F.explode(F.sequence(band(F.col("ly")), band(F.col("hy"))))).select(*on, "_band", *[F.col(c).alias(f"f_{c}") for c in [*ENDS, "d0", "d1"]])
@@ -196,6 +204,11 @@ def covered(parts: DataFrame, on: Sequence[str]) -> DataFrame:
         *on, *[F.col(f"e_{c}").alias(c) for c in [*ENDS, "d0", "d1"]], "r0", "r1", (F.col("r0") + F.col("e_d0")).alias("l0"), (F.col("r1") + F.col("e_d1")).alias("l1"))
 
 
+def edge_areas(edges: DataFrame, on: Sequence[str], out: str = "area") -> DataFrame:
+    """Area of the region on the left of each key's directed edges."""
+    return edges.groupBy(*on).agg((F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")) / 2).alias(out))
+
+
 def border(known: DataFrame, on: Sequence[str], inside) -> DataFrame:
     """Directed edges ``(x1, y1, x2, y2)`` of the region where ``inside(winding 0, winding 1)`` holds, the region on their left."""
     left, right = inside(F.col("l0"), F.col("l1")), inside(F.col("r0"), F.col("r1"))

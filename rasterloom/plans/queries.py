@@ -568,3 +568,5 @@ for _name in ("heatmap_rasterize", "draw_boxes", "polygon_fill"):
 @query("checkerboard", "select cast(i//24 as bigint) as y, cast(i%24 as bigint) as x, cast((i//24//4 + i%24//4) % 2 as double) as v from unnest(range(384)) r(i)")
 def checkerboard(spark, sf_dir):
     return raster.checkerboard(spark, 24, 16, 4).select(F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), "v")
+
+from . import overlay_queries  # noqa: E402, F401 - adds its queries

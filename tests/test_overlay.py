@@ -7,7 +7,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from rasterloom.operators import overlay, rings, unions
+from rasterloom.operators import buffers, overlay, rings, unions, validity
 
 POLY = "array<array<struct<x:double,y:double>>>"
 
@@ -173,3 +173,89 @@ def test_rings_of_unions_are_stitched_over_tiles(many):
         assert all(rings.area(p[0]) > 0 and all(rings.area(h) < 0 for h in p[1:]) for p in polys)
         flat = [ring for p in polys for ring in p]
         assert slab_area([*shapes, flat], lambda s: s[-1] != any(s[:-1])) == pytest.approx(0, abs=1e-5)
+
+
+# validity, repair, buffers ------------------------------------------------------------
+
+#: (polygon, explanation)
+FAULTS = [
+    ([box(0, 0, 4, 4)], None),
+    ([box(0, 0, 4, 4)[::-1], box(1, 1, 2, 2)], None),
+    ([[(0, 0), (4, 4), (4, 0), (0, 4)]], "Self-intersection[2 2]"),
+    ([[(0, 0), (4, 0), (4, 4), (2, 4), (2, 6), (2, 4), (0, 4)]], "Self-intersection[2 4]"),
+    ([[(0, 0), (4, 0), (4, 4), (2, 0), (0, 4)]], "Ring Self-intersection[2 0]"),
+    ([[(0, 0), (2, 2), (4, 0), (4, 4), (2, 2), (0, 4)]], "Ring Self-intersection[2 2]"),
+    ([box(0, 0, 4, 4), box(6, 6, 8, 8)], "Hole lies outside shell[6 7]"),
+    ([box(0, 0, 9, 9), box(1, 1, 8, 8), box(2, 2, 3, 3)], "Holes are nested[2 2.5]"),
+    ([box(0, 0, 4, 4), box(2, 2, 6, 3)], "Self-intersection[4 2]"),
+    ([box(0, 0, 8, 8), box(0, 2, 2, 4)], "Self-intersection[0 2]"),
+    ([box(0, 0, 8, 8), [(0, 4), (4, 3), (4, 5)]], None),
+    ([box(0, 0, 8, 8), [(0, 4), (4, 2), (8, 4), (4, 6)]], "Interior is disconnected[0 4]"),
+    ([[(0, 0), (1, 1), (0, 0)]], "Too few points in geometry component[0 0]"),
+    ([[(0, 0), (0, 0), (4, 0), (4, 4), (4, 4), (0, 4)]], None),
+    ([[(0, 0), (math.inf, 0), (4, 4)]], "Invalid Coordinate"),
+    ([], None),
+    (None, None),
+]
+
+
+def as_rows(shapes):
+    return [(i, None if p is None else [[(float(x), float(y)) for x, y in r] for r in p]) for i, p in enumerate(shapes)]
+
+
+def test_faults_are_named(spark):
+    df = spark.createDataFrame(as_rows([p for p, _ in FAULTS]), f"i int, poly {POLY}")
+    got = {r["i"]: r for r in validity.explain_validity(df, ["i"], F.col("poly")).collect()}
+    assert len(got) == len(FAULTS)
+    for i, (_, want) in enumerate(FAULTS):
+        assert got[i]["explanation"] == want and got[i]["is_invalid"] == (want is not None), i
+
+
+def test_repaired_polygons_are_valid_and_cover_the_same(spark):
+    rng = random.Random(8)
+    shapes = [p for p, w in FAULTS if p and w != "Invalid Coordinate"] + [[[(rng.randint(0, 12), rng.randint(0, 12)) for _ in range(rng.randint(4, 12))]] for _ in range(20)]
+    df = spark.createDataFrame(as_rows(shapes), f"i int, poly {POLY}")
+    fixed = validity.fix(df, ["i"], F.col("poly")).cache()
+    found = {r["i"]: [[[(p["x"], p["y"]) for p in ring] for ring in poly] for poly in r["polygons"]] for r in fixed.collect()}
+    for i, p in enumerate(shapes):
+        flat = [ring for poly in found[i] for ring in poly]
+        assert slab_area([p, flat], lambda s: s[0] != s[1]) == pytest.approx(0, abs=1e-6), i
+    again = fixed.select("i", F.posexplode("polygons").alias("k", "poly"))
+    assert again.count() and not [r for r in validity.explain_validity(again, ["i", "k"], F.col("poly")).collect() if r["is_invalid"]]
+
+
+def outline(poly):
+    """Length of all rings."""
+    return sum(math.dist(p, q) for p, q in edges_of(poly))
+
+
+def test_buffers(spark):
+    shapes = [[box(0, 0, 8, 8)], frame(0, 0, 16), [[(0, 0), (9, 0), (9, 9), (5, 1), (0, 9)]], [box(0, 0, 20, 20)[::-1], box(5, 5, 15, 15)], [], None]
+    df = spark.createDataFrame(as_rows(shapes), f"i int, poly {POLY}")
+    area = lambda *a: {r["i"]: r["area"] for r in buffers.buffer_areas(df, ["i"], F.col("poly"), *a).collect()}
+    for style, corner in (("mitre", 4.0), ("bevel", 2.0), ("round", 16 * 2 * math.sin(math.pi / 32))):
+        got = area(1.0, style)
+        assert got[0] == pytest.approx(64 + 32 + corner, abs=1e-6)
+        # the inner ring's corners are inside corners, whose strips overlap
+        assert got[3] == pytest.approx(300 + 80 + 40 + corner - 4, abs=1e-6)
+    assert area(-1.0)[0] == pytest.approx(36, abs=1e-6) and area(-4.5)[0] == 0
+    assert area(-1.0, "mitre")[3] == pytest.approx(18 * 18 - 12 * 12, abs=1e-6) and area(6.0, "mitre")[3] == pytest.approx(32 * 32, abs=1e-6)
+    assert area(0.0) == pytest.approx({i: slab_area([p], lambda s: s[0]) if p else 0 for i, p in enumerate(shapes)}, abs=1e-6)
+    assert area(2.0)[4] == area(2.0)[5] == 0
+    # within the bound of the true round buffer, by points on a grid
+    distance, step, poly = 1.5, 0.125, shapes[2]
+    inside = near = 0
+    for i in range(-24, 100):
+        for j in range(-24, 100):
+            x, y = i * step + 0.03, j * step + 0.02
+            if rings.holds([(float(a), float(b)) for a, b in poly[0]], (x, y)):
+                inside += 1
+            else:
+                for (ax, ay), (bx, by) in edges_of(poly):
+                    t = max(0, min(1, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / ((bx - ax) ** 2 + (by - ay) ** 2)))
+                    if math.hypot(x - ax - t * (bx - ax), y - ay - t * (by - ay)) <= distance:
+                        near += 1
+                        break
+    assert area(distance)[2] == pytest.approx((inside + near) * step**2, rel=0.01)
+    made = {r["i"]: r["polygons"] for r in buffers.buffer(df, ["i"], F.col("poly"), 1.0, "mitre").collect()}
+    assert [[(p["x"], p["y"]) for p in ring] for ring in made[0][0]] == [[(-1, -1), (9, -1), (9, 9), (-1, 9)]] and len(made[3][0]) == 2 and made[5] == []
