@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,24 +26,40 @@ def at(v: Column, level: Column, size: float) -> Column:
     return F.floor(F.greatest(F.least(v, F.lit(far)), F.lit(-far)) / (F.pow(F.lit(float(STEP)), level) * size))
 
 
-def cells(b: Column, own: Column, top: Column, size: float) -> Column:
-    """Cells that a box touches on its own level and those up to ``top``, as ``array<struct<level,cx,cy>>``; boxes with NaN sides touch none."""
+def cells(b: Column, levels: Column, size: float) -> Column:
+    """Cells that a box touches on each of the levels, as ``array<struct<level,cx,cy>>``; boxes with NaN sides touch none."""
     def on_level(n: Column) -> Column:
         span = lambda lo, hi: F.sequence(at(b[lo], n, size), F.greatest(at(b[lo], n, size), at(b[hi], n, size)))
         return F.flatten(F.transform(span("x1", "x2"), lambda cx: F.transform(
             span("y1", "y2"), lambda cy: F.struct(n.alias("level"), cx.alias("cx"), cy.alias("cy")))))
 
-    grid = F.flatten(F.transform(F.sequence(own, F.greatest(own, F.coalesce(top, own))), on_level))
-    bad = F.isnan(b["x1"]) | F.isnan(b["y1"]) | F.isnan(b["x2"]) | F.isnan(b["y2"])
-    return F.when(~bad, grid).otherwise(F.array().cast("array<struct<level:int,cx:bigint,cy:bigint>>"))
+    return F.when(whole(b), F.flatten(F.transform(levels, on_level))).otherwise(F.array().cast("array<struct<level:int,cx:bigint,cy:bigint>>"))
 
 
-def dealt(df: DataFrame, box: str, other: DataFrame, other_box: str, size: float, own: str) -> DataFrame:
-    """``df`` once for each cell that its box touches, on its level ``own`` and on coarser ones as far as ``other`` has boxes."""
-    b, o = F.col(box), F.col(other_box)
-    whole = reduce(Column.__and__, [~F.isnan(o[s]) for s in ("x1", "y1", "x2", "y2")])
-    top = other.where(whole).agg(F.max(level(o, size))).scalar()
-    return df.withColumns({own: level(b, size), "_top": top}).withColumn("cell", F.explode(cells(b, F.col(own), F.col("_top"), size))).drop("_top")
+def whole(b: Column) -> Column:
+    return ~(F.isnan(b["x1"]) | F.isnan(b["y1"]) | F.isnan(b["x2"]) | F.isnan(b["y2"]))
+
+
+def levels_of(df: DataFrame, box: str, size: float) -> list[int]:
+    """Levels that a table's boxes have, at most ``TOP + 1``."""
+    found = df.where(whole(F.col(box))).select(level(F.col(box), size).alias("n")).distinct().collect()
+    return sorted(r["n"] for r in found if r["n"] is not None)
+
+
+def dealt(df: DataFrame, box: str, others: list[int], size: float, role: int) -> DataFrame:
+    """``df`` once for each cell that its box touches, as the larger box of a pair on its own level, and as the smaller on the levels of ``others``.
+
+    ``_role`` says which side has the larger box, 0 or 1; of boxes of one level it is side
+    0.  So boxes meet on a level only with those whose own level it is.
+    """
+    b, own = F.col(box), level(F.col(box), size)
+    known = F.array(*[F.lit(n) for n in others]).cast("array<int>")
+    larger = F.filter(F.array(own), lambda n: F.exists(known, lambda m: m < n if role else m <= n))
+    smaller = F.filter(known, lambda m: m >= own if role else m > own)
+    ways = F.concat(
+        F.transform(cells(b, larger, size), lambda c: F.struct(F.lit(role).alias("role"), c.alias("cell"))),
+        F.transform(cells(b, smaller, size), lambda c: F.struct(F.lit(1 - role).alias("role"), c.alias("cell"))))
+    return df.withColumn("_way", F.explode(ways)).select(*df.columns, F.col("_way.role").alias("_role"), F.col("_way.cell").alias("cell"))
 
 
 def overlapping_pairs(left: DataFrame, right: DataFrame, on: list[str], size: float = 64.0, left_box: str = "box", right_box: str = "box") -> DataFrame:
@@ -52,18 +67,23 @@ def overlapping_pairs(left: DataFrame, right: DataFrame, on: list[str], size: fl
 
     Both sides are dealt over nested grids, the finest with cells of ``size``: a box of any
     size touches a few cells of its own level, and a pair meets on the level of its larger
-    box.  A pair that shares several cells is kept only in the cell that holds the top left
-    of its intersection, so no distinct is needed.  The join is an equi-join on ``on`` and
-    the cell, which adaptive execution can split where it is skewed.
+    box, which is that box's own: small boxes that share a large cell don't meet there.  A
+    pair that shares several cells is kept only in the cell that holds the top left of its
+    intersection, so no distinct is needed.  The join is an equi-join on ``on``, the side of
+    the larger box and the cell, which adaptive execution can split where it is skewed.
+
+    The levels that occur, at most ``TOP + 1`` numbers a side, are read first.
     """
+    right_levels = levels_of(right, right_box, size)
+    left_levels = right_levels if left is right and left_box == right_box else levels_of(left, left_box, size)
     l = left.select(*on, *[F.col(c).alias(f"l_{c}") for c in left.columns if c not in on])
     r = right.select(*on, *[F.col(c).alias(f"r_{c}") for c in right.columns if c not in on])
     a, b = F.col(f"l_{left_box}"), F.col(f"r_{right_box}")
-    joined = dealt(l, f"l_{left_box}", right, right_box, size, "_l").join(dealt(r, f"r_{right_box}", left, left_box, size, "_r"), [*on, "cell"])
+    joined = dealt(l, f"l_{left_box}", right_levels, size, 0).join(dealt(r, f"r_{right_box}", left_levels, size, 1), [*on, "_role", "cell"])
     n = F.col("cell.level")
     first = (F.col("cell.cx") == at(F.greatest(a["x1"], b["x1"]), n, size)) & (F.col("cell.cy") == at(F.greatest(a["y1"], b["y1"]), n, size))
     meets = (F.greatest(a["x1"], b["x1"]) <= F.least(a["x2"], b["x2"])) & (F.greatest(a["y1"], b["y1"]) <= F.least(a["y2"], b["y2"]))
-    return joined.where(meets & (n == F.greatest("_l", "_r")) & first).drop("cell", "_l", "_r")
+    return joined.where(meets & first).drop("cell", "_role")
 
 
 def ious(left: DataFrame, right: DataFrame, on: list[str], bias: float = 0.0, size: float = 64.0) -> DataFrame:
@@ -88,7 +108,7 @@ def all_ious(left: DataFrame, right: DataFrame, on: list[str], bias: float = 0.0
 def points_in_boxes(points: DataFrame, boxes: DataFrame, on: list[str], x: str = "x", y: str = "y", size: float = 64.0) -> DataFrame:
     """Pairs of a point and a box that holds it, borders included."""
     own = boxes.withColumn("_level", level(F.col("box"), size))
-    b = own.withColumn("cell", F.explode(cells(F.col("box"), F.col("_level"), F.col("_level"), size))).drop("_level")
+    b = own.withColumn("cell", F.explode(cells(F.col("box"), F.array("_level"), size))).drop("_level")
     # a point is looked up on every level that has boxes, at most TOP + 1
     levels = own.agg(F.collect_set("_level")).scalar()
     p = points.withColumn("_levels", levels).withColumn("_level", F.explode("_levels"))

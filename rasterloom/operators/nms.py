@@ -53,8 +53,9 @@ def non_max_suppression(
     elif impl == "native":
         kept = _native_nms(groups, keys, thresh, bias)
     else:
-        small, large = (groups.where(c) for c in (F.size("b") <= MAX_NATIVE_GROUP, F.size("b") > MAX_NATIVE_GROUP))
-        kept = _native_nms(small, keys, thresh, bias).unionByName(_numpy_nms(large, keys, thresh, bias))
+        small = F.size("b") <= MAX_NATIVE_GROUP
+        folded = groups.select(*keys, F.when(small, _greedy(F.col("b"), thresh, bias)).alias("folded"), F.when(~small, F.col("b")).alias("b"))
+        kept = _numpy_nms(folded, keys, thresh, bias, "folded")
     return kept.select(*keys, F.col("e._id").alias(id_col), "rank")
 
 
@@ -91,25 +92,37 @@ def nms_indices(ltrb: np.ndarray, thresh: float, bias: float) -> list[int]:
     return kept
 
 
-def _numpy_nms(groups: DataFrame, keys: list[str], thresh: float, bias: float) -> DataFrame:
-    """Kept entries ``e`` of each group with their ``rank``."""
+def _entries(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Where each list ends among the entries of all, and these, with fields that may be null, so that batches have one schema."""
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat = lists.flatten()
+    names = [f.name for f in flat.type]
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), pa.StructArray.from_arrays([flat.field(n) for n in names], names=names)
+
+
+def _numpy_nms(groups: DataFrame, keys: list[str], thresh: float, bias: float, done: str | None = None) -> DataFrame:
+    """Kept entries ``e`` of each group with their ``rank``; groups whose ``done`` is not null have their kept entries there."""
     kinds = dict(groups.dtypes)
 
+    def rows(batch: pa.RecordBatch, entries: pa.Array, kept: list[np.ndarray]) -> pa.RecordBatch:
+        n = [len(k) for k in kept]
+        owner = pa.array(np.repeat(np.arange(len(kept)), n))
+        at = pa.array(np.concatenate([*kept, []]).astype(np.int64))
+        rank = pa.array(np.concatenate([*map(np.arange, n), []]).astype(np.int32))
+        return pa.RecordBatch.from_arrays([*[batch.column(k).take(owner) for k in keys], entries.take(at), rank], names=[*keys, "e", "rank"])
+
     def run(batches):
         for batch in batches:
-            lists = batch.column(batch.num_columns - 1)
-            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-            entries = lists.flatten()
+            ends, entries = _entries(batch.column("b"))
             ltrb = np.stack([entries.field(s).to_numpy(zero_copy_only=False) for s in ("x1", "y1", "x2", "y2")], axis=1)
-            kept = [nms_indices(ltrb[lo:hi], thresh, bias) for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
-            n = [len(k) for k in kept]
-            owner = pa.array(np.repeat(np.arange(len(kept)), n))
-            at = pa.array(np.concatenate([np.add(k, lo) for k, lo in zip(kept, ends[:-1], strict=True)] or [[]]).astype(np.int64))
-            rank = pa.array(np.concatenate([np.arange(x) for x in n] or [[]]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(owner) for i in range(len(keys))], entries.take(at), rank], names=[*keys, "e", "rank"])
+            yield rows(batch, entries, [np.add(nms_indices(ltrb[lo:hi], thresh, bias), lo) for lo, hi in zip(ends[:-1], ends[1:], strict=True)])
+            if done:
+                ends, entries = _entries(batch.column(done))
+                yield rows(batch, entries, [np.arange(lo, hi) for lo, hi in zip(ends[:-1], ends[1:], strict=True)])
 
     entry = kinds["b"].removeprefix("array<").removesuffix(">")
-    return groups.select(*keys, "b").mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"e {entry}", "rank int"]))
+    kept = [*keys, "b", *([done] if done else [])]
+    return groups.select(*kept).mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"e {entry}", "rank int"]))
 
 
 def fast_nms(dets: DataFrame, by: Sequence[str], thresh: float = 0.5, id_col: str = "det_id", score_col: str = "score", class_col: str | None = None, size: float = 64.0) -> DataFrame:

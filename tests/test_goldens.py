@@ -228,6 +228,15 @@ def test_boxes_of_any_size_meet_without_many_cells(spark):
     assert sorted(map(tuple, got)) == sorted((p[1], q[1]) for p in a for q in b if meet(p, q))
     assert joins.overlapping_pairs(frame(a).where("false"), frame(b), ["image_id"]).count() == 0
 
+    # one giant box meets all small ones, which do not meet each other on its level
+    small = [(0, i, float(x), float(y), float(x) + 20, float(y) + 20) for i, (x, y) in enumerate(rng.integers(0, 100_000, (3_000, 2)))]
+    mixed = frame([*small, (0, 9_999, 0.0, 0.0, 5e7, 5e7)])
+    levels = joins.levels_of(mixed, "box", 64.0)
+    assert len(levels) == 2
+    left, right = (joins.dealt(mixed, "box", levels, 64.0, role).groupBy("_role", "cell").count() for role in (0, 1))
+    met = left.join(right.withColumnRenamed("count", "other"), ["_role", "cell"]).agg(F.sum(F.col("count") * F.col("other"))).first()[0]
+    assert met < 20 * len(small)
+
     at = [(i % 2, i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-2000, 2000, (60, 2)))]
     points = spark.createDataFrame(at, "image_id int, pid int, x double, y double")
     got = joins.points_in_boxes(points, frame(b), ["image_id"]).select("pid", "id").collect()
