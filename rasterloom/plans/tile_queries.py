@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 
-from ..operators import tiles
+from pyspark.sql import functions as F
+
+from ..functions import polygon as G
+from ..operators import contours, runlength, tiles
 from . import fixtures
 from .queries import ID, PIXELS, q6, query, r6
 
@@ -54,3 +57,16 @@ for _kind in ("nearest", "linear", "cubic", "lanczos"):
 for _border in ("replicate", "reflect", "reflect101", "wrap"):
     _add(f"warp_tiled_{_border}", MATRIX, 11, 10, "linear", _border)
 _add("warp_tiled_projective", TILTED, 10, 10, "linear", "constant")
+
+
+_SIDES = f"""with {PIXELS}, o as (select vec_id, y, x from pixels_v where b=1), d as (select * from (values (0,1),(1,0),(0,-1),(-1,0)) t(dy,dx)),
+ s as (select o.vec_id, count(*) filter (where n.vec_id is null) as sides from o cross join d left join o n on n.vec_id=o.vec_id and n.y=o.y+dy and n.x=o.x+dx group by 1)
+ select o.vec_id, {q6("count(*)", "area")}, {q6("any_value(sides)", "outline")} from o join s using (vec_id) group by 1"""
+
+
+@query("mask_contours", _SIDES)
+def mask_contours(spark, sf_dir):
+    pixels = fixtures.pixels(spark, sf_dir).select("vec_id", "y", "x", F.col("b").alias("v"))
+    rings = contours.mask_rings(runlength.encode_masks(pixels, ID), ID, tile=5.0)
+    length = F.aggregate(G.edges(F.col("points")), F.lit(0.0), lambda acc, e: acc + F.hypot(e["q"]["x"] - e["p"]["x"], e["q"]["y"] - e["p"]["y"]))
+    return rings.groupBy("vec_id").agg(r6(F.sum("area"), "area"), r6(F.sum(length), "outline"))

@@ -1,14 +1,13 @@
-"""Tiled warps held against whole images, contours of masks against their pixels, fractions against the standard library."""
+"""Tiled warps held against whole images, and contours of masks against their pixels."""
 
 import math
 import random
-from fractions import Fraction
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rasterloom.operators import packed, tiles
+from rasterloom.operators import contours, packed, runlength, tiles
 
 SCHEMA = "image string, y int, x int, v double, extra int"
 
@@ -57,3 +56,22 @@ def test_no_size_and_no_images(spark):
     assert tiles.warp(source.where("false"), ["image"], np.eye(3), 5, 5, 4).count() == 0
     with pytest.raises(ValueError):
         tiles.warp(source, ["image"], np.eye(3), 5, 5, 4, border="mirror")
+
+
+@pytest.mark.parametrize("order, tile", [("F", 4.0), ("C", 256.0)])
+def test_masks_to_polygons_and_back(spark, order, tile):
+    rng = random.Random(3)
+    shapes = {f"m{i}": np.array([[float(rng.random() < p) for _ in range(w)] for _ in range(h)]) for i, (h, w, p) in enumerate([(9, 7, 0.5), (6, 13, 0.8), (5, 5, 1.0), (4, 6, 0.0), (1, 1, 1.0), (11, 11, 0.3)])}
+    ring = np.ones((7, 7))
+    ring[2:5, 2:5] = 0
+    ring[3, 3] = 1
+    shapes["nested"] = ring
+    masks = runlength.encode_masks(frame(spark, shapes), ["image"], order)
+    made = contours.mask_polygons(masks, ["image"], tile=tile).cache()
+    back = {k: np.zeros(a.shape) for k, a in shapes.items()}
+    for r in contours.polygon_runs(made, ["image"], 11, 13, F.col("polygons")).collect():
+        back[r["image"]][r["y"], r["start"]:r["stop"]] = 1
+    assert all((back[k] == a).all() for k, a in shapes.items())
+    found = {r["image"]: r["polygons"] for r in made.collect()}
+    assert "m3" not in found and sorted(len(p) for p in found["nested"]) == [1, 2]
+    assert [(p["x"], p["y"]) for p in found["m2"][0][0]] == [(0, 0), (5, 0), (5, 5), (0, 5)]
