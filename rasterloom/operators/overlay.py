@@ -98,7 +98,9 @@ def passed_cells() -> Column:
         hi = F.when(level, F.col("hy")).otherwise(F.least(F.col("hy"), F.greatest(at(a), at(b)) + 2 * GRID))
         return F.transform(F.sequence(cell(lo, "_y0"), F.greatest(cell(lo, "_y0"), cell(hi, "_y0"))), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))
 
-    return F.flatten(F.transform(F.sequence(cell(left, "_x0"), cell(right, "_x0")), rows))
+    x, y = cell(left, "_x0"), cell(F.col("ly"), "_y0")
+    single = F.array(F.struct(x.alias("cx"), y.alias("cy")))
+    return F.when((x == cell(right, "_x0")) & (y == cell(F.col("hy"), "_y0")), single).otherwise(F.flatten(F.transform(F.sequence(x, cell(right, "_x0")), rows)))
 
 
 def cross(ax, ay, bx, by, px, py) -> Column:
@@ -110,15 +112,16 @@ def meetings(edges: DataFrame, on: Sequence[str], carried: Sequence[str] = ("d0"
     """Pairs of edges ``e_*``, ``f_*`` of a key that pass a common cell and whose boxes meet, in both orders; an edge meets itself.
 
     A pair that shares several cells is there as often; ``carried`` columns go along.
+    What is dealt is written first, as the join reads it twice.
     """
-    dealt = measured(edges, on).withColumn("_cell", F.explode(passed_cells())).select(*on, "_cell", *ENDS, *carried)
-    e = dealt.select(*on, "_cell", *[F.col(c).alias(f"e_{c}") for c in [*ENDS, *carried]])
-    f = dealt.select(*on, "_cell", *[F.col(c).alias(f"f_{c}") for c in [*ENDS, *carried]])
+    dealt = durable(measured(edges, on).select(*on, *ENDS, *carried, F.inline(passed_cells())))
+    e = dealt.select(*on, "cx", "cy", *[F.col(c).alias(f"e_{c}") for c in [*ENDS, *carried]])
+    f = dealt.select(*on, "cx", "cy", *[F.col(c).alias(f"f_{c}") for c in [*ENDS, *carried]])
     c = F.col
     boxes = (
         (F.greatest(F.least(c("e_lx"), c("e_hx")), F.least(c("f_lx"), c("f_hx"))) <= F.least(F.greatest(c("e_lx"), c("e_hx")), F.greatest(c("f_lx"), c("f_hx"))) + GRID)
         & (F.greatest(c("e_ly"), c("f_ly")) <= F.least(c("e_hy"), c("f_hy")) + GRID))
-    return e.join(f, [*on, "_cell"]).where(boxes)
+    return e.join(f, [*on, "cx", "cy"]).where(boxes)
 
 
 def same_edge() -> Column:
@@ -152,22 +155,21 @@ def along(x: Column, y: Column) -> Column:
 
 
 def arrange(edges: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Canonical edges split wherever they meet, so that two of a key share ends at most.
-
-    The edges are written first, as they are read on both sides of the join and for its grid.
-    """
-    met = meetings(durable(edges), on)
+    """Canonical edges split wherever they meet, so that two of a key share ends at most."""
+    met = meetings(edges, on)
     lo, hi, _, _ = sides()
     proper, where = crossing()
     # an end of f on e; the ends of e itself are no cuts
     touch = lambda d, x, y: (F.abs(d) <= GRID) & (along(F.col(x), F.col(y)) > 0) & (along(F.col(x), F.col(y)) < 1)
     point = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
-    cuts = F.array_compact(F.array(
-        F.when(proper, where), F.when(touch(lo, "f_lx", "f_ly"), point("f_lx", "f_ly")), F.when(touch(hi, "f_hx", "f_hy"), point("f_hx", "f_hy"))))
     itself = same_edge()
-    cut = met.withColumn("_cuts", F.when(itself, F.array().cast("array<struct<x:double,y:double>>")).otherwise(cuts)).where(itself | (F.size("_cuts") > 0))
     keys = [f"e_{c}" for c in [*ENDS, "d0", "d1"]]
-    split = cut.groupBy(*on, *keys).agg(F.flatten(F.collect_set("_cuts")).alias("_cuts"))
+    cuts = {
+        "_p1": F.when(proper, where), "_p2": F.when(touch(lo, "f_lx", "f_ly"), point("f_lx", "f_ly")), "_p3": F.when(touch(hi, "f_hx", "f_hy"), point("f_hx", "f_hy"))}
+    cut = met.select(*on, *keys, itself.alias("_self"), *[F.when(~itself, c).alias(n) for n, c in cuts.items()]).where(
+        "_self or _p1 is not null or _p2 is not null or _p3 is not null")
+    sets = cut.groupBy(*on, *keys).agg(*[F.collect_set(n).alias(n) for n in cuts])
+    split = sets.select(*on, *keys, F.array_union(F.array_union("_p1", "_p2"), "_p3").alias("_cuts"))
     ends = F.array(point("e_lx", "e_ly"), point("e_hx", "e_hy"))
     placed = F.array_sort(F.transform(F.array_union(F.col("_cuts"), ends), lambda p: F.struct(along(p["x"], p["y"]).alias("t"), p["x"].alias("x"), p["y"].alias("y"))))
     parts = split.select(*on, "e_d0", "e_d1", placed.alias("_p")).select(

@@ -39,7 +39,7 @@ def _finding(rows: DataFrame, on: Sequence[str], reason: str, x: Column, y: Colu
 
 def _meetings(df: DataFrame, on: Sequence[str], poly: Column) -> DataFrame:
     """Where edges cross, lie on each other, or a ring meets itself."""
-    edges = durable(_ring_edges(df, on, poly))
+    edges = _ring_edges(df, on, poly)
     c = F.col
     pairs = meetings(edges, on, ["ring", "pos", "n"]).where((c("e_ring") < c("f_ring")) | ((c("e_ring") == c("f_ring")) & (c("e_pos") < c("f_pos"))))
     lo, hi, own_lo, own_hi = sides()
