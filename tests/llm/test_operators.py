@@ -367,22 +367,7 @@ def test_estimates_follow_similarity():
 
 
 def test_lines(docs, rows):
-    table = unique(rows)
-    first, parent = {}, {}
-    for i, t in table:
-        for p, x in enumerate(t.split("\n")):
-            if len(WORD.findall(x)) >= lines.MIN_WORDS:
-                first.setdefault(x, (i, p))
-    sets = {x: {m[1] for m in re.finditer(rf"(?s)(?=([^\x20\x09-\x0D].{{0,{lines.SHINGLE_CHARS - 1}}}))[^\x20\x09-\x0D]+", x)} for x in first}
-    parent = {x: x for x in first}
-    for x in sets:
-        for y in sets:
-            both = len(sets[x] & sets[y])
-            if x < y and 100 * both >= 75 * len(sets[x] | sets[y]):
-                parent[find(parent, x)] = find(parent, y)
-    keep = {}
-    for x, at in first.items():
-        keep[find(parent, x)] = min(keep.get(find(parent, x), at), at)
+    gone = brute_lines(unique(rows))
     got = lines.deduplicate_lines(docs.drop("key")).collect()
     assert len(got) == len(rows)
     texts = {r[0]: r[1] for r in rows}
@@ -391,7 +376,7 @@ def test_lines(docs, rows):
             assert r["kept_text"] is None and r["n_lines"] == 0
             continue
         parts = texts[r["doc_id"]].split("\n")
-        left = [x for p, x in enumerate(parts) if not (x in first and keep[find(parent, x)] != (r["doc_id"], p))]
+        left = [x for p, x in enumerate(parts) if (r["doc_id"], p) not in gone]
         assert (r["n_lines"], r["n_removed"], r["kept_text"]) == (len(parts), len(parts) - len(left), "\n".join(left))
 
 
