@@ -3,8 +3,18 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark import SparkContext
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _checkpoints(context: SparkContext) -> str:
+    if not context.getCheckpointDir():
+        if context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="rasterloom-"))
+    return context.getCheckpointDir()
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -13,9 +23,10 @@ def durable(df: DataFrame) -> DataFrame:
     Only where none is named and all runs on one machine, as in tests, is a temporary
     folder made; on a cluster that is an error, as executors would write to their own disks.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        if context.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="rasterloom-"))
+    _checkpoints(df.sparkSession.sparkContext)
     return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, for files that every executor reads and writes."""
+    return f"{_checkpoints(spark.sparkContext)}/{name}-{uuid.uuid4().hex}"
