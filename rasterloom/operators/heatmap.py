@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import box as B
+from ..functions import matrix as M
 from . import raster
 
 
@@ -74,6 +75,38 @@ def warp(pixels: DataFrame, by: Sequence[str], matrix, height: int, width: int)
     return raster.warp_nearest(pixels, by, matrix, height, width)
 
 
+def align(maps: DataFrame, frames: DataFrame, by: Sequence[str], prob: str = "v") -> DataFrame:
+    """``by, y, x, prob`` of heatmaps on grids of their own choice, linear between their pixels and 0 beyond them.
+
+    ``frames`` holds a row a heatmap: ``to_img``, the matrix from its pixels to the image,
+    ``target``, the one from the new grid's pixels to the image (null, for
+    both: the image's own pixels), ``height`` and ``width`` of the new grid.  Heatmaps brought to one grid can be
+    combined.  Those without a frame have no row; missing pixels count as 0; a matrix without
+    an inverse, a null size, or a grid pixel on the horizon gives 0 throughout or there.
+
+    Each new pixel asks for the four around its place, so work follows the new grids and
+    no heatmap is held whole.
+    """
+    back = M.matmul(M.inv(F.col("to_img")), F.col("target"))
+    sized = frames.select(*by, "height", "width", back.alias("_m"))
+    cells = sized.where("height > 0 and width > 0").withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("height").cast("bigint") * F.col("width") - 1)))
+    grid = cells.select(*by, F.floor(F.col("_i") / F.col("width")).cast("int").alias("y"), (F.col("_i") % F.col("width")).cast("int").alias("x"), "_m")
+    u, v, w = (F.col(f"_m.a{i}1") * F.col("x") + F.col(f"_m.a{i}2") * F.col("y") + F.col(f"_m.a{i}3") for i in (1, 2, 3))
+    placed = grid.select(*by, "y", "x", F.try_divide(u, w).alias("_sx"), F.try_divide(v, w).alias("_sy"))
+    taps = F.array(*[F.struct(
+        (F.floor("_sy") + dy).alias("sy"), (F.floor("_sx") + dx).alias("sx"), ((1 - F.abs(F.col("_sy") - F.floor("_sy") - dy)) * (1 - F.abs(F.col("_sx") - F.floor("_sx") - dx))).alias("w"))
+        for dy in (0, 1) for dx in (0, 1)])
+    asked = placed.select(*by, "y", "x", F.inline(taps))
+    held = maps.select(*by, F.col("y").cast("bigint").alias("sy"), F.col("x").cast("bigint").alias("sx"), F.col(prob).cast("double").alias("_p"))
+    summed = F.coalesce(F.sum(F.col("w") * F.col("_p")), F.lit(0.0))
+    return asked.join(held, [*by, "sy", "sx"], "left").groupBy(*by, "y", "x").agg(summed.alias(prob))
+
+
+def upscale(maps: DataFrame, frames: DataFrame, by: Sequence[str], prob: str = "v") -> DataFrame:
+    """Heatmaps on the pixels of their images; ``frames`` as for :func:`align`, without ``target``."""
+    return align(maps, frames.withColumn("target", M.eye()), by, prob)
+
+
 def colorize(pixels: DataFrame, palette: DataFrame, class_col: str = "class_idx") -> DataFrame:
     """Adds ``r, g, b`` by class; classes without a colour, and negative ones, are gray.  ``palette`` has a row per class and is broadcast only if small by Spark's own threshold."""
     joined = pixels.join(palette, class_col, "left")

@@ -569,4 +569,4 @@ for _name in ("heatmap_rasterize", "draw_boxes", "polygon_fill"):
 def checkerboard(spark, sf_dir):
     return raster.checkerboard(spark, 24, 16, 4).select(F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), "v")
 
-from . import file_queries, mask_queries, overlay_queries, tile_queries  # noqa: E402, F401 - they add their queries
+from . import annotation_queries, file_queries, mask_queries, overlay_queries, tile_queries  # noqa: E402, F401 - they add their queries
