@@ -1,4 +1,4 @@
-"""Queries of segmentations of mixed form and of heatmaps brought to one grid; :mod:`.queries` adds them to its own."""
+"""Queries of segmentations of mixed form, of heatmaps brought to one grid and of patches between pixels; :mod:`.queries` adds them to its own."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import matrix as M
 from ..functions import segmentation
-from ..operators import heatmap, runlength
+from ..operators import heatmap, runlength, subpixel
 from . import fixtures
 from .queries import BOXES, PIXELS, q6, query, r6
 
@@ -57,3 +57,18 @@ def heatmap_align(spark, sf_dir):
     frames = maps.select("vec_id").distinct().select("vec_id", to_img.alias("to_img"), M.make(*EVEN).alias("target"), F.lit(8).alias("height"), F.lit(8).alias("width"))
     aligned = heatmap.align(maps, frames, ["vec_id"], "p").withColumn("pair", F.floor(F.col("vec_id") / 2))
     return heatmap.combine(aligned, ["pair"], "p").select("pair", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), r6("p", "p"))
+
+
+#: Where the embeddings of a group lie in its canvas of 20 by 20: steps of quarters of a pixel.
+_OY, _OX = "(vec_id*7 % 53)*0.25", "(vec_id*13 % 61)*0.25 - 1.5"
+
+
+@query("subpixel_accumulate", f"""with {PIXELS}, s as (select vec_id%50 as grp, {_OY}+y as py, {_OX}+x as px, v from pixels_v),
+ t as (select grp, floor(py)+a as y, floor(px)+b as x, (1-abs(py-floor(py)-a))*(1-abs(px-floor(px)-b))*v as v from s, range(2) p(a), range(2) q(b)),
+ d as (select grp, i//20 as y, i%20 as x from (select distinct grp from s), range(400) r(i))
+ select d.grp, cast(d.y as bigint) as y, cast(d.x as bigint) as x, {q6("coalesce(sum(t.v), 0)", "v")} from d left join t on t.grp=d.grp and t.y=d.y and t.x=d.x group by 1,2,3""")
+def subpixel_accumulate(spark, sf_dir):
+    patches = fixtures.pixels(spark, sf_dir).select((F.col("vec_id") % 50).alias("grp"), F.col("vec_id").alias("patch"), "y", "x", "v", F.expr(_OY).cast("double").alias("oy"), F.expr(_OX).cast("double").alias("ox"))
+    cells = patches.select("grp").distinct().withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(399))))
+    canvas = cells.select("grp", F.floor(F.col("_i") / 20).alias("y"), (F.col("_i") % 20).alias("x"), F.lit(0.0).alias("v"))
+    return subpixel.splat(canvas, patches, ["grp"]).select("grp", "y", "x", r6("v", "v"))
