@@ -4,8 +4,9 @@ A row is one stored tile of one band: ``name, overview, band, height, width`` of
 ``ty, tx`` its place, ``y0, y1, x0, x1`` the pixels that it covers, ``values`` its numbers by
 row, ``tile_width`` a row.  Numbers that stand for missing ones, and places beyond the image, are NaN, as in
 :mod:`..operators.tiles`.  Files may be classic or big, of either byte order, tiled or in
-strips, with bands side by side or apart, plain or deflated, with or without horizontal
-differences; other compressions are refused by name.
+strips, with bands side by side or apart, plain, deflated or in LZW codes, with or without
+horizontal differences; other compressions are refused by name.  Indexed colours are read as
+bands 0 to 2, of 8 bits.
 """
 
 from __future__ import annotations
@@ -32,13 +33,15 @@ COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 SPLIT_BYTES = 128 << 20
 #: Neighbouring tiles are read at once up to this many bytes.
 READ_BYTES = 8 << 20
+#: Numbers beyond which a tile is refused, against files that claim too much.
+MAX_TILE = 1 << 27
 #: Tile numbers of a batch handed to Spark.
 BATCH_VALUES = 1 << 20
 
 #: Tags of the format.
 SUBFILE, WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 254, 256, 257, 258, 259, 262
 STRIPS, SAMPLES, ROWS, STRIP_BYTES, PLANAR, PREDICTOR = 273, 277, 278, 279, 284, 317
-TILE_WIDTH, TILE_HEIGHT, TILES, TILE_BYTES, FORMAT, NODATA = 322, 323, 324, 325, 339, 42113
+PALETTE, TILE_WIDTH, TILE_HEIGHT, TILES, TILE_BYTES, FORMAT, NODATA = 320, 322, 323, 324, 325, 339, 42113
 #: Codes of field types.
 TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 7: "B", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q", 17: "q", 18: "Q"}
 #: Sample formats by NumPy kind.
@@ -48,6 +51,36 @@ FORMATS = {"u": 1, "i": 2, "f": 3}
 # files -------------------------------------------------------------------------------
 
 
+def from_lzw(raw: bytes, limit: int) -> bytes:
+    """Bytes of LZW codes of 9 to 12 bits, high bits first, widened one code early; at most ``limit`` are taken."""
+    known = [bytes([i]) for i in range(256)] + [b"", b""]
+    out, size, width, bits, held, before = [], 0, 9, 0, 0, None
+    for byte in raw:
+        bits, held = bits << 8 | byte, held + 8
+        if held < width:
+            continue
+        held -= width
+        code, bits = bits >> held, bits & ((1 << held) - 1)
+        if code == 257 or size >= limit:
+            break
+        if code == 256:
+            del known[258:]
+            width, before = 9, None
+            continue
+        if code > len(known) or (code == len(known) and before is None):
+            raise ValueError("damaged LZW codes")
+        if before is None:
+            piece = known[code]
+        else:
+            piece = known[code] if code < len(known) else before + before[:1]
+            known.append(before + piece[:1])
+        out.append(piece)
+        size, before = size + len(piece), piece
+        if len(known) >= (1 << width) - 1 and width < 12:
+            width += 1
+    return b"".join(out)[:limit]
+
+
 @dataclass
 class Directory:
     """One image of a file: its size and where its tiles are stored."""
@@ -59,11 +92,16 @@ class Directory:
         return self.tags.get(tag, (default,))[0]
 
     def __post_init__(self):
-        self.height, self.width = self.one(HEIGHT), self.one(WIDTH)
+        self.height, self.width = self.one(HEIGHT, 0), self.one(WIDTH, 0)
         self.tile_height = self.one(TILE_HEIGHT) or min(self.one(ROWS, self.height), self.height)
         self.tile_width = self.one(TILE_WIDTH) or self.width
         self.offsets, self.lengths = (self.tags.get(a) or self.tags.get(b) for a, b in ((TILES, STRIPS), (TILE_BYTES, STRIP_BYTES)))
         self.samples, self.apart = self.one(SAMPLES, 1), self.one(PLANAR, 1) == 2
+        if min(self.height, self.width, self.tile_height, self.tile_width, self.samples) < 1 or not self.offsets or len(self.offsets) != len(self.lengths or ()):
+            raise ValueError("a directory lacks sizes or places")
+        if self.tile_height * self.tile_width * self.samples > MAX_TILE:
+            raise ValueError(f"tiles of more than {MAX_TILE} numbers are not read")
+        self.palette = np.array(self.tags[PALETTE]).reshape(3, -1).T >> 8 if self.one(PHOTOMETRIC) == 3 and PALETTE in self.tags else None
         self.down, self.across = -(-self.height // self.tile_height), -(-self.width // self.tile_width)
         kind = {v: k for k, v in FORMATS.items()}.get(self.one(FORMAT, 1))
         if kind is None or self.one(BITS, 1) % 8:
@@ -75,14 +113,17 @@ class Directory:
     def place(self, index: int) -> tuple[list[int], int, int]:
         """Bands, row and column of the stored tile ``index``."""
         each = self.down * self.across
-        bands = [index // each] if self.apart else list(range(self.samples))
+        bands = [0, 1, 2] if self.palette is not None else [index // each] if self.apart else list(range(self.samples))
         return bands, index % each // self.across, index % self.across
 
     def decode(self, raw: bytes) -> np.ndarray:
         """``(rows, columns, bands)`` of a stored tile."""
         how = self.one(COMPRESSION, 1)
+        most = self.tile_height * self.tile_width * (1 if self.apart else self.samples) * self.dtype.itemsize
         if how in (8, 32946):
-            raw = zlib.decompress(raw)
+            raw = zlib.decompressobj().decompress(raw, most)
+        elif how == 5:
+            raw = from_lzw(raw, most)
         elif how != 1:
             raise ValueError(f"compression {how} is not read")
         a = np.frombuffer(raw, dtype=self.dtype).reshape(-1, self.tile_width, 1 if self.apart else self.samples)
@@ -90,7 +131,7 @@ class Directory:
             a = np.cumsum(a, axis=1, dtype=self.dtype)
         elif self.one(PREDICTOR, 1) != 1:
             raise ValueError(f"predictor {self.one(PREDICTOR)} is not read")
-        return a
+        return a if self.palette is None else self.palette[a[:, :, 0]]
 
     def numbers(self, a: np.ndarray, ty: int, tx: int, missing: bool) -> np.ndarray:
         """Doubles of a whole tile of one band, NaN beyond the image and where ``missing`` values stand."""
@@ -261,7 +302,7 @@ class TiffReader(DataSourceReader):
                     for raw, index, wanted in fetched(counted, self.wanted(directory, named(path.rsplit("/", 1)[-1]), overview, start, stop)):
                         a = directory.decode(raw)
                         for row in wanted:
-                            made = directory.numbers(a[:, :, 0 if directory.apart else row["band"]], row["ty"], row["tx"], self.missing)
+                            made = directory.numbers(a[:, :, row["band"] if a.shape[2] > 1 else 0], row["ty"], row["tx"], self.missing)
                             rows.append(row)
                             values.append(made.ravel())
                             held += made.size

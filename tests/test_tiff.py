@@ -1,5 +1,6 @@
 """Tiled TIFF files: round trips, what a window reads, and files shared with the JVM's own reader and writer."""
 
+import io
 import struct
 import zlib
 
@@ -135,6 +136,66 @@ def test_reads_what_the_jvm_writes(spark, tmp_path):
     assert np.array_equal(got, np.stack([y * 20, x * 10, x * y % 256]))
 
 
+def jvm_written(jvm, image, path, how=None):
+    """Writes ``image`` with the JVM's own coder and the compression named."""
+    writer = jvm.javax.imageio.ImageIO.getImageWritersByFormatName("tiff").next()
+    out = jvm.javax.imageio.ImageIO.createImageOutputStream(jvm.java.io.File(str(path)))
+    writer.setOutput(out)
+    param = writer.getDefaultWriteParam()
+    if how:
+        param.setCompressionMode(jvm.javax.imageio.ImageWriteParam.MODE_EXPLICIT)
+        param.setCompressionType(how)
+    writer.write(None, jvm.javax.imageio.IIOImage(image, None, None), param)
+    out.close()
+    writer.dispose()
+
+
+@pytest.mark.parametrize("how", ["LZW", "Deflate", "ZLib", None])
+def test_compressions_of_the_jvm(spark, tmp_path, how):
+    jvm = spark._jvm
+    a = np.random.default_rng(7).integers(0, 256, (90, 120))
+    a[20:60, 10:100] = 77
+    image = jvm.java.awt.image.BufferedImage(120, 90, jvm.java.awt.image.BufferedImage.TYPE_BYTE_GRAY)
+    pixels = spark.sparkContext._gateway.new_array(jvm.int, a.size)
+    for i, v in enumerate(a.ravel().tolist()):
+        pixels[i] = v
+    image.getRaster().setSamples(0, 0, 120, 90, 0, pixels)
+    jvm_written(jvm, image, tmp_path / "x.tif", how)
+    assert np.array_equal(read_back(tiff.read_tiles(spark, f"file://{tmp_path}"))[("x", 0)][0], a)
+
+
+def test_indexed_colours(spark, tmp_path):
+    jvm = spark._jvm
+    image = jvm.java.awt.image.BufferedImage(16, 16, jvm.java.awt.image.BufferedImage.TYPE_BYTE_INDEXED)
+    for y in range(16):
+        for x in range(16):
+            image.getRaster().setSample(x, y, 0, (y * 16 + x) % 216)
+    jvm_written(jvm, image, tmp_path / "x.tif")
+    want = np.array([[[image.getRGB(x, y) >> s & 255 for x in range(16)] for y in range(16)] for s in (16, 8, 0)])
+    got = read_back(tiff.read_tiles(spark, f"file://{tmp_path}"))[("x", 0)]
+    assert np.array_equal(got, want)
+    green = tiff.window(tiff.read_tiles(spark, f"file://{tmp_path}").where("band = 1"), 3, 5, 2, 9)
+    assert {(r["y"], r["x"]): r["v"] for r in green.collect()} == {(y, x): want[1, y, x] for y in (3, 4) for x in range(2, 9)}
+
+
+def test_claims_are_bounded(tmp_path):
+    a = np.zeros((4, 4, 1), np.int16)
+    good = by_hand("<", False, 4, 1, a)
+    bomb = zlib.compress(bytes(50 << 20))
+    directory, = tiff.read_directories(io.BytesIO(good), len(good))
+    assert directory.decode(bomb).shape == (4, 4, 1)
+    for old, new in ((struct.pack("<HHII", 256, 4, 1, 4), struct.pack("<HHII", 256, 4, 1, 1 << 30)), (struct.pack("<HHII", 256, 4, 1, 4), struct.pack("<HHII", 256, 4, 1, 0)), (struct.pack("<HHI", 273, 4, 1), struct.pack("<HHI", 999, 4, 1))):
+        assert old in good
+        (tmp_path / "x.tif").write_bytes(good.replace(old, new))
+        with pytest.raises(ValueError):
+            read_locally(f"file://{tmp_path}", [])
+    for raw in (b"\xff\xff\xff", bytes([0x80, 0x40, 0x00, 0x81])):
+        try:
+            assert len(tiff.from_lzw(raw, 10)) <= 10
+        except ValueError:
+            pass
+
+
 def by_hand(order, big, rows_each, predictor, a):
     """A deflated file in strips, bands side by side."""
     height, width, bands = a.shape
@@ -177,8 +238,6 @@ def test_byte_orders_strips_and_differences(tmp_path, order, big, predictor):
 
 
 def test_big_header_is_read_back():
-    import io
-
     image = {"height": 40, "width": 20, "bands": 2, "tile": 16, "dtype": "float32", "nodata": -1.5, "lengths": [5, 0, 7, 9, 0, 1] + [3] * 6}
     for big in (False, True):
         data = tiff.header([image, {**image, "height": 20, "width": 10, "lengths": [4, 4, 2, 2]}], big)
