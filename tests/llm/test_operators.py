@@ -516,3 +516,20 @@ def test_quality_separates_held_out_junk(spark):
     labels = spark.createDataFrame([(i, int(i % 6 > 0)) for i in range(0, 150)], "doc_id long, quality int")
     kept = {r["doc_id"]: r["kept"] for r in quality.quality_rules(docs, labels).collect()}
     assert all(kept[i] == (i % 6 > 0) for i in range(150, 300))
+
+
+def test_quality_counts_every_trusted_document(spark):
+    """Where all documents are trusted, both corpora are one and every log-ratio is 0, however many there are."""
+    docs = spark.range(20_050).selectExpr("id doc_id", "repeat(concat('w', id, ' '), 20) text")
+    scores = quality.quality_rules(docs, docs.selectExpr("doc_id", "1 quality")).select("score").distinct().collect()
+    assert [r["score"] for r in scores] == [0.0]
+
+
+def test_quality_judges_word_order(spark):
+    """The same words in another order are no good text."""
+    sentence = [f"w{i}" for i in range(24)]
+    texts = [" ".join(sentence if i % 3 else sentence[::-1]) for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(150)], "doc_id long, quality int")
+    kept = {r["doc_id"]: r["kept"] for r in quality.quality_rules(docs, labels).collect()}
+    assert all(kept[i] == (i % 3 > 0) for i in range(150, 300))
