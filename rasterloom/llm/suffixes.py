@@ -21,8 +21,8 @@ LENGTH, GRAM = 50, 16
 SHALLOW = 24
 #: Stretches of one fingerprint that are sorted together; larger groups are dealt over several.
 GROUP_ROWS = 20_000
-#: Bytes of stretches sorted at once within a task.
-SORT_BYTES = 4 << 20
+#: Bytes of stretches sorted at once within a task, few enough for arrays to stay in cache; one group at least, however large.
+SORT_BYTES = 256 << 10
 
 U = np.uint64
 
@@ -298,27 +298,33 @@ def deduplicate_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come ordered by (mark, deal); whole groups are gathered up to ``SORT_BYTES`` and sorted."""
-        held: list[tuple] = []
-        size, last = 0, None
+        rest: list[pa.RecordBatch] = []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("mark", "deal", "id", "body", "hot")), strict=True):
-                if size >= SORT_BYTES and row[:2] != last:
-                    yield from sort_held(held)
-                    held, size = [], 0
-                held.append(row)
-                size, last = size + len(row[3]), row[:2]
-        if held:
+            if not batch.num_rows:
+                continue
+            held = pa.Table.from_batches([*rest, batch]).combine_chunks().to_batches()[0]
+            mark, deal = (held.column(c).to_numpy() for c in ("mark", "deal"))
+            fresh = np.flatnonzero((mark[1:] != mark[:-1]) | (deal[1:] != deal[:-1])) + 1
+            sizes = np.concatenate([[0], np.cumsum(pc.binary_length(held.column("body")).to_numpy().astype(np.int64))])
+            lo = 0
+            while (k := int(np.searchsorted(sizes[fresh], sizes[lo] + SORT_BYTES))) < len(fresh):
+                yield from sort_held(held.slice(lo, fresh[k] - lo))
+                lo = int(fresh[k])
+            rest = [held.slice(lo)]
+        for held in rest:
             yield from sort_held(held)
 
-    def sort_held(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        bodies = [r[3] for r in held]
-        n = np.array([len(b) for b in bodies])
-        start = np.concatenate([[0], np.cumsum(n)])
-        data = np.frombuffer(b"".join(bodies) + bytes(64), dtype=np.uint8)
+    def sort_held(held: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        body = held.column("body").cast(pa.large_binary())
+        _, offsets, raw = body.buffers()
+        start = np.frombuffer(offsets, dtype=np.int64)[body.offset:body.offset + len(body) + 1]
+        data = np.concatenate([np.frombuffer(raw, dtype=np.uint8)[start[0]:start[-1]], np.zeros(64, dtype=np.uint8)])
+        start = start - start[0]
+        n = np.diff(start)
         at = expand(start[:-1], start[1:] - length + 1)
         row = np.repeat(np.arange(len(held)), n - length + 1)
-        owner = np.array([r[2] for r in held], dtype=np.int64)[row]
-        hot = np.array([r[4] for r in held], dtype=bool)[row]
+        owner = held.column("id").to_numpy().astype(np.int64)[row]
+        hot = held.column("hot").to_numpy(zero_copy_only=False)[row]
         later, classes = repeated_across(data, at, owner, length)
         # a hot group's classes are compared again across its deals: its smallest ids stay open
         open_ = hot & ~later

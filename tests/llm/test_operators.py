@@ -315,6 +315,14 @@ def test_bytes_with_dealt_groups(spark, monkeypatch):
     assert whole[0] == 0 and min(v for k, v in whole.items() if k) > 50
 
 
+def test_suffix_blocks_end_between_groups(spark, docs, monkeypatch):
+    """The fewest bytes sorted at once, a group each time, give the same rows."""
+    whole = {r["doc_id"]: r for r in suffixes.deduplicate_bytes(docs).collect()}
+    assert sum(r["n_removed"] for r in whole.values()) > 0
+    monkeypatch.setattr(suffixes, "SORT_BYTES", 1)
+    assert {r["doc_id"]: r for r in suffixes.deduplicate_bytes(docs).collect()} == whole
+
+
 def test_suffix_order():
     rng = np.random.default_rng(1)
     data = np.frombuffer(bytes(rng.integers(97, 99, 400, dtype=np.uint8)) * 3 + bytes(64), dtype=np.uint8)
