@@ -533,6 +533,15 @@ def test_quality_counts_every_trusted_document(spark):
     assert [r["score"] for r in scores] == [0.0]
 
 
+def test_quality_plan_is_one_for_few_trusted_and_many(spark, docs, monkeypatch):
+    plans = []
+    table = quality.Scratch.table
+    monkeypatch.setattr(quality.Scratch, "table", lambda self, df, name: (plans.append(df._jdf.queryExecution().executedPlan().toString()), table(self, df, name))[1])
+    labels = spark.createDataFrame([(i, 1) for i in range(5)], "doc_id long, quality int")
+    quality.quality_rules(docs, labels)
+    assert "ShuffledHashJoin" in plans[0] and "BroadcastHashJoin" not in plans[0]
+
+
 def test_quality_judges_word_order(spark):
     """The same words in another order are no good text."""
     sentence = [f"w{i}" for i in range(24)]
