@@ -48,10 +48,11 @@ _POWERS = [_Powers(b) for b in BASES]
 
 def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> U(30))
-    x = x * U(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> U(27))
-    x = x * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
+    x *= U(0xBF58476D1CE4E5B9)
+    x ^= x >> U(27)
+    x *= U(0x94D049BB133111EB)
+    x ^= x >> U(31)
+    return x
 
 
 def text_blocks(texts: pa.Array, block_bytes: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -100,6 +101,16 @@ def spans(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U) * U(0x2545F4914F6CDD1D))
 
 
+def windows(sums: np.ndarray, width: int, which: int = 0) -> np.ndarray:
+    """Hash of every ``width`` consecutive values, as ``spans`` gives it."""
+    n = max(0, len(sums) - width)
+    _, down = _POWERS[which].get(len(sums))
+    found = sums[width:] - sums[:n]
+    found *= down[:n]
+    found += U((width * 0x2545F4914F6CDD1D) % (1 << 64))
+    return mix(found)
+
+
 def byte_prefix(data: np.ndarray, which: int = 0) -> np.ndarray:
     return prefix(_BYTES[data], which)
 
@@ -109,14 +120,12 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: i
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of every ``width`` consecutive values, in a number of passes that doesn't depend on ``width``."""
-    n = len(values)
-    if n < width:
+    """Minimum of every ``width`` consecutive values, from minima of windows twice as wide at each pass."""
+    if len(values) < width:
         return values[:0]
-    size = -(-n // width) * width
-    full = np.full(size, np.iinfo(np.uint64).max, dtype=U)
-    full[:n] = values
-    grid = full.reshape(-1, width)
-    ahead = np.minimum.accumulate(grid, axis=1).ravel()
-    behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(behind[:n - width + 1], ahead[width - 1:n])
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        values = np.minimum(values[:-step], values[step:])
+        have += step
+    return values

@@ -153,8 +153,7 @@ class ByteWindows:
     def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int, gram: int, check: bool = False):
         self.length, self.first, self.data = length, offsets, data
         self.sums = [hashing.byte_prefix(data, k) for k in range(1 + check)]
-        at = np.arange(max(0, len(data) - gram + 1))
-        self.marks = hashing.sliding_min(hashing.spans(self.sums[0], at, at + gram), length - gram + 1)
+        self.marks = hashing.sliding_min(hashing.windows(self.sums[0], gram), length - gram + 1)
 
     def of(self, row: int) -> tuple[int, int]:
         a, b = int(self.first[row]), int(self.first[row + 1])
@@ -185,9 +184,17 @@ def _longs(value: pa.Scalar) -> np.ndarray:
     return value.values.to_numpy().view(U) if value.is_valid else np.zeros(0, U)
 
 
+def among(values: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Whether each value is one of ``found``, as ``np.isin`` tells; a text's few hashes are sorted and searched, several times faster."""
+    if not len(found):
+        return np.zeros(len(values), dtype=bool)
+    found = np.sort(found)
+    return found[np.minimum(np.searchsorted(found, values), len(found) - 1)] == values
+
+
 def _wanted(w: ByteWindows, row: int, hits: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     a, marks, lo, hi = w.runs(row)
-    hit = np.isin(marks, hits)
+    hit = among(marks, hits)
     return a, marks[hit], lo[hit], hi[hit]
 
 
@@ -287,7 +294,7 @@ def deduplicate_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             for i, row, w in _rows(batch, length, gram, False):
                 _, mark, lo, hi = _wanted(w, row, _longs(batch.column("hs")[i]))
                 if len(lo):
-                    rest = ~np.isin(w.hashes(lo, hi + length - 1), _longs(batch.column("whole")[i]))
+                    rest = ~among(w.hashes(lo, hi + length - 1), _longs(batch.column("whole")[i]))
                     for m, a, b in zip(mark[rest].view(np.int64).tolist(), lo[rest].tolist(), hi[rest].tolist(), strict=True):
                         ids.append(i)
                         marks.append(m)
@@ -359,10 +366,10 @@ def deduplicate_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 if len(hits) and z - a >= length:
                     bad = np.zeros(z - a - length + 1, dtype=bool)
                     _, _, lo, hi = _wanted(w, row, hits)
-                    whole = np.isin(w.hashes(lo, hi + length - 1), _longs(batch.column("whole")[i]))
+                    whole = among(w.hashes(lo, hi + length - 1), _longs(batch.column("whole")[i]))
                     bad[expand(lo[whole], hi[whole]) - a] = True
                     starts = expand(lo[~whole], hi[~whole])
-                    bad[starts[np.isin(w.hashes(starts, starts + length), _longs(batch.column("single")[i]))] - a] = True
+                    bad[starts[among(w.hashes(starts, starts + length), _longs(batch.column("single")[i]))] - a] = True
                     gone = covered(bad, length, z - a)
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
                 total.append(z - a)

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from rasterloom.llm import html_text, lines, media, mixing, neardup, packing, quality, substrings, suffixes, url_filter
+from rasterloom.llm import hashing, html_text, lines, media, mixing, neardup, packing, quality, substrings, suffixes, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -323,6 +323,25 @@ def test_suffix_blocks_end_between_groups(spark, docs, monkeypatch):
     assert {r["doc_id"]: r for r in suffixes.deduplicate_bytes(docs).collect()} == whole
 
 
+def test_windows_and_minima_are_those_taken_one_by_one():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 15, 16, 17, 90):
+        values = rng.integers(0, 2**63, n).astype(np.uint64)
+        sums = hashing.prefix(values)
+        at = np.arange(max(0, n - 15))
+        assert (hashing.windows(sums, 16) == hashing.spans(sums, at, at + 16)).all()
+        for width in (1, 2, 7, 16, 35):
+            assert hashing.sliding_min(values, width).tolist() == [min(values[i:i + width]) for i in range(max(0, n - width + 1))]
+
+
+def test_among_is_isin():
+    rng = np.random.default_rng(3)
+    for n, k in [(0, 0), (0, 4), (5, 0), (1, 1), (130, 7), (130, 300)]:
+        values, found = (rng.integers(0, 200, x).astype(np.uint64) * np.uint64(2**56) for x in (n, k))
+        found = np.append(found, np.uint64(2**64 - 1)) if k > 100 else found
+        assert (suffixes.among(values, found) == np.isin(values, found)).all()
+
+
 def test_suffix_order():
     rng = np.random.default_rng(1)
     data = np.frombuffer(bytes(rng.integers(97, 99, 400, dtype=np.uint8)) * 3 + bytes(64), dtype=np.uint8)
