@@ -485,6 +485,40 @@ def test_line_sketches_leave_out_no_link():
         assert i not in kept or both >= 0.5 * union
 
 
+def test_line_joins_test_sketches_as_batches_do(spark):
+    """The join's condition against ``close``, on the same pairs."""
+    rng, texts = np.random.default_rng(9), []
+    for length in (3, 40, 300):
+        for share in (0, 0.02, 0.04, 0.3):
+            a = rng.choice(list("abcdefgh \u00e9"), length)
+            texts += ["".join(a), "".join(np.where(rng.random(length) < share, "#", a))]
+    ids = pa.array(range(len(texts)))
+    got = lines.sketched(pa.RecordBatch.from_arrays([ids, pa.array(texts)], names=["l1", "line"]))
+    n, odd, even, uneven = got.column("n"), got.column("odd"), ids.take(pa.array(range(0, len(texts), 2))), ids.take(pa.array(range(1, len(texts), 2)))
+    want = lines.close(pa.RecordBatch.from_arrays(
+        [even, uneven, n.take(even), n.take(uneven), odd.take(even), odd.take(uneven)], names=["a", "b", "n_a", "n_b", "odd_a", "odd_b"]))
+    found = lines.sketches(spark.createDataFrame(list(enumerate(texts)), "l1 long, line string"))
+    side = lambda i: found.select(*[F.col(c).alias(f"{c}_{i}") for c in found.columns])
+    pairs = side(1).join(side(2), (F.col("l1_1") % 2 == 0) & (F.col("l1_2") == F.col("l1_1") + 1) & lines.linkable("_1", "_2"))
+    assert sorted(r["l1_1"] for r in pairs.collect()) == want.column("a").to_pylist()
+    assert 0 < len(want) < len(texts) / 2
+
+
+def test_lines_pair_only_likely_ones_of_a_large_group(spark, monkeypatch):
+    """Lines far below the threshold share band keys in numbers; they are not paired with each other."""
+    rng, made = np.random.default_rng(6), {}
+    base = rng.choice(list("abcdefghijklmnop "), 300)
+    texts = [(i, "".join(np.where(rng.random(300) < 0.025, rng.choice(list("QRSTUVW"), 300), base))) for i in range(150)]
+    table = lines.Scratch.table
+    monkeypatch.setattr(lines.Scratch, "table", lambda self, df, name: made.setdefault(name, table(self, df, name)) if name == "rest" else table(self, df, name))
+    gone = lines.drop_similar_lines(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    sets = [lines.shingle_set(t) for _, t in texts]
+    near = lambda a, b: len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])
+    of = {r["l1"]: r["id"] for r in lines.numbered_lines(spark.createDataFrame(texts, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert {(r["id"], r["pos"]) for r in gone} <= brute_lines(texts)
+    assert "rest" in made and all(near(of[r["a"]], of[r["b"]]) for r in made["rest"].collect())
+
+
 def test_line_signatures_of_blocks(monkeypatch):
     """Signatures don't depend on how a batch is cut, and equal shingle sets give equal ones."""
     texts = ["abcdefghijkl " * 30, "x", "", "\u6211\u4eec" * 400, "hello there, world", "abcdefghijkl " * 30]
