@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.llm import lines, mixing, neardup, packing, quality
 from rasterloom.llm.queries import table, tokenizer_path
-from rasterloom.llm.workspace import Scratch
+from rasterloom.llm.workspace import Scratch, passing
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -69,9 +69,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result but the last is written and read again."""
+    """All stages over ``documents``; each result but the last is written and read again.
+
+    Once a stage's result is written, what the stage read and wrote on its way is deleted, so
+    disk holds one stage at a time.
+    """
     scratch = Scratch(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents")
+    docs, read = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = scratch.table(stage(spark, docs, sf_dir), name)
+        with passing():
+            docs = scratch.table(stage(spark, docs, sf_dir), name)
+        scratch.drop(*read)
+        scratch.release()
+        read = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

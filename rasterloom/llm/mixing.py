@@ -113,7 +113,8 @@ def mix_sources(
     uses = scratch.table(slots.groupBy("k", "block").agg(F.count(F.lit(1)).alias("times")), "uses")
 
     n_docs = sum(r["docs"] for r in sources)
-    tagged = base.join(F.broadcast(plan_df), base["_src"].eqNullSafe(plan_df["_src"])).drop(plan_df["_src"])
+    # what is kept stays in its table until the end, so texts are shuffled once, to their rows
+    tagged = base.drop(*[f"_k{i}" for i in range(len(keep))]).join(F.broadcast(plan_df), base["_src"].eqNullSafe(plan_df["_src"])).drop(plan_df["_src"])
     placed = cumulative(tagged, "k", ["_h", "_id", "_t", "_row"], "size", "start", max(2, n_docs // 2_000))
     placed = scratch.table(placed.drop("_h", "_t", "_src", "lo"), "placed")
     first, last = F.floor(F.col("start") / F.col("_len")), F.floor((F.col("start") + F.col("size") - 1) / F.col("_len"))
@@ -124,9 +125,11 @@ def mix_sources(
         .groupBy("_row").agg(
             F.sum(F.col("words") * F.col("times")).alias("taken"),
             F.sort_array(F.collect_list(F.struct("block", "words", "times"))).alias("blocks")))
-    return placed.join(took, "_row", "left").select(
-        *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], F.col("_id").alias(id_col), "size", "source_size", "target",
-        F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "blocks")
+    mixed = placed.join(took, "_row", "left").select(
+        "_row", F.col("_id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "blocks")
+    if keep:
+        mixed = base.select("_row", *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)]).join(mixed.hint("shuffle_hash"), "_row")
+    return mixed.select(*keep, id_col, "size", "source_size", "target", "taken", "blocks")
 
 
 def mixed_documents(mixed: DataFrame, text_col: str = "text", max_passes: int = 2) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +35,23 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Scratches made within each open ``passing`` block.
+_passing: list[list[Scratch]] = []
+
+
+@contextmanager
+def passing() -> Iterator[None]:
+    """Deletes, once the block has ended, all tables of scratches made in it: its results must be written elsewhere by then."""
+    made: list[Scratch] = []
+    _passing.append(made)
+    try:
+        yield
+    finally:
+        _passing.remove(made)
+        for scratch in made:
+            delete(scratch.spark, scratch.root)
+
+
 class Scratch:
     """Written tables of one query; ``drop`` frees those no longer read."""
 
@@ -40,6 +59,8 @@ class Scratch:
         self.spark = spark
         self.root = fresh_path(spark, name)
         self.n = 0
+        if _passing:
+            _passing[-1].append(self)
 
     def path(self, name: str) -> str:
         self.n += 1

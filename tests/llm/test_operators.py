@@ -144,6 +144,17 @@ def test_rounds_keep_proportions():
 # mixing ------------------------------------------------------------------------------
 
 
+def test_mix_shuffles_texts_once_and_keeps_columns(spark, docs, rows, monkeypatch):
+    made, table = {}, mixing.Scratch.table
+    monkeypatch.setattr(mixing.Scratch, "table", lambda self, df, name: made.setdefault(name, table(self, df, name)))
+    mixed = mixing.mix_sources(docs, keep=["text", "lang"])
+    assert not [c for c in made["placed"].columns if c.startswith("_k")]
+    texts = lambda found: sorted((r["doc_id"], r["text"] or "", r["lang"]) for r in found)
+    assert texts(mixed.collect()) == texts(docs.collect())
+    plain = mixing.mix_sources(docs).collect()
+    assert sorted((r["doc_id"], r["size"], r["taken"]) for r in mixed.collect()) == sorted((r["doc_id"], r["size"], r["taken"]) for r in plain)
+
+
 def test_mixing(docs, rows, nothing):
     got = mixing.mix_sources(docs, block=64).select("doc_id", "size", "source_size", "target", "taken").collect()
     assert len(got) == len(rows)

@@ -132,3 +132,14 @@ def test_empty_documents(spark, folder, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{folder}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_run_leaves_one_stage_on_disk(spark, folder, staged, monkeypatch):
+    made, begin = [], corpus_pipeline.Scratch.__init__
+    monkeypatch.setattr(corpus_pipeline.Scratch, "__init__", lambda self, *a: (begin(self, *a), made.append(self))[0])
+    packed = corpus_pipeline.run(spark, folder)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    there = lambda path: hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop(path))
+    kept = [s.root for s in made if there(s.root)]
+    assert len(made) > 5 and len(kept) == 2
+    assert Counter(map(tuple, packed.collect())) == Counter(map(tuple, staged[-1][1]))
