@@ -530,6 +530,33 @@ def test_lines_pair_only_likely_ones_of_a_large_group(spark, monkeypatch):
     assert "rest" in made and all(near(of[r["a"]], of[r["b"]]) for r in made["rest"].collect())
 
 
+def test_lines_of_several_keys_are_paired_once(spark, monkeypatch):
+    """Lines of one group share many band keys: each pair leaves the join once, and lines without a partner don't reach it."""
+    rng, made = np.random.default_rng(7), {}
+    base = rng.choice(list("abcdefghijklmnop "), 300)
+    texts = [(i, "".join(np.where(rng.random(300) < 0.025, rng.choice(list("QRSTUVW"), 300), base))) for i in range(150)]
+    table = lines.Scratch.table
+    monkeypatch.setattr(lines.Scratch, "table", lambda self, df, name: made.setdefault(name, table(self, df, name)) if name in ("held", "rest") else table(self, df, name))
+    monkeypatch.setattr(lines.Scratch, "drop", lambda self, *tables: None)
+    lines.drop_similar_lines(spark.createDataFrame(texts, "doc_id long, text string"))
+    pairs = [(r["a"], r["b"]) for r in lines.met_once(made["held"]).collect()]
+    shared = defaultdict(list)
+    for r in made["held"].collect():
+        shared[r["key"]].append(r)
+    close = lambda x, y: bin((x["s0"] ^ y["s0"]) & (1 << 64) - 1).count("1") + bin((x["s1"] ^ y["s1"]) & (1 << 64) - 1).count("1") <= lines.MAX_BITS_APART
+    apart = lambda x, y: sum(bin((x[c] ^ y[c]) & (1 << 64) - 1).count("1") for c in lines.ODD_WORDS)
+    likely = lambda x, y: x["c"] != y["c"] and close(x, y) and (None in (x["d"], y["d"]) or abs(x["d"] - y["d"]) <= 0.25 + 1e-9)
+    by_key = [(x["b"], y["b"]) for rows in shared.values() for x in rows for y in rows if x["b"] < y["b"] and likely(x, y) and apart(x, y) * 175 <= 25 * (x["n"] + y["n"])]
+    assert len(pairs) == len(set(pairs)) < len(by_key)
+    # a pair that one of its keys' distances rules out is no link, so it may be missing
+    assert set(pairs) <= set(by_key)
+    sets, of = [lines.shingle_set(t) for _, t in texts], {r["l1"]: r["id"] for r in lines.numbered_lines(spark.createDataFrame(texts, "doc_id long, text string"), "doc_id", "text").collect()}
+    jaccard = lambda a, b: len(sets[of[a]] & sets[of[b]]) / len(sets[of[a]] | sets[of[b]])
+    assert all(jaccard(a, b) < 0.75 for a, b in set(by_key) - set(pairs))
+    assert all(any(likely(x, y) for y in rows) for rows in shared.values() for x in rows)
+    assert set(pairs) >= {(r["a"], r["b"]) for r in made["rest"].collect()}
+
+
 def test_line_signatures_of_blocks(monkeypatch):
     """Signatures don't depend on how a batch is cut, and equal shingle sets give equal ones."""
     texts = ["abcdefghijkl " * 30, "x", "", "\u6211\u4eec" * 400, "hello there, world", "abcdefghijkl " * 30]
