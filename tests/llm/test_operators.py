@@ -568,6 +568,45 @@ def test_line_signatures_of_blocks(monkeypatch):
     assert all(len(x) == lines.BANDS for x in whole.column("keys").to_pylist())
 
 
+def test_lines_are_compared_without_python(spark, monkeypatch):
+    """Signatures, sketches and distances are expressions, so that no step of the operator starts Python on executors."""
+    frame = type(spark.range(1))
+    for name in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(frame, name, lambda *args, **more: pytest.fail("Python on the executors"))
+    base = "the quick brown fox jumps over the lazy dog and runs far away into the deep woods"
+    texts = [(i, base.replace("fox", f"f{i}x") if i < 5 else f"{i} " * 40) for i in range(8)]
+    gone = lines.drop_similar_lines(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {(r["id"], r["pos"]) for r in gone} == brute_lines(texts) and gone
+
+
+def test_line_distances_of_whole_sets(spark):
+    """Distances and links against plain sets, with lines below five characters and beyond two bytes a character."""
+    texts = ["abcdefgh", "abcdefghi", "abc", "abcd", "aaaaaaaaaa", "aaaaa", "\u6211\u4eec\u5728\u8fd9\u91cc\U0001f600", "\u6211\u4eec\u5728\u8fd9\u91cc", "\U0001f600", "abcdefgh" * 50]
+    table = spark.createDataFrame([(i, -i, t) for i, t in enumerate(texts)], "l1 long, l2 long, line string")
+    pairs = spark.createDataFrame([(a, b) for a in range(len(texts)) for b in range(a)], "a long, b long")
+    sets, got = [lines.shingle_set(t) for t in texts], lines.measured(pairs, table).collect()
+    assert len(got) == len(texts) * (len(texts) - 1) // 2
+    for r in got:
+        both, union = len(sets[r["a"]] & sets[r["b"]]), len(sets[r["a"]] | sets[r["b"]])
+        assert abs(r["d"] - (1 - both / union)) < 1e-12 and r["linked"] == (100 * both >= 75 * union)
+        assert (r["v"]["l1"], r["u"]["l2"]) == (r["a"], -r["b"])
+
+
+def test_line_signatures_as_expressions(spark):
+    """Equal sets of shingles give equal keys, near ones equal values mostly; all keys and both words of bits are there."""
+    base = "one line of some length, as lines of documents are, with words and a few more of them"
+    texts = [base, base.replace("few", "new"), "abcabc" * 40, "abcabc" * 41, "x", "something else altogether that shares nothing with the others here", "\u6211\u4eec" * 400]
+    table = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts + texts[:1])], "l1 long, l2 long, line string")
+    got = {r["l1"]: r for r in lines.signatures(table).collect()}
+    assert len(got) == len(texts) + 1 and all(len(r["keys"]) == lines.BANDS for r in got.values())
+    apart = lambda x, y: sum(bin((got[x][s] ^ got[y][s]) & (1 << 64) - 1).count("1") for s in ("s0", "s1"))
+    shared = lambda x, y: sum(a == b is not None for a, b in zip(got[x]["keys"], got[y]["keys"], strict=True))
+    assert got[0]["keys"] == got[len(texts)]["keys"] and apart(0, len(texts)) == 0
+    assert apart(0, 1) <= lines.MAX_BITS_APART and shared(0, 1) > 0
+    assert apart(0, 5) > lines.MAX_BITS_APART and shared(0, 5) == 0
+    assert all(0 <= r[s] < 1 << lines.VALUES for r in got.values() for s in ("s0", "s1"))
+
+
 def test_short_and_unspaced_lines(spark):
     same = "\u6211\u4eec\u5728\u8fd9\u91cc\u5199\u4e86\u4e00\u884c\u6ca1\u6709\u7a7a\u683c\u7684\u4e2d\u6587\u5b57"
     texts = [(0, f"All rights reserved.\n{same}\nHi\n"), (1, f"All rights reserved.\n{same}\nHi\n \nother"), (2, f"{same}\U0001f600\nHo\nother\n ")]
