@@ -19,6 +19,8 @@ from .raster import sizes
 
 #: How far, in pixels, a sample reads from its place.
 REACH = {"nearest": 0, "linear": 1, "cubic": 2, "lanczos": 4}
+#: Source pixels that are sampled at once.
+AT_ONCE = 1 << 20
 BORDERS = ("constant", "replicate", "reflect", "reflect101", "wrap")
 
 
@@ -106,14 +108,13 @@ def warp(
     met = asked.join(tiles.drop("height", "width"), [*by, "ty", "tx"], "left").select(*by, "_n", "_m", "_ty", "_tx", "ty", "tx", "values")
     kinds = dict(tiles.dtypes)
 
-    def sample(table: pa.Table) -> pa.Table:
-        n, m, oy, ox = (table[c][0].as_py() for c in ("_n", "_m", "_ty", "_tx"))
-        held = {(y, x): v for y, x, v in zip(table["ty"].to_pylist(), table["tx"].to_pylist(), table["values"], strict=True) if v.is_valid}
-        ranks = [{t: k for k, t in enumerate(sorted({key[axis] for key in held}))} for axis in (0, 1)]
-        block = np.full((max(1, len(ranks[0])) * tile, max(1, len(ranks[1])) * tile), np.nan)
-        for (y, x), v in held.items():
+    def sample(n: int, m: int, oy: int, ox: int, at: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Tile ``oy, ox`` of images of one size that read the same tiles ``at`` of their sources; ``values`` are these, image by image."""
+        ranks = [{t: k for k, t in enumerate(sorted(set(at[:, axis].tolist())))} for axis in (0, 1)]
+        block = np.full((len(values), max(1, len(ranks[0])) * tile, max(1, len(ranks[1])) * tile), np.nan)
+        for k, (y, x) in enumerate(at.tolist()):
             r, c = ranks[0][y] * tile, ranks[1][x] * tile
-            block[r:r + tile, c:c + tile] = v.values.to_numpy(zero_copy_only=False).reshape(tile, tile)
+            block[:, r:r + tile, c:c + tile] = values[:, k]
         slot = [np.zeros(-(-size // tile), dtype=np.int64) for size in (n, m)]
         for axis in (0, 1):
             for t, k in ranks[axis].items():
@@ -122,15 +123,38 @@ def warp(
         u, v, w = (inv[i, 0] * xx + inv[i, 1] * yy + inv[i, 2] for i in range(3))
         with np.errstate(divide="ignore", invalid="ignore"):
             out = take(block, slot, tile, n, m, v / w, u / w)
-        full = np.full((tile, tile), np.nan)
-        full[:out.shape[0], :out.shape[1]] = out
-        return pa.table({**{k: table[k][:1] for k in by}, "height": pa.array([height], pa.int32()), "width": pa.array([width], pa.int32()), "ty": table["_ty"][:1], "tx": table["_tx"][:1], "values": pa.array([full.ravel().tolist()], pa.list_(pa.float64()))})
+        full = np.full((len(values), tile, tile), np.nan)
+        full[:, :out.shape[1], :out.shape[2]] = out
+        return full
+
+    def run(batches):
+        for batch in batches:
+            held = batch.column("_t")
+            ends = np.concatenate([[0], np.cumsum(held.value_lengths().to_numpy())])
+            read = held.flatten()
+            at = np.stack([read.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("ty", "tx")], axis=1)
+            values = read.field("values").flatten().to_numpy(zero_copy_only=False).reshape(-1, tile, tile)
+            where = [batch.column(c).to_pylist() for c in ("_n", "_m", "_ty", "_tx")]
+            alike: dict[tuple, list[int]] = {}
+            for k, key in enumerate(zip(*where, strict=True)):
+                alike.setdefault((*key, at[ends[k]:ends[k + 1]].tobytes()), []).append(k)
+            made = np.empty((batch.num_rows, tile, tile))
+            for (n, m, oy, ox, _), rows in alike.items():
+                count = int(ends[rows[0] + 1] - ends[rows[0]])
+                many = max(1, AT_ONCE // (max(1, count) * tile * tile))
+                for lo in range(0, len(rows), many):
+                    some = np.array(rows[lo:lo + many])
+                    made[some] = sample(n, m, oy, ox, at[ends[some[0]]:ends[some[0] + 1]], values[ends[some][:, None] + np.arange(count)])
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * tile * tile, pa.int32()), pa.array(made.ravel()))
+            sides = [pa.array(np.full(batch.num_rows, side), pa.int32()) for side in (height, width)]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(k) for k in by), *sides, batch.column("_ty"), batch.column("_tx"), flat], names=[*by, "height", "width", "ty", "tx", "values"])
 
     def take(block, slot, tile, n, m, y, x) -> np.ndarray:
-        """Samples at places of the source of which ``block`` has the tiles; ``slot`` says where."""
+        """Samples of each image at places of the source of which ``block`` has the tiles; ``slot`` says where."""
         def tap(iy, ix):
             (jy, oky), (jx, okx) = _edge(iy, n, border), _edge(ix, m, border)
-            got = block[slot[0][jy // tile] * tile + jy % tile, slot[1][jx // tile] * tile + jx % tile]
+            got = block[:, slot[0][jy // tile] * tile + jy % tile, slot[1][jx // tile] * tile + jx % tile]
             return np.where(oky & okx, got, value)
 
         whole = np.isfinite(y) & np.isfinite(x)
@@ -139,7 +163,7 @@ def warp(
             return tap(np.rint(y).astype(np.int64), np.rint(x).astype(np.int64))
         r, weight = _weights(interpolation)
         fy, fx = np.floor(y).astype(np.int64), np.floor(x).astype(np.int64)
-        out, total = np.zeros(y.shape), np.zeros(y.shape)
+        out, total = np.zeros((len(block), *y.shape)), np.zeros(y.shape)
         for i in range(1 - r, r + 1):
             for j in range(1 - r, r + 1):
                 ww = weight(y - fy - i) * weight(x - fx - j)
@@ -148,7 +172,9 @@ def warp(
         return out / np.where(total == 0, 1, total)
 
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in by) + ", height int, width int, ty long, tx long, values array<double>"
-    return met.groupBy(*by, "_ty", "_tx").applyInArrow(sample, schema)
+    # images of one size that read the same tiles are sampled together
+    held = F.when(F.col("values").isNotNull(), F.struct("ty", "tx", "values"))
+    return met.groupBy(*by, "_n", "_m", "_ty", "_tx").agg(F.sort_array(F.collect_list(held)).alias("_t")).mapInArrow(run, schema)
 
 
 def resize(tiles: DataFrame, by: Sequence[str], source: tuple[int, int], height: int, width: int, tile: int, interpolation: str = "linear") -> DataFrame:

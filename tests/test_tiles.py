@@ -75,3 +75,22 @@ def test_masks_to_polygons_and_back(spark, order, tile):
     found = {r["image"]: r["polygons"] for r in made.collect()}
     assert "m3" not in found and sorted(len(p) for p in found["nested"]) == [1, 2]
     assert [(p["x"], p["y"]) for p in found["m2"][0][0]] == [(0, 0), (5, 0), (5, 5), (0, 5)]
+
+
+@pytest.mark.parametrize("kind, border", [("lanczos", "replicate"), ("lanczos", "constant")])
+def test_images_are_sampled_together(spark, kind, border, monkeypatch):
+    """Images of one size and of others, one with a tile missing, are sampled in a few calls, whatever their number."""
+    images = {f"a{k}": RNG.uniform(-1, 1, (8, 8)) for k in range(12)} | IMAGES
+    images["a3"][:4, 4:] = math.nan
+    matrix = np.array([[1.625, 0, 0.3125], [0, 0.75, -0.125], [0, 0, 1.0]])
+    source = tiles.tiled(frame(spark, images), ["image"], 4)
+    made = tiles.warp(source, ["image"], matrix, 6, 13, 4, kind, border, 0.25)
+    assert "FlatMapGroupsInArrow" not in made._jdf.queryExecution().executedPlan().toString()
+    got = arrays(tiles.untiled(made, ["image"], 4))
+    assert set(got) == set(images)
+    for k, a in images.items():
+        want = packed.warp(a[..., None], matrix, 6, 13, kind, border, 0.25)[..., 0]
+        assert len(got[k]) == want.size
+        if k != "a3":
+            assert [got[k][at] for at in np.ndindex(*want.shape)] == pytest.approx(want.ravel().tolist(), abs=1e-9), k
+    assert any(math.isnan(v) for v in got["a3"].values()) or border == "constant"
