@@ -7,7 +7,7 @@ import pytest
 import test_overlay as T
 from pyspark.sql import functions as F
 
-from rasterloom.operators import arrangement, buffers, overlay, validity
+from rasterloom.operators import arrangement, buffers, overlay, unions, validity
 
 
 def plan(df):
@@ -79,3 +79,19 @@ def test_faults_within_tasks(spark, pairs):
     df = spark.createDataFrame(shapes, f"i int, poly {T.POLY}").unionByName(pairs.selectExpr("i + 5000 as i", "a as poly"))
     want, got = (sorted(map(str, validity.explain_validity(df, ["i"], F.col("poly"), within_tasks=w).collect())) for w in (False, True))
     assert got == want
+
+
+many = T.many
+
+
+def test_unions_within_tasks(many):
+    rows, df = many
+    for tile, fan in ((16.0, 4), (256.0, 32)):
+        want, got = ({r["g"]: r["area"] for r in unions.union_areas(df, ["g"], F.col("poly"), tile, fan, w).collect()} for w in (False, True))
+        assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_rings_of_unions_within_tasks(many):
+    rows, df = many
+    want, got = ({r["g"]: r["polygons"] for r in unions.unary_union(df, ["g"], F.col("poly"), 16.0, 4, w).collect()} for w in (False, True))
+    assert got == want
