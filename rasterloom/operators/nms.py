@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import box as B
-from .joins import overlapping_pairs
+from .joins import cells, level, levels_of
 
 #: Groups with more boxes than this leave the expression engine for vectorised NumPy.
 MAX_NATIVE_GROUP = 64
@@ -128,11 +129,79 @@ def _numpy_nms(groups: DataFrame, keys: list[str], thresh: float, bias: float, d
 def fast_nms(dets: DataFrame, by: Sequence[str], thresh: float = 0.5, id_col: str = "det_id", score_col: str = "score", class_col: str | None = None, size: float = 64.0) -> DataFrame:
     """Rows that no box of higher score overlaps by more than ``thresh``: not greedy, fully parallel."""
     keys = [*by, class_col] if class_col else [*by]
-    slim = dets.select(*keys, id_col, score_col, "box")
-    pairs = overlapping_pairs(slim, slim, keys, size)
-    above = (F.col(f"r_{score_col}") > F.col(f"l_{score_col}")) | ((F.col(f"r_{score_col}") == F.col(f"l_{score_col}")) & (F.col(f"r_{id_col}") > F.col(f"l_{id_col}")))
-    beaten = pairs.where(above & (F.coalesce(F.nanvl(B.iou(F.col("l_box"), F.col("r_box")), F.lit(0.0)), F.lit(0.0)) > thresh))
-    return dets.join(beaten.select(*keys, F.col(f"l_{id_col}").alias(id_col)).distinct(), [*keys, id_col], "left_anti")
+    parts = ["x1", "y1", "x2", "y2"]
+    slim = dets.select(*keys, F.col(id_col).alias("_id"), F.col(score_col).alias("_score"), "box").where(F.col(score_col).isNotNull() & F.col(id_col).isNotNull())
+    levels = levels_of(slim, "box", size)
+    own = level(F.col("box"), size)
+    known = F.filter(F.array(*map(F.lit, levels)).cast("array<int>"), lambda n: n >= own)
+    cell = [F.col("_cell")[c].alias(f"_{c}") for c in ("level", "cx", "cy")]
+    groups = [*keys, "_level", "_cx", "_cy"]
+    known_keys = [F.col(k).isNotNull() for k in keys]
+    dealt = slim.where(functools.reduce(Column.__and__, known_keys)).withColumn("_own", own).withColumn("_cell", F.explode(cells(F.col("box"), known, size))).select(
+        *keys, *cell, "_score", "_id", *[F.col("box")[c].cast("double").alias(c) for c in parts], (F.col("_own") == F.col("_cell.level")).alias("_large"))
+    kinds = dict(dealt.dtypes)
+    values = ["_score", "_id", *parts]
+
+    def run(batches):
+        # rows come sorted by cell; the last one's may go on in the next batch
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([held, rows]).combine_chunks() if held is not None and held.num_rows else rows
+            ends = _group_ends(rows, groups)
+            held = rows.slice(ends[-2])
+            yield from gone(rows, ends[:-1])
+        if held is not None and held.num_rows:
+            yield from gone(held, [0, held.num_rows])
+
+    def gone(rows, ends):
+        d = [rows[c].combine_chunks().to_numpy(zero_copy_only=False) for c in (*values, "_large")]
+        found = [lo + beaten_of(*[v[lo:hi] for v in d], thresh) for lo, hi in zip(ends[:-1], ends[1:], strict=True) if hi - lo > 1]
+        at = pa.array(np.concatenate([*found, np.zeros(0, dtype=np.int64)]).astype(np.int64))
+        yield from rows.select([*keys, *values]).take(at).combine_chunks().to_batches()
+
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in (*keys, *values))
+    beaten = dealt.repartition(*groups).sortWithinPartitions(*groups).mapInArrow(run, schema).select(
+        *keys, F.col("_id").alias(id_col), *[F.col(c).alias(f"_{c}") for c in ("_score", *parts)])
+    # a row is told by its values, as an id can occur twice
+    told = dets.withColumns({"__score": F.col(score_col), **{f"_{c}": F.col("box")[c].cast("double") for c in parts}})
+    return told.join(beaten, [*keys, id_col, "__score", *[f"_{c}" for c in parts]], "left_anti").select(*dets.columns)
+
+
+def _group_ends(rows: pa.Table, groups: Sequence[str]) -> list[int]:
+    """Where groups of a sorted table begin, and its end."""
+    new = np.zeros(max(rows.num_rows - 1, 0), dtype=bool)
+    for c in groups:
+        held = rows[c].combine_chunks()
+        new |= pc.not_equal(held.slice(1), held.slice(0, max(len(held) - 1, 0))).to_numpy(zero_copy_only=False).astype(bool)
+    return [0, *(np.flatnonzero(new) + 1).tolist(), rows.num_rows]
+
+
+def beaten_of(score, ids, x1, y1, x2, y2, large, thresh: float, at_once: int = 32) -> np.ndarray:
+    """Positions of the boxes that one of higher score (or of equal score and higher id) overlaps by more than ``thresh``, of pairs with a ``large`` box.
+
+    The best boxes are tried against all first, and what they beat is not tried again.
+    """
+    order = np.lexsort((ids, score))[::-1]
+    score, ids, x1, y1, x2, y2, large = (v[order] for v in (score, ids, x1, y1, x2, y2, large))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = ~((score[1:] == score[:-1]) | (np.isnan(score[1:]) & np.isnan(score[:-1]))) | (ids[1:] != ids[:-1])
+    rank, area = np.cumsum(new), (x2 - x1) * (y2 - y1)
+    left, gone = np.arange(len(order)), []
+    for lo in range(0, len(order), at_once):
+        # what is ranked above all attackers is safe from them
+        left = left[np.searchsorted(rank[left], rank[lo], "right"):]
+        if not len(left):
+            break
+        a, t = np.arange(lo, min(lo + at_once, len(order)))[:, None], left[None, :]
+        w, h = np.minimum(x2[a], x2[t]) - np.maximum(x1[a], x1[t]), np.minimum(y2[a], y2[t]) - np.maximum(y1[a], y1[t])
+        inter = np.maximum(w, 0) * np.maximum(h, 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            iou = np.nan_to_num(inter / (area[a] + area[t] - inter), nan=0.0, posinf=0.0, neginf=0.0)
+        hit = ((iou > thresh) & (w >= 0) & (h >= 0) & (rank[a] < rank[t]) & (large[a] | large[t])).any(axis=0)
+        gone.append(left[hit])
+        left = left[~hit]
+    return order[np.concatenate([*gone, np.zeros(0, dtype=np.int64)]).astype(np.int64)]
 
 
 def spatial_nms(dets: DataFrame, by: Sequence[str], diameter: float, thresh: float = 0.5, id_col: str = "det_id", score_col: str = "score", tile: float = 1024.0) -> DataFrame:
